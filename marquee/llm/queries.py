@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import chat, mixing, packing, quality_rules, token_files, warc
+from marquee.llm import ann, chat, mixing, packing, quality_rules, token_files, warc
 from marquee.sources.tables import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build_index(vectors), vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
@@ -44,4 +49,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_chat_formatting, op5_token_files, op7_warc, op8_packing, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_quality_rules, op4_chat_formatting, op5_token_files, op7_warc, op8_packing, op9_mixing)}
