@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, chat, mixing, packing, quality_rules, token_files, warc
+from marquee.llm import ann, chat, jaccard, mixing, packing, quality_rules, secrets, token_files, warc, weak_quality
 from marquee.sources.tables import table
 
 
@@ -20,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = said.select("conv_id", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("json"))
@@ -34,6 +38,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents")).drop("candidate")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_warc(files, with_payload=False).drop("url", "payload")
@@ -49,4 +57,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_quality_rules, op4_chat_formatting, op5_token_files, op7_warc, op8_packing, op9_mixing)}
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_nearest_neighbours,
+    op2_quality_rules,
+    op3_ngram_jaccard,
+    op4_chat_formatting,
+    op5_token_files,
+    op6_secret_scan,
+    op7_warc,
+    op8_packing,
+    op9_mixing,
+    op10_weak_quality,
+)
+QUERIES = {f.__name__: f for f in _ALL}
