@@ -2,5 +2,313 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marquee.functions import dates, hashing, text
+from marquee.functions.similarity import edit_similarity, jaro_winkler
+from marquee.operators import changes, dedupe, quality, stats
+from marquee.operators.listings import ListingQuery, facets, matching, page, pagination
+from marquee.plans import views
+from marquee.plans.components import connected_components
+from marquee.sources import feeds
+from marquee.sources.tables import table
+from marquee.streaming.ingest import windowed_counts
+
+AS_OF = dt.datetime(1998, 6, 15, 12)
+_S = "TIMESTAMP '1998-06-15 12:00:00'"
+_LISTING = """SELECT o_orderkey AS id, c_mktsegment AS source, o_orderpriority || ' ' || c_name AS title, c_name AS venue, n_name AS city, r_name AS country, o_orderdate AS date_start,
+ CASE o_orderstatus WHEN 'O' THEN 'scheduled' WHEN 'F' THEN 'cancelled' WHEN 'P' THEN 'postponed' END AS status, o_totalprice AS price, o_orderdate - INTERVAL 30 DAY AS updated_at
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+_TAGS = "SELECT l_orderkey AS id, list_sort(list_distinct(flatten(list([p_brand, p_type])))) AS tags FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"
+_L = f"WITH l AS ({_LISTING}) "
+_T = f"WITH l AS (SELECT b.*, coalesce(t.tags, []) AS tags FROM ({_LISTING}) b LEFT JOIN ({_TAGS}) t USING (id)) "
+_SNAP = lambda new: f"""SELECT *, sha256(CAST(id AS VARCHAR) || '|' || printf('%.2f', price)) AS hash FROM (SELECT o_orderkey AS id, c_mktsegment AS source,
+ {"CASE WHEN o_orderkey % 5 = 0 THEN round(o_totalprice + 1, 2) ELSE o_totalprice END" if new else "o_totalprice"} AS price, o_orderdate AS first_seen, o_orderdate AS created_at
+ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % {11 if new else 7} != 0)"""
+_N = f"WITH n AS ({_SNAP(True)}), p AS ({_SNAP(False)}) "
+_COLS = ("id", "source", "title", "venue", "city", "date_start", "status", "price")
+_SEL = ", ".join(_COLS)
+_TODAY = "TIMESTAMP '1998-06-15'"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_query(_L + f"SELECT {_SEL} FROM l WHERE date_start >= {_TODAY} AND contains(lower(city), 'na') AND (contains(lower(title), 'high') OR contains(lower(venue), 'high') OR contains(lower(city), 'high')) ORDER BY date_start, id LIMIT 20 OFFSET 20")
+def listing_page(spark: SparkSession, sf: str) -> DataFrame:
+    q = ListingQuery(AS_OF, city="na", q="HIGH", page=2, limit=20)
+    return page(views.listings(spark, sf), q).select(*_COLS)
+
+
+@_query(_L + f"SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages, count(*) > 40 AS has_more FROM l WHERE date_start >= {_TODAY} AND source = 'BUILDING' AND contains(lower(venue), '0001')")
+def listing_total(spark, sf):
+    return pagination(views.listings(spark, sf), ListingQuery(AS_OF, source="BUILDING", venue="0001", page=2))
+
+
+@_query(_L + f"SELECT {_SEL} FROM l WHERE date_start >= TIMESTAMP '1997-03-01' AND date_start < TIMESTAMP '1997-03-11' AND price BETWEEN 1000 AND 200000")
+def listing_date_range(spark, sf):
+    q = ListingQuery(AS_OF, date_from=dt.date(1997, 3, 1), date_to=dt.date(1997, 3, 10), price=(1000, 200000), past=True)
+    return matching(views.listings(spark, sf), q).select(*_COLS)
+
+
+@_query(_L + f"SELECT {_SEL} FROM l WHERE date_start >= {_TODAY} AND date_start BETWEEN {_S} AND {_S} + INTERVAL 720 HOUR AND CAST(right(venue, 9) AS INT) BETWEEN 1 AND 400")
+def listing_horizon(spark, sf):
+    return matching(views.listings(spark, sf), ListingQuery(AS_OF, hours_ahead=720, venues=tuple(f"Customer#{k:09d}" for k in range(1, 401)))).select(*_COLS)
+
+
+@_query(_T + f"SELECT id, array_to_string(tags, ',') AS tags FROM l WHERE date_start >= {_TODAY} AND len(list_filter(tags, lambda x: contains(lower(x), 'brand#1'))) > 0")
+def listing_tag(spark, sf):
+    return matching(views.tagged(spark, sf), ListingQuery(AS_OF, tag="Brand#1")).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@_query(_T + f"SELECT id, CAST(len(tags) AS INT) AS n FROM l WHERE date_start >= {_TODAY} AND list_has_any(tags, ['Brand#11', 'Brand#23'])")
+def listing_tags_any(spark, sf):
+    return matching(views.tagged(spark, sf), ListingQuery(AS_OF, tags=("Brand#11", "Brand#23"))).select("id", F.size("tags").alias("n"))
+
+
+@_query(_L + f"SELECT {_SEL} FROM l WHERE date_start >= {_TODAY} ORDER BY title DESC, id LIMIT 50")
+def listing_by_name(spark, sf):
+    return page(views.listings(spark, sf), ListingQuery(AS_OF, sort="name", descending=True, limit=50)).select(*_COLS)
+
+
+@_query(_L + f"SELECT {_SEL} FROM l WHERE id = 100")
+def listing_by_id(spark, sf):
+    return views.listings(spark, sf).where("id = 100").select(*_COLS)
+
+
+@_query(_L + f"SELECT id, {_S} BETWEEN date_start AND date_start + INTERVAL 3 HOUR AS happening, date_start > {_S} AS future FROM l")
+def listing_happening(spark, sf):
+    start = F.col("date_start")
+    return views.listings(spark, sf).select("id", dates.is_happening(start, F.lit(None).cast("timestamp_ntz"), AS_OF).alias("happening"), (start > F.lit(AS_OF)).alias("future"))
+
+
+@_query(_T + "SELECT DISTINCT 'city' AS facet, city AS value FROM l UNION ALL SELECT DISTINCT 'source', source FROM l UNION ALL SELECT DISTINCT 'tags', unnest(tags) FROM l")
+def listing_facets(spark, sf):
+    return facets(views.tagged(spark, sf), "city", "source", "tags")
+
+
+@_query(_L + f"SELECT source, count(*) AS total, count(*) FILTER (date_start >= {_S}) AS upcoming, count(*) FILTER (NOT date_start >= {_S}) AS past, max(updated_at) AS last_update FROM l GROUP BY source")
+def stats_by_source(spark, sf):
+    return stats.by_source(views.listings(spark, sf), F.lit(AS_OF))
+
+
+@_query(_L + "SELECT strftime(date_start, '%Y-%m-%d') AS day, count(*) AS n, arg_min(id, (date_start, id)) AS first_id, arg_max(id, (date_start, id)) AS last_id FROM l GROUP BY 1")
+def stats_by_day(spark, sf):
+    return stats.by_day(views.listings(spark, sf))
+
+
+_CHANGE = "CASE WHEN p.id IS NULL THEN 'new' WHEN p.hash != n.hash THEN 'updated' ELSE 'unchanged' END"
+
+
+def _changed(spark, sf):
+    return changes.detect_changes(views.snapshot(spark, sf, True), views.snapshot(spark, sf, False), F.lit(AS_OF))
+
+
+@_query(_N + f"SELECT n.id, n.hash, {_CHANGE} AS change, coalesce(p.first_seen, {_S}) AS first_seen FROM n LEFT JOIN p USING (id)")
+def change_detection(spark, sf):
+    return _changed(spark, sf).select("id", "hash", "change", "first_seen")
+
+
+@_query(_N + f", c AS (SELECT n.source, {_CHANGE} AS change FROM n LEFT JOIN p USING (id)) SELECT source, count(*) AS total, count(*) FILTER (change = 'new') AS \"new\", count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged FROM c GROUP BY ROLLUP (source)")
+def change_stats(spark, sf):
+    return stats.detailed(_changed(spark, sf))
+
+
+@_query(_N + "SELECT change, count(*) AS n FROM (SELECT CASE WHEN p.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN p.hash = n.hash THEN 'unchanged' ELSE 'updated' END AS change FROM p FULL JOIN n ON p.id = n.id) GROUP BY change")
+def catalog_diff(spark, sf):
+    return changes.diff(views.snapshot(spark, sf, False), views.snapshot(spark, sf, True)).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@_query(_N + "SELECT id, source, price, first_seen, created_at, hash FROM p WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT id, source, price, first_seen, created_at, hash FROM n")
+def catalog_upsert(spark, sf):
+    return changes.upsert(views.snapshot(spark, sf, False), views.snapshot(spark, sf, True))
+
+
+@_query(_N + "SELECT p.id, p.source, coalesce(q.price, p.price) AS price FROM p LEFT JOIN (SELECT id, price FROM n WHERE id % 5 = 0) q USING (id) WHERE p.id % 13 != 0")
+def catalog_patch_delete(spark, sf):
+    base = views.snapshot(spark, sf, False).select("id", "source", "price")
+    patched = changes.patch(base, views.snapshot(spark, sf, True).where("id % 5 = 0").select("id", "price"))
+    return changes.delete(patched, base.where("id % 13 = 0"))
+
+
+@_query("SELECT source, runs, failed, total_ms, round(100.0 * (runs - failed) / runs, 2) AS success_rate, CASE WHEN runs - failed >= 2 THEN 'healthy' WHEN runs - failed >= 1 THEN 'degraded' ELSE 'failed' END AS state FROM (SELECT user_id AS source, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failed, round(sum(value), 4) AS total_ms FROM events GROUP BY 1)")
+def run_summary(spark, sf):
+    return stats.run_summary(views.runs(spark, sf))
+
+
+@_query("SELECT user_id AS source, event_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS INT) AS place FROM events) WHERE place <= 10")
+def recent_runs(spark, sf):
+    return stats.top_per(views.runs(spark, sf), "source", [F.desc("ts"), F.col("event_id")], 10).select("source", "event_id", "place")
+
+
+@_query("SELECT user_id AS source, arg_max(event_id, (ts, -event_id)) AS event_id FROM events GROUP BY 1")
+def latest_run(spark, sf):
+    return stats.latest(views.runs(spark, sf), "source", "ts", "event_id").select("source", "event_id")
+
+
+@_query("SELECT event_id, group_id FROM (SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS group_id FROM events) WHERE group_id IS NOT NULL")
+def header_fill_forward(spark, sf):
+    events = table(spark, sf, "events")
+    return stats.fill_forward(events, "user_id", "event_id", F.when(F.col("event_type") == "signup", F.col("event_id")), "group_id").select("event_id", "group_id")
+
+
+@_query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n_within FROM events")
+def rate_window(spark, sf):
+    events = table(spark, sf, "events")
+    return stats.requests_within(events, "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")), 3600).select("event_id", "n_within")
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf):
+    return windowed_counts(table(spark, sf, "events"))
+
+
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@_query(f"SELECT n_nationkey, {_NORMAL.format('n_name')} AS key, trim(regexp_replace(regexp_replace(lower(trim(n_name)), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-') AS slug FROM nation")
+def nation_slugs(spark, sf):
+    return table(spark, sf, "nation").select("n_nationkey", text.matching_key(F.col("n_name")).alias("key"), text.slug(F.col("n_name")).alias("slug"))
+
+
+@_query(f"SELECT doc_id, {_NORMAL.format('text')} AS key FROM documents")
+def document_keys(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.matching_key(F.col("text")).alias("key"))
+
+
+@_query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark, sf):
+    docs = table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("hash"))
+    return docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@_query("SELECT c_custkey, sha256('{\"city\":\"' || n_name || '\",\"name\":\"' || c_name || '\"}') AS stable, sha256('\"' || concat_ws('|', c_name, c_mktsegment, CAST(c_custkey AS VARCHAR), n_name) || '\"') AS composite FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def customer_hashes(spark, sf):
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = hashing.composite_key(F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey").cast("string"), F.col("n_name"))
+    return rows.select("c_custkey", hashing.stable_hash(name=F.col("c_name"), city=F.col("n_name")).alias("stable"), key.alias("composite"))
+
+
+@_query("SELECT a.n_name AS a, b.n_name AS b, CAST(levenshtein(a.n_name, b.n_name) AS INT) AS distance, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def name_distances(spark, sf):
+    n = table(spark, sf, "nation")
+    pairs = n.select(F.col("n_name").alias("a"), "n_regionkey", F.col("n_nationkey").alias("i")).join(n.select(F.col("n_name").alias("b"), "n_regionkey", F.col("n_nationkey").alias("j")), "n_regionkey").where("i < j")
+    return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance"), F.round(edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@_query("SELECT a, b, CAST(score AS DOUBLE) AS score FROM (VALUES ('martha', 'marhta', 0.961111), ('dwayne', 'duane', 0.84), ('dixon', 'dicksonx', 0.813333), ('', '', 1.0), ('abc', '', 0.0)) AS t(a, b, score)")
+def jaro_winkler_pairs(spark, sf):
+    pairs = spark.sql("SELECT * FROM VALUES ('martha', 'marhta'), ('dwayne', 'duane'), ('dixon', 'dicksonx'), ('', ''), ('abc', '') AS t(a, b)")
+    return pairs.select("a", "b", F.round(jaro_winkler(F.col("a"), F.col("b")), 6).cast("decimal(7,6)").cast("double").alias("score"))
+
+
+@_query("SELECT o_orderkey, date_trunc('hour', o_orderdate + INTERVAL 30 MINUTE) AS hour, strftime(o_orderdate, '%a ') || CAST(day(o_orderdate) AS VARCHAR) || CASE WHEN day(o_orderdate) BETWEEN 11 AND 13 THEN 'th' WHEN day(o_orderdate) % 10 = 1 THEN 'st' WHEN day(o_orderdate) % 10 = 2 THEN 'nd' WHEN day(o_orderdate) % 10 = 3 THEN 'rd' ELSE 'th' END || strftime(o_orderdate, ' %B %Y') AS shown FROM orders")
+def date_display(spark, sf):
+    d = F.col("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", dates.round_hour(d).alias("hour"), dates.ordinal_day(d).alias("shown"))
+
+
+@_query("SELECT * FROM (VALUES ('12:00 AM', 0), ('8:60 PM', NULL), ('25:00', NULL), ('19:30', 1170), ('7:30 pm', 1170), ('noon', NULL)) AS t(x, minutes)")
+def parse_times(spark, sf):
+    return spark.sql("SELECT * FROM VALUES ('12:00 AM'), ('8:60 PM'), ('25:00'), ('19:30'), ('7:30 pm'), ('noon') AS t(x)").select("x", dates.parse_time(F.col("x")).alias("minutes"))
+
+
+@_query("SELECT x, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, currency FROM (VALUES ('$15-30', 15.0, 30.0, 'USD'), ('10-15 EUR', 10.0, 15.0, 'EUR'), ('Price: £25.99', 25.99, 25.99, 'GBP'), ('Free', 0.0, 0.0, NULL)) AS t(x, low, high, currency)")
+def parse_prices(spark, sf):
+    p = spark.sql("SELECT * FROM VALUES ('$15-30'), ('10-15 EUR'), ('Price: £25.99'), ('Free') AS t(x)").withColumn("p", text.price(F.col("x")))
+    return p.select("x", F.col("p.min").alias("low"), F.col("p.max").alias("high"), F.col("p.currency").alias("currency"))
+
+
+@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 95 WHEN s_suppkey % 4 = 1 THEN 90 WHEN s_suppkey % 4 = 2 THEN 70 ELSE 30 END AS trust FROM supplier")
+def source_trust(spark, sf):
+    name = F.element_at(F.array(F.lit("known"), F.lit("official-x"), F.lit("y.com"), F.lit("other")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "supplier").select("s_suppkey", text.trust(name, {"Known": 95}).alias("trust"))
+
+
+@_query(_L + ", v AS (SELECT source, (CASE WHEN status = 'postponed' THEN 1 ELSE 0 END) + (CASE WHEN price < 50000 THEN 1 ELSE 0 END) AS e FROM l) SELECT source, count(*) FILTER (e = 0) AS valid, count(*) FILTER (e > 0) AS invalid, CAST(sum(e) AS BIGINT) AS errors FROM v GROUP BY source")
+def validation_tally(spark, sf):
+    rows = views.listings(spark, sf).withColumn("price", F.col("price") - 50000).withColumn("status", F.when(F.col("status") != "postponed", F.col("status")).otherwise("on-sale"))
+    return quality.tally(rows)
+
+
+@_query(_T + "SELECT id, title, CASE status WHEN 'postponed' THEN 'scheduled' ELSE status END AS status, CASE WHEN price - 50000 >= 0 THEN price - 50000 END AS price, array_to_string(tags, ',') AS tags FROM l")
+def sanitised_rows(spark, sf):
+    rows = views.tagged(spark, sf).withColumn("price", F.col("price") - 50000).withColumn("status", F.when(F.col("status") != "postponed", F.col("status")).otherwise("on-sale"))
+    rows = rows.withColumn("title", F.concat(F.lit(" "), "title", F.lit(" "))).withColumn("tags", F.concat("tags", F.array(F.lit(" ")), "tags"))
+    return quality.sanitised(rows).select("id", "title", "status", "price", F.array_join("tags", ",").alias("tags"))
+
+
+_BLOCKS = _L + ", k AS (SELECT id, unnest(list_distinct([venue || '|' || strftime(date_start, '%Y-%m'), title || '|' || strftime(date_start, '%Y-%m')])) AS b FROM l), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.b = y.b AND x.id < y.id) "
+
+
+def _pairs(spark, sf):
+    month = F.date_format("date_start", "yyyy-MM")
+    keys = F.array_distinct(F.array(F.concat_ws("|", "venue", month), F.concat_ws("|", "title", month)))
+    return dedupe.candidate_pairs(views.listings(spark, sf), keys)
+
+
+@_query(_BLOCKS + "SELECT a, b FROM e")
+def blocking_pairs(spark, sf):
+    return _pairs(spark, sf)
+
+
+@_query(_BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1) + ", u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS node, b AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a) SELECT node, least(node, min(other)) AS root FROM r GROUP BY node")
+def duplicate_clusters(spark, sf):
+    return connected_components(_pairs(spark, sf))
+
+
+@_query(None)
+def scored_pairs(spark, sf):
+    rows = views.listings(spark, sf)
+    return dedupe.score_pairs(_pairs(spark, sf), rows)
+
+
+@_query(_T + """, m AS (SELECT *, CASE source WHEN 'BUILDING' THEN 90 WHEN 'MACHINERY' THEN 90 ELSE 40 END AS trust FROM l),
+ g AS (SELECT *, max(trust) OVER (PARTITION BY country, city) AS best FROM m), k AS (SELECT * FROM g WHERE trust = best)
+ SELECT city, arg_min(title, id) AS title, arg_min(status, id) AS status, arg_min(venue, id) AS venue, arg_max(price, id) AS price, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, max(updated_at) AS updated_at, count(*) AS n FROM k GROUP BY city""")
+def trust_merge(spark, sf):
+    rows = views.tagged(spark, sf).withColumn("ord", F.col("id"))
+    merged = dedupe.merge_by_trust(rows, "city", text.trust(F.col("source"), {"building": 90, "machinery": 90, "automobile": 40, "furniture": 40, "household": 40}))
+    return merged.withColumn("tags", F.array_join("tags", ","))
+
+
+@_query("""WITH p AS (SELECT page_id, url, html, regexp_extract_all(html, '(?:href|src)="([^"]*)"', 1) AS links FROM pages)
+ SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, CAST(len(links) AS BIGINT) AS n_links, CAST(len(list_distinct(links)) AS BIGINT) AS n_urls, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM p""")
+def page_fields(spark, sf):
+    return feeds.page_fields(table(spark, sf, "pages"))
+
+
+_RSS = "<rss><channel><item><title>Jazz Night</title><link>http://x.example/1</link><pubDate>Mon, 15 Jan 2024 20:00:00 GMT</pubDate><category>Jazz</category><category>Live</category></item><item><title>No date</title></item></channel></rss>"
+
+
+@_query("SELECT 'Jazz Night' AS title, 'http://x.example/1' AS link, 'Mon, 15 Jan 2024 20:00:00 GMT' AS date, 'Jazz,Live' AS categories")
+def rss_items(spark, sf):
+    return feeds.rss(spark.range(1).select(F.lit(_RSS).alias("content"))).select("title", "link", "date", F.array_join("categories", ",").alias("categories"))
+
+
+_ICS = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nDTSTART;TZID=Europe/London:20240115T200000\r\nSUMMARY:Rock\\, loud and\r\n  long\r\nLOCATION:Hall\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nSUMMARY:No start\r\nEND:VEVENT\r\nEND:VCALENDAR"
+
+
+@_query("SELECT '1' AS uid, 'Rock, loud and long' AS title, TIMESTAMP '2024-01-15 20:00:00' AS start, 'Hall' AS location")
+def ical_events(spark, sf):
+    rows = feeds.ical(spark.range(1).select(F.lit(_ICS).alias("content")))
+    return rows.select("uid", "title", dates.parse_ical(F.col("start")).cast("timestamp_ntz").alias("start"), "location")
+
+
+@_query("SELECT * FROM (VALUES ('A', '2024-01-15', 'Hall'), ('B', '2024-02-01', NULL)) AS t(title, date, location)")
+def json_events(spark, sf):
+    body = '{"events": [{"name": "A", "date_start": "2024-01-15", "venue": "Hall"}, {"title": "B", "start_date": "2024-02-01"}, {"title": "no date"}]}'
+    return feeds.json_events(spark.range(1).select(F.lit(body).alias("content")))
