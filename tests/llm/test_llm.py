@@ -1,0 +1,293 @@
+import io
+import os
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from marquee.llm import ann, chat, jaccard, mixing, packing, quality_rules, secrets, token_files, warc, weak_quality
+from marquee.llm.oracles import ORACLES
+from marquee.llm.queries import QUERIES
+from marquee.llm.tokens import memo
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{k % 97} x{k}" for k in range(6000))
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, h long"
+#: null text, empty, blank, very long, repeated rows, near copies, null id and source; columns that clash with the operators' own
+ODD = [
+    (1, None, "en", "a", None, 1, 1),
+    (2, "", "en", "a", 0, 1, 1),
+    (3, " \n ", "en", None, 3, 1, 1),
+    (4, LONG, "en", "b", len(LONG), 1, 1),
+    (5, LONG + " one more", "en", "b", 9, 1, 1),
+    (6, "Same words here, twice told and true. " * 3, "en", "a", 9, 1, 1),
+    (6, "Same words here, twice told and true. " * 3, "en", "a", 9, 1, 1),
+    (None, "only three words", "de", "a", 16, 1, 1),
+    (8, "only three words", "de", "b", 16, 1, 1),
+    (9, 'set token = "7c72db563d7f6e50cec00950f7bab1f2223b6afd" and go', "en", "b", 9, 1, 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    c = duckdb.connect()
+    for f in os.listdir(SF):
+        c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    want = c.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_nearest_neighbours_recall(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = defaultdict(list)
+    for r in QUERIES["op1_nearest_neighbours"](spark, SF).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    all_rows = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    hit = total = 0
+    for q in got:
+        best = sorted(((-(v * all_rows[q]).sum(), i) for i, v in all_rows.items() if i != q))[:20]
+        hit += len({i for _, i in best} & {i for i, _ in got[q]})
+        total += len(best)
+    assert hit >= 0.9 * total and set(got) == {i for i in all_rows if i % 20 == 0}
+
+
+def test_nearest_neighbours_odd_rows(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(50)] + [(60, None), (61, [0.0, 0.0]), (62, [float("nan"), 1.0]), (63, [1.0, None]), (None, [1.0, 1.0]), (64, [0.0, 2.0]), (0, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(ann.build_index(v, shard_rows=20), v.where("vec_id = 3"), k=5).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 4, 1.0), (5, 5, 1.0)]
+    assert ann.search(ann.build_index(v.limit(0)), v.limit(0)).count() == 0
+
+
+def test_repeated_windows(spark):
+    words = [[], ["a"], "a b c a b c".split(), "a a a a".split(), "a b c d e f".split(), "x a b c y a b c z".split()]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>")
+    got = [r[0] for r in rows.orderBy("i").select(quality_rules.repeated_window_words(F.col("w"))).collect()]
+
+    def brute(w):
+        n = Counter(zip(w, w[1:], w[2:]))
+        return len({k + d for k in range(len(w) - 2) if n[tuple(w[k : k + 3])] > 1 for d in range(3)})
+
+    assert got == [brute(w) for w in words]
+
+
+def brute_components(rows):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            groups[find(i)].append(d)
+    return [(d, len(s), (min(groups[find(i)], default=None) if s else d)) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+def test_jaccard_components(spark, odd, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here today".split()
+    chain = [(10_000 + k, " ".join(base[: 16 - k % 3] + [f"t{k}"])) for k in range(12)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + chain + [(d, t) for d, t, *_ in ODD]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_components(rows), key=repr)
+    assert jaccard.jaccard_components(empty).count() == 0
+
+
+def test_one_of_each(odd):
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 9]
+
+
+def test_overlap_bound_never_below():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 700):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n).astype(np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        assert jaccard.overlap_bound(len(a), len(b), jaccard.bitmap(a), jaccard.bitmap(b)) >= shared
+
+
+@pytest.mark.parametrize("text", ["", "</s>[INST] ok [/INST]", "a\\b <s> \\\\<</SYS>>", "<\\s>", "[ROLE] x [/ROLE] [/TURN]\n", "<<s>>"])
+def test_chat_round_trip(text):
+    for role in ("user", "assistant", "system", "tool", "", "[/ROLE]"):
+        shown, low, high = chat.format_turn(role, text)
+        assert list(chat.parse_turns(shown + chat.format_turn("user", "x")[0])) == [(role, text), ("user", "x")]
+        assert role != "assistant" or chat.unescape(shown[low:high]) == text
+        assert not any(c in chat.escape(text) for c in chat.CONTROL)
+
+
+def test_chat_layouts(spark):
+    rows = [
+        (1, '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": null}]}'),
+        (2, '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}'),
+        (3, '{"instruction": "q", "input": "", "output": "a"}'),
+        (4, '{"prompt": "q", "response": "a", "system": "s"}'),
+        (5, '{"odd": 1}'),
+        (None, None),
+    ]
+    got = defaultdict(list)
+    for r in chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, json string")).orderBy("place").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert got[1] == [("user", "q"), ("assistant", "")] and got[2] == got[3] == [("user", "q"), ("assistant", "a")]
+    assert got[4][0] == ("system", "s") and got[5][0][0] is None and got[None] == [(None, None)]
+
+
+@pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
+def test_packed_file(bits):
+    rng, out = np.random.default_rng(1), io.BytesIO()
+    docs = [(k if k % 5 else None, rng.integers(0, 2 ** min(bits, 31), n).astype("<u4")) for k, n in enumerate([0, 3, 100, 0, 1, 64, 777])]
+    w = token_files.Writer(out, bits, block=64)
+    for d, ids in docs:
+        w.add(d, ids)
+    w.close()
+    reader = token_files.Reader(type("File", (), {"size": lambda s: len(out.getvalue()), "seek": lambda s, n: out.seek(n), "read": lambda s, n: out.read(n)})())
+    start, want = 0, []
+    for d, ids in docs:
+        want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert list(reader.documents(at_once=50)) == want
+    assert reader.ids(2, 70).tolist() == np.concatenate([i for _, i in docs])[2:70].tolist()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_memo_equals_library(spark, name):
+    m = memo(public_tokenizers.path(name))
+    odd = ["", "a . b , c.", "x.5 .5 5.", "İSTANBUL é.", "a_.b ,_", "é. n", "x ,\ny.", "a.\0 b", "  a  b\n\n c", " x", "x ", "don't  <|endoftext|> it's\r\n ok", " \n", "\x1c a", "ΣΑΣ 12 345 7", "日本 語  x"]
+    texts = odd + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(100).collect()]
+    for t, data in zip(texts, m.texts(texts)):
+        assert np.frombuffer(data, "<u2").tolist() == m.lib.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files(spark, odd, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = token_files.read_token_files(token_files.write_token_files(odd, path, docs_per_file=4)).orderBy("start").collect()
+    start = 0
+    for r, (d, t) in zip(got, sorted(((x[0], x[1] or "") for x in ODD), key=lambda x: (x[0] is None, x[0], x[1]))):
+        ids = np.array(memo(path).lib.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert tuple(r) == (d, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert token_files.read_token_files(token_files.write_token_files(empty, path)).count() == 0
+
+
+def test_packing(odd, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    _, places = packing.packed_documents(odd, path, tokens=512)
+    by = defaultdict(list)
+    for r in places.collect():
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 512
+    total = sum(n for parts in by.values() for _, n in parts)
+    assert len(by) == -(-total // 512)
+    assert packing.packed_documents(empty, path)[1].count() == 0
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_keeps_every_capacity(rule):
+    n = np.random.default_rng(2).integers(1, 100, 3000)
+    bins, _ = packing.best_fit(n, (100, 4, 6000.0), (1, 0.1, 0.1), rule) if n.max() ** 2 <= 6000 else packing.best_fit(np.minimum(n, 70), (100, 4, 6000.0), (1, 0.1, 0.1), rule)
+    n = np.minimum(n, 70)
+    for b in np.unique(bins):
+        own = n[bins == b]
+        assert own.sum() <= 100 and len(own) <= 4 and (own**2).sum() <= 6000
+
+
+def test_warc(spark):
+    big = "é" * 300_000
+    rows = [(3, "u", "same"), (1, None, "same"), (2, "u\r\nx", None), (4, "u", ""), (5, "u", big), (None, "u", "same"), (5, "u", big)]
+    files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_warc(files).collect()), key=repr)
+    assert got == sorted([(3, "revisit", 1, 4), (1, "response", None, 4), (2, "response", None, 0), (4, "revisit", 2, 0), (5, "response", None, 600_000), (None, "revisit", 1, 4), (5, "response", None, 600_000)], key=repr)
+    data = warc.record(1, "u", b"hello" * 1000, None, "d") + warc.record(2, "u", b"", None, "d")
+    assert [r["payload"] for r in warc.read_records(io.BytesIO(data))] == [b"hello" * 1000, b""]
+    raw = zlib.decompress(warc.record(1, "u", b"hello", None, "d"), 31)
+    for bad in (data[:-9], data[:40], zlib_gz(raw.replace(b"hello", b"jello")), zlib_gz(raw.replace(b"hello", b"hell"))):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
+def zlib_gz(raw):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def test_mixing(spark, odd, empty):
+    rows = mixing.mix(odd).collect()
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        assert sum(r["taken"] for r in own) == int(own[0]["target"]) and all(r["taken"] <= 2 * r["size"] for r in own)
+    assert mixing.mix(empty).count() == 0
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns
+    assert sum(len((r["text"] or "").split()) for r in out.collect()) == sum(r["taken"] for r in rows)
+
+
+def test_secrets(spark, odd, empty):
+    held_out = secrets.labelled_findings(spark, 6000).where("is_secret is not null").limit(6000)
+    trees = secrets.train(secrets.labelled_findings(spark, 3000))
+    votes = F.expr(" + ".join(f"({t})" for t in trees)) / len(trees)
+    last = held_out.withColumn("n", F.monotonically_increasing_id()).where("n >= 3000").withColumn("f", secrets.features(F.col("candidate"), F.col("before"), F.col("after")))
+    right = last.select(((votes >= 0.5) == F.col("is_secret")).cast("int").alias("x")).agg(F.avg("x")).first()[0]
+    assert right >= 0.95
+    out = {r["doc_id"]: r["text"] for r in secrets.redacted(odd, trees).collect()}
+    assert out[9] == 'set token = "[SECRET]" and go' and out[1] is None and out[4] == LONG
+    assert secrets.findings(empty, trees).count() == 0
+
+
+def test_weak_quality(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = weak_quality.classify(docs).join(labels, "doc_id").collect()
+    good = [r for r in rows if r["quality"] == 1]
+    assert sum(r["kept"] for r in good) >= 0.97 * len(good)
+    bad = [r for r in rows if r["quality"] == 0]
+    assert sum(not r["kept"] for r in bad) >= 0.6 * len(bad)
+    got = {r["doc_id"]: r["kept"] for r in weak_quality.classify(odd).collect()}
+    assert got[1] is False and got[2] is False
+    assert weak_quality.classify(empty).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    quality = quality_rules.judged(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).where("kept").count()
+    assert 0 < docs.select("doc_id").distinct().count() <= quality
+    assert docs.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
