@@ -55,7 +55,7 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 2_000,
 ) -> DataFrame:
     """doc_id, source, tie, size, source_size, target, epochs, extra, taken for each row.
 
