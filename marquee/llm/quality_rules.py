@@ -96,7 +96,8 @@ def judged(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
 
 def cleaned(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
     """The kept documents with the columns of ``docs``; their failing lines are removed from the text."""
-    kept = judged(docs, max_removed_percent).where("kept").withColumn("text", F.array_join("clean_lines", "\n"))
+    # the row number is never negative: it keeps Spark from moving the filter below and evaluating all rules again for it
+    kept = judged(docs, max_removed_percent).withColumn("_no", F.monotonically_increasing_id()).where("kept and _no >= 0").withColumn("text", F.array_join("clean_lines", "\n"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
