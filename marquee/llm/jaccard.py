@@ -280,7 +280,8 @@ def members(docs: DataFrame) -> DataFrame:
     sketched = all_rows.where("prefix is not null")
     # near copies: everyone against one document of its min-hash group
     bands = sketched.select("rid", "key", F.posexplode("mins").alias("band", "value"))
-    pivots = bands.groupBy("band", "value").agg(F.min(F.struct("key", "rid")).alias("p"), F.max("key").alias("_max")).where("p.key != _max").select("band", "value", F.col("p.rid").alias("a"), F.col("p.key").alias("_key"))
+    # another one in each band: a near copy that is too far from one is hardly too far from all
+    pivots = bands.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key", "rid")).alias("p"), F.max("key").alias("_max"), F.min("key").alias("_min")).where("_min != _max").select("band", "value", F.col("p.rid").alias("a"), F.col("p.key").alias("_key"))
     near = bands.join(pivots, ["band", "value"]).where("key != _key").select("a", F.col("rid").alias("b")).distinct()
     links = staged(_verified(_bounded(near, sketched), sketched, docs), "near-links")
     comps = connected_components(links)
