@@ -7,6 +7,7 @@ Where such cuts are not certain (runs of white space), larger pieces go to the l
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -14,7 +15,8 @@ from tokenizers import Tokenizer
 
 #: Pieces kept at most; then the memo starts anew.
 MEMO = 600_000
-_ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
+_STOPS = (".", ",")
+_LATIN = frozenset(c for c in map(chr, range(0x180)) if c.isalpha())
 _LOADED: dict[str, Memo] = {}
 
 
@@ -22,6 +24,7 @@ class Memo(dict):
     """Piece to its ids as little-endian unsigned 16-bit integers."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lib.no_truncation()
@@ -38,57 +41,44 @@ class Memo(dict):
         cut = [self._pieces(t) for t in texts]
         if len(self) > MEMO:
             self.clear()
-        self._learn({p for pieces in cut for p in pieces}.difference(self))
+        new = set().union(*cut).difference(self)
+        # a stop after a letter is a piece of its own, so such a piece needs only its word
+        stopped = [p for p in new if p.endswith(_STOPS) and p[-2:-1] in _LATIN]
+        self._learn({*new.difference(stopped), *{p[:-1] for p in stopped}.difference(self), *set(_STOPS).difference(self)})
+        self.update({p: self[p[:-1]] + self[p[-1]] for p in stopped})
         return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
 
     def _learn(self, new: set[str]) -> None:
         mark = self.between.strip(" ")
-        joined, alone = [], []
-        for p in new:
-            (alone if mark in p or not p or len(p) > 200 else joined).append(p)
+        alone = [p for p in new if mark in p or len(p) > 200]
         for p in alone:
             self[p] = np.array(self.lib.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
-        parts = [joined[at : at + 500] for at in range(0, len(joined), 500)]
-        for part, e in zip(parts, self.lib.encode_batch_fast([self.between.join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u2")
+        joined = list(new.difference(alone))
+        for at in range(0, len(joined), 500):
+            part = joined[at : at + 500]
+            ids = np.array(self.lib.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u2")
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
             assert len(ends) == len(part)
-            at = 0
+            data, at = ids.tobytes(), 0
             for p, end in zip(part, ends, strict=True):
-                self[p] = ids[at:end].tobytes()
+                self[p] = data[2 * at : 2 * end]
                 at = end + 1
 
     def _pieces(self, text: str) -> list[str]:
-        out: list[str] = []
-        add = out.append
-        if not self.keeps_space:  # white space only ends words
-            for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-                if w[-1:] in _STOPS and w[-2:-1] in _LATIN:
-                    add(w[:-1].lower() if w.isascii() else w[:-1])
-                    add(w[-1])
-                elif w:
-                    add(w.lower() if w.isascii() else w)
-            return out
+        if not self.keeps_space:  # white space only ends words, and case doesn't count
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+            return [p for p in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if p]
         if not text:
-            return out
-        if _ODD.search(text):  # a cut before a space is certain where neither neighbour of that space is white space
+            return []
+        runs = any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")) or text[0].isspace() or text[-1].isspace()
+        if runs or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            # a cut before a space is certain where neither neighbour of that space is white space
             return re.split(r"(?<=\S)(?= \S)", text)
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                add("\n")
-            space = ""
-            for w in line.split(" "):
-                if w[-1] in _STOPS and w[-2:-1] in _LATIN:  # a stop after a letter is a piece of its own
-                    add(space + w[:-1])
-                    add(w[-1])
-                else:
-                    add(space + w)
-                space = " "
-        return out
-
-
-_STOPS = frozenset(".,")
-_LATIN = frozenset(c for c in map(chr, range(0x180)) if c.isalpha())
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 def memo(path: str) -> Memo:
