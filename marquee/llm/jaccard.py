@@ -14,8 +14,9 @@ threshold (75 %). No link is lost; what is left out can't reach the threshold:
 5. Pairs that pass are decided by intersecting the sorted arrays, made anew from the texts.
 
 Groups of near copies would still give all their pairs. So documents with equal
-min-hashes are first compared to one of them, links found so are joined to components,
-and tiles leave out pairs that are in one component already: those are connected and
+min-hashes are first compared to one of them, then each document to a few others of
+each of its tiles; links found so are joined to components, and the tiles' last pass
+takes all pairs but those that are in one component already: those are connected and
 need no comparing. Only components are asked for, so this loses nothing.
 
 "Common" is a list of at most ``LATE`` shingles by document counts, a bound of 8 bytes
@@ -30,7 +31,7 @@ whole; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ PERCENT = 75
 #: Most shingles in the list of common ones, and the least documents that make one common.
 LATE, LATE_DOCS = 500_000, 8
 MIN_HASHES = 6
+#: Rows that a row meets in each of its tiles in the first pass over them.
+FEW = 2
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIXERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -154,6 +157,24 @@ def _dk() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def _few_pairs(token: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_tile_pairs``, but each row meets only the next ``FEW`` of its tile, in an order that differs by tile."""
+    order = np.lexsort(((rid.view(np.uint64) ^ token.view(np.uint64)) * _K, token))
+    token, rid, comp, n, pos = (x[order] for x in (token, rid, comp, n, pos))
+    at = [np.flatnonzero((token[d:] == token[:-d]) & (comp[d:] != comp[:-d])) for d in range(1, FEW + 1)]
+    i, j = np.concatenate(at), np.concatenate([x + d for d, x in enumerate(at, 1)])
+    return _possible(rid, comp, n, pos, i, j)
+
+
+def _possible(rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows (i, j), those of two components whose sizes and places let them link, once each."""
+    room = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+    good = (comp[i] != comp[j]) & (room >= needed_overlap(n[i], n[j]))
+    a, b = rid[i[good]], rid[j[good]]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def _tile_pairs(token: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows in one tile that may link and aren't connected; rows are sorted by token, then n."""
     starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
@@ -183,16 +204,11 @@ def _tile_pairs(token: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndar
                 right.append(np.maximum(near, o))
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
-    room = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-    good = (comp[i] != comp[j]) & (room >= needed_overlap(n[i], n[j]))
-    a, b = rid[i[good]], rid[j[good]]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    return _possible(rid, comp, n, pos, np.concatenate(left), np.concatenate(right))
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """a, b: candidate pairs of ``rows`` (rid, comp, n, prefix)."""
+def _tiles(rows: DataFrame, choose: Callable = _tile_pairs) -> DataFrame:
+    """a, b: candidate pairs of ``rows`` (rid, comp, n, prefix), chosen in each tile by ``choose``."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +216,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
         size = 0
 
         def give(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = _tile_pairs(*(rows[k] for k in range(5)))
+            a, b = choose(*(rows[k] for k in range(5)))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for batch in batches:
@@ -285,11 +301,12 @@ def members(docs: DataFrame) -> DataFrame:
     near = bands.join(pivots, ["band", "value"]).where("key != _key").select("a", F.col("rid").alias("b")).distinct()
     links = staged(_verified(_bounded(near, sketched), sketched, docs), "near-links")
     comps = connected_components(links)
-    # all others: tiles of the rare shingles, leaving out what is connected
-    rows = sketched.select("rid", "key", "n", "prefix").join(comps, F.col("key") == F.col("node"), "left")
-    rows = rows.select("rid", F.xxhash64(F.coalesce("root", "key")).alias("comp"), "n", "prefix")
-    more = staged(_verified(_bounded(_tiles(rows), sketched), sketched, docs), "links")
-    comps = connected_components(links.union(more))
+    # tiles of the rare shingles, leaving out what is connected: a few pairs of each row, then all that is left
+    for choose, tag in ((_few_pairs, "few-links"), (_tile_pairs, "links")):
+        rows = sketched.select("rid", "key", "n", "prefix").join(comps, F.col("key") == F.col("node"), "left")
+        rows = rows.select("rid", F.xxhash64(F.coalesce("root", "key")).alias("comp"), "n", "prefix")
+        links = links.union(staged(_verified(_bounded(_tiles(rows, choose), sketched), sketched, docs), tag))
+        comps = connected_components(links)
     named = all_rows.select("doc_id", "dk", "key", "n").join(comps, F.col("key") == F.col("node"), "left")
     return staged(named.select("doc_id", "dk", "n", "key", F.coalesce("root", "key").alias("root")), "members")
 
