@@ -48,7 +48,7 @@ PERCENT = 75
 LATE, LATE_DOCS = 500_000, 8
 MIN_HASHES = 6
 #: Rows that a row meets in each of its tiles in the first pass over them.
-FEW = 2
+FEW = 6
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIXERS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -295,10 +295,10 @@ def members(docs: DataFrame) -> DataFrame:
     all_rows = staged(sketches(docs).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     sketched = all_rows.where("prefix is not null")
     # near copies: everyone against one document of its min-hash group
-    bands = sketched.select("rid", "key", F.posexplode("mins").alias("band", "value"))
+    bands = sketched.select("rid", "key", "n", F.posexplode("mins").alias("band", "value"))
     # another one in each band: a near copy that is too far from one is hardly too far from all
-    pivots = bands.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key", "rid")).alias("p"), F.max("key").alias("_max"), F.min("key").alias("_min")).where("_min != _max").select("band", "value", F.col("p.rid").alias("a"), F.col("p.key").alias("_key"))
-    near = bands.join(pivots, ["band", "value"]).where("key != _key").select("a", F.col("rid").alias("b")).distinct()
+    pivots = bands.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("key", "band").alias("h"), "key", "rid", "n")).alias("p"), F.max("key").alias("_max"), F.min("key").alias("_min")).where("_min != _max").select("band", "value", F.col("p.rid").alias("a"), F.col("p.key").alias("_key"), F.col("p.n").alias("_n"))
+    near = bands.join(pivots, ["band", "value"]).where(f"key != _key and 100 * least(n, _n) >= {PERCENT} * greatest(n, _n)").select("a", F.col("rid").alias("b")).distinct()
     links = staged(_verified(_bounded(near, sketched), sketched, docs), "near-links")
     comps = connected_components(links)
     # tiles of the rare shingles, leaving out what is connected: a few pairs of each row, then all that is left
