@@ -40,9 +40,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 4096, end_id: int =
         m, end = memo(tokenizer), np.array([end_id], "<u2").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(doc_ids), 256):
+            for at in range(0, len(doc_ids), 1024):
                 rows = []
-                for doc_id, data in zip(doc_ids[at : at + 256], m.texts(texts[at : at + 256]), strict=True):
+                for doc_id, data in zip(doc_ids[at : at + 1024], m.texts(texts[at : at + 1024]), strict=True):
                     ids = np.frombuffer(data + end, "<u2").astype("<u4")
                     rows += [(doc_id, k, s, min(tokens, len(ids) - s), ids[s : s + tokens].tobytes()) for k, s in enumerate(range(0, len(ids), tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

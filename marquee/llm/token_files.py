@@ -169,8 +169,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, docs_
 
 def _add(writer: Writer, m, batch: pa.RecordBatch, end: bytes) -> None:
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for at in range(0, len(ids), 256):
-        for doc_id, data in zip(ids[at : at + 256], m.texts(texts[at : at + 256]), strict=True):
+    for at in range(0, len(ids), 1024):
+        for doc_id, data in zip(ids[at : at + 1024], m.texts(texts[at : at + 1024]), strict=True):
             writer.add(doc_id, np.frombuffer(data + end, "<u2").astype("<u4"))
 
 

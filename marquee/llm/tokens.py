@@ -11,12 +11,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces kept at most; then the memo starts anew.
 MEMO = 600_000
+#: Characters of texts that are cut and joined at once; a longer text goes alone.
+AT_ONCE = 4_000_000
 _STOPS = (".", ",")
 _LATIN = frozenset(c for c in map(chr, range(0x180)) if c.isalpha())
+#: All white space but blank and line feed.
+_OTHER_SPACES = tuple(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")
 _LOADED: dict[str, Memo] = {}
 
 
@@ -31,6 +37,7 @@ class Memo(dict):
         assert self.lib.get_vocab_size() <= 1 << 16, "ids of more than 16 bits"
         #: whether white space yields ids, so that a word takes the one space before it along
         self.keeps_space = bool(self.lib.encode(" \n", add_special_tokens=False).ids)
+        self.cut = "\0" if self.keeps_space else " "
         #: stands between pieces that are encoded in one call, a piece of its own to the splitter
         self.between = "\n" if self.keeps_space else " 7 "
         self.mark = self.lib.encode(self.between, add_special_tokens=False).ids
@@ -38,21 +45,48 @@ class Memo(dict):
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 2 bytes each."""
-        cut = [self._pieces(t) for t in texts]
+        if self.keeps_space and any(self.cut in t for t in texts):  # no place for cuts: one by one, such texts whole
+            return [self._whole(t) if self.cut in t else self.texts([t])[0] for t in texts]
+        cut = [self._cut(t) for t in texts]
+        out, at = [], 0
+        while at < len(cut):
+            end, size = at + 1, len(cut[at])
+            while end < len(cut) and size + len(cut[end]) < AT_ONCE:
+                size += len(cut[end])
+                end += 1
+            out += self._joined(cut[at:end])
+            at = end
+        return out
+
+    def _joined(self, cut: list[str]) -> list[bytes]:
+        """The ids of texts whose pieces stand between ``self.cut``."""
+        coded = pc.split_pattern(pa.array([self.cut.join(cut)], pa.large_string()), self.cut).flatten().dictionary_encode()
+        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self) > MEMO:
             self.clear()
-        new = set().union(*cut).difference(self)
+        new = set(pieces).difference(self)
         # a stop after a letter is a piece of its own, so such a piece needs only its word
         stopped = [p for p in new if p.endswith(_STOPS) and p[-2:-1] in _LATIN]
         self._learn({*new.difference(stopped), *{p[:-1] for p in stopped}.difference(self), *set(_STOPS).difference(self)})
         self.update({p: self[p[:-1]] + self[p[-1]] for p in stopped})
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        known = [self[p] for p in pieces]
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[index]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(known), "<u2")[np.repeat(starts[index] - ends + each, each) + np.arange(ends[-1])]
+        last = np.cumsum([t.count(self.cut) + 1 for t in cut])
+        bounds = [0, *ends[last - 1].tolist()]
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, new: set[str]) -> None:
         mark = self.between.strip(" ")
         alone = [p for p in new if mark in p or len(p) > 200]
         for p in alone:
-            self[p] = np.array(self.lib.encode(p, add_special_tokens=False).ids, "<u2").tobytes()
+            self[p] = self._whole(p)
         joined = list(new.difference(alone))
         for at in range(0, len(joined), 500):
             part = joined[at : at + 500]
@@ -64,21 +98,20 @@ class Memo(dict):
                 self[p] = data[2 * at : 2 * end]
                 at = end + 1
 
-    def _pieces(self, text: str) -> list[str]:
+    def _cut(self, text: str) -> str:
+        """``text`` with ``self.cut`` between its pieces; it stands in none of them."""
         if not self.keeps_space:  # white space only ends words, and case doesn't count
             try:
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-            return [p for p in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if p]
-        if not text:
-            return []
-        runs = any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")) or text[0].isspace() or text[-1].isspace()
-        if runs or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        runs = any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or text[:1].isspace() or text[-1:].isspace()
+        if runs or any(x in text for x in _OTHER_SPACES):
             # a cut before a space is certain where neither neighbour of that space is white space
-            return re.split(r"(?<=\S)(?= \S)", text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            return re.sub(r"(?<=\S)(?= \S)", self.cut, text)
+        return text.replace("\n", f"{self.cut}\n{self.cut}").replace(" ", f"{self.cut} ")
 
 
 def memo(path: str) -> Memo:
