@@ -40,9 +40,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 4096, end_id: int =
         m, end = memo(tokenizer), np.array([end_id], "<u2").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(doc_ids), 1024):
+            for at in range(0, len(doc_ids), 8192):
                 rows = []
-                for doc_id, data in zip(doc_ids[at : at + 1024], m.texts(texts[at : at + 1024]), strict=True):
+                for doc_id, data in zip(doc_ids[at : at + 8192], m.texts(texts[at : at + 8192]), strict=True):
                     ids = np.frombuffer(data + end, "<u2").astype("<u4")
                     rows += [(doc_id, k, s, min(tokens, len(ids) - s), ids[s : s + tokens].tobytes()) for k, s in enumerate(range(0, len(ids), tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -57,7 +57,7 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     smallest = np.minimum.accumulate(lengths[order][::-1])[::-1] if len(lengths) else lengths
-    left, number, n_open, used = np.zeros((1024, 3)), np.zeros(1024, np.int64), 0, 0
+    left, number, n_open, used = np.zeros((8192, 3)), np.zeros(8192, np.int64), 0, 0
     for step, i in enumerate(order):
         n = float(lengths[i])
         need = np.array([n, 1.0, n * n])

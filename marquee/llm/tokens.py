@@ -9,21 +9,33 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 #: Pieces kept at most; then the memo starts anew.
 MEMO = 600_000
 #: Characters of texts that are cut and joined at once; a longer text goes alone.
-AT_ONCE = 4_000_000
+AT_ONCE = 10_000_000
 _STOPS = (".", ",")
-_LATIN = frozenset(c for c in map(chr, range(0x180)) if c.isalpha())
+#: Letters; without the one whose lower case ends in a combining mark.
+_LATIN = frozenset(c for c in map(chr, range(0x180)) if c.isalpha() and c != "\u0130")
 #: All white space but blank and line feed.
 _OTHER_SPACES = tuple(c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n")
 _LOADED: dict[str, Memo] = {}
+_PLAIN = (*range(33, 127), *range(161, 173), *range(174, 256))
+#: Byte (as a character) to the character that stands for it in byte-level vocabularies.
+_BYTES = dict(zip([*_PLAIN, *(b for b in range(256) if b not in _PLAIN)], [*_PLAIN, *range(256, 512)], strict=False))
+
+
+def _shown(word: str) -> str:
+    """A word as byte-level vocabularies spell it."""
+    return word.encode().decode("latin-1").translate(_BYTES) if not word.isascii() else word.replace(" ", "\u0120")
 
 
 class Memo(dict):
@@ -42,19 +54,22 @@ class Memo(dict):
         self.between = "\n" if self.keeps_space else " 7 "
         self.mark = self.lib.encode(self.between, add_special_tokens=False).ids
         assert len(self.mark) == 1
+        self.model = self.lib.model
+        #: whether the model alone gives a word's ids, as it does for byte-level vocabularies
+        words = ("word", "caf\u00e9", "\u0161\u00f8", *([" word", " \u00c9cole"] if self.keeps_space else []))
+        self.direct = sys.byteorder == "little" and isinstance(self.model, BPE) and all([t.id for t in self.model.tokenize(_shown(w))] == self.lib.encode(w, add_special_tokens=False).ids for w in words)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, 2 bytes each."""
         if self.keeps_space and any(self.cut in t for t in texts):  # no place for cuts: one by one, such texts whole
             return [self._whole(t) if self.cut in t else self.texts([t])[0] for t in texts]
-        cut = [self._cut(t) for t in texts]
         out, at = [], 0
-        while at < len(cut):
-            end, size = at + 1, len(cut[at])
-            while end < len(cut) and size + len(cut[end]) < AT_ONCE:
-                size += len(cut[end])
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) < AT_ONCE:
+                size += len(texts[end])
                 end += 1
-            out += self._joined(cut[at:end])
+            out += self._joined([self._cut(t) for t in texts[at:end]])
             at = end
         return out
 
@@ -64,12 +79,11 @@ class Memo(dict):
         pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self) > MEMO:
             self.clear()
-        new = set(pieces).difference(self)
-        # a stop after a letter is a piece of its own, so such a piece needs only its word
-        stopped = [p for p in new if p.endswith(_STOPS) and p[-2:-1] in _LATIN]
-        self._learn({*new.difference(stopped), *{p[:-1] for p in stopped}.difference(self), *set(_STOPS).difference(self)})
-        self.update({p: self[p[:-1]] + self[p[-1]] for p in stopped})
-        known = [self[p] for p in pieces]
+        known = list(map(self.get, pieces))
+        new = [k for k, data in enumerate(known) if data is None]
+        self._learn([pieces[k] for k in new])
+        for k in new:
+            known[k] = self[pieces[k]]
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 2
         starts = np.cumsum(lengths) - lengths
         each = lengths[index]
@@ -82,9 +96,30 @@ class Memo(dict):
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
+        """Puts in the ids of pieces: letters by the library's model, others by all its steps."""
+        stopped, rest, model = [], set(), self.model
+        for p in new:
+            word = p
+            if p.endswith(_STOPS) and p[-2:-1] in _LATIN:  # the stop is a piece of its own
+                stopped.append(p)
+                word = p[:-1]
+            if word in self:
+                continue
+            letters = word[1:] if self.keeps_space and word[:1] == " " else word
+            if self.direct and len(letters) <= 200 and (letters.isalpha() if letters.isascii() else _LATIN.issuperset(letters)) and (self.keeps_space or letters == letters.lower()):
+                self[word] = array("H", [t.id for t in model.tokenize(_shown(word))]).tobytes()
+            else:
+                rest.add(word)
+        self._by_library(rest.union(_STOPS).difference(self) if stopped else rest)
+        for p in stopped:
+            self[p] = self[p[:-1]] + self[p[-1]]
+
+    def _by_library(self, new: set[str]) -> None:
         mark = self.between.strip(" ")
-        alone = [p for p in new if mark in p or len(p) > 200]
+        # white space at an end would run together with the mark
+        bare = {p: p[1:] if p[:1] == " " else p for p in new}
+        alone = [p for p, b in bare.items() if mark in p or len(p) > 200 or not b or b[0].isspace() or b[-1].isspace()]
         for p in alone:
             self[p] = self._whole(p)
         joined = list(new.difference(alone))

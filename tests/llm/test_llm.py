@@ -180,7 +180,7 @@ def test_packed_file(bits):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_memo_equals_library(spark, name):
     m = memo(public_tokenizers.path(name))
-    odd = ["", "a . b , c.", "x.5 .5 5.", "İSTANBUL é.", "a_.b ,_", "é. n", "x ,\ny.", "a.\0 b", "  a  b\n\n c", " x", "x ", "don't  <|endoftext|> it's\r\n ok", " \n", "\x1c a", "ΣΑΣ 12 345 7", "日本 語  x"]
+    odd = ["", "a . b , c.", "x.5 .5 5.", "İSTANBUL é.", "a_.b ,_", "é. n", "x ,\ny.", "a.\0 b", "  a  b\n\n c", " x", "x ", "don't  <|endoftext|> it's\r\n ok", " \n", "\x1c a", "ΣΑΣ 12 345 7", "日本 語  x", "a\tb \t", "é\u3000", "İ. i̇.", "ß. ſ, \r x"]
     texts = odd + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(100).collect()]
     for t, data in zip(texts, m.texts(texts)):
         assert np.frombuffer(data, "<u2").tolist() == m.lib.encode(t, add_special_tokens=False).ids
