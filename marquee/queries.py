@@ -7,13 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions import dates, hashing, text
+from marquee.functions import dates, event_dates, extract, hashing, text
 from marquee.functions.similarity import edit_similarity, jaro_winkler
-from marquee.operators import changes, dedupe, quality, stats
+from marquee.operators import changes, dedupe, quality, sources, stats
 from marquee.operators.listings import ListingQuery, facets, matching, page, pagination
 from marquee.plans import views
 from marquee.plans.components import connected_components
-from marquee.sources import feeds
+from marquee.sources import feeds, structured
 from marquee.sources.tables import table
 from marquee.streaming.ingest import windowed_counts
 
@@ -312,3 +312,59 @@ def ical_events(spark, sf):
 def json_events(spark, sf):
     body = '{"events": [{"name": "A", "date_start": "2024-01-15", "venue": "Hall"}, {"title": "B", "start_date": "2024-02-01"}, {"title": "no date"}]}'
     return feeds.json_events(spark.range(1).select(F.lit(body).alias("content")))
+
+
+_TRUST = "CASE source WHEN 'BUILDING' THEN 90 WHEN 'MACHINERY' THEN 90 ELSE 40 END"
+_SCORES = {"building": 90, "machinery": 90, "automobile": 40, "furniture": 40, "household": 40}
+
+
+@_query(_L + f"SELECT city, id, source FROM l QUALIFY row_number() OVER (PARTITION BY city ORDER BY {_TRUST} DESC, updated_at, id) = 1")
+def most_trusted_row(spark, sf):
+    rows = views.listings(spark, sf).withColumn("ord", F.col("id"))
+    return sources.most_trusted(rows, "city", text.trust(F.col("source"), _SCORES)).select("city", "id", "source")
+
+
+@_query(_L + f", s AS (SELECT city, source, {_TRUST} AS t, min(id) AS o, count(*) AS n FROM l GROUP BY ALL) SELECT city, string_agg(source, ',' ORDER BY source) AS sources, arg_min(source, (-t, o)) AS primary_source, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY city")
+def source_metadata(spark, sf):
+    rows = views.listings(spark, sf).withColumn("ord", F.col("id"))
+    return sources.source_metadata(rows, "city", text.trust(F.col("source"), _SCORES)).select("city", F.array_join("sources", ",").alias("sources"), "primary_source", "n")
+
+
+@_query(_L + "SELECT source, count(*) AS n_before, count(*) FILTER (status = 'postponed') AS n_after, count(*) - count(*) FILTER (status = 'postponed') AS removed FROM l GROUP BY source")
+def source_counts(spark, sf):
+    rows = views.listings(spark, sf)
+    return sources.source_counts(rows, rows.where("status = 'postponed'"))
+
+
+@_query("WITH j AS (SELECT user_id, max(ts) AS last_run, CASE arg_max(event_type, (ts, -event_id)) WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' ELSE 'idle' END AS status FROM events GROUP BY 1), a AS (SELECT max(ts) AS t FROM events), s AS (SELECT CASE WHEN status = 'error' THEN 'error' WHEN status = 'running' AND last_run < t - INTERVAL 30 MINUTE THEN 'stuck' WHEN last_run < t - INTERVAL 1440 MINUTE THEN 'stale' ELSE 'healthy' END AS state FROM j, a) SELECT count(*) AS total, count(*) FILTER (state = 'healthy') AS healthy, count(*) FILTER (state = 'error') AS error, count(*) FILTER (state = 'stuck') AS stuck, count(*) FILTER (state = 'stale') AS stale FROM s")
+def job_health(spark, sf):
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("ts")).first()[0]
+    kind = F.max_by("event_type", F.struct("ts", -F.col("event_id")))
+    jobs = events.groupBy("user_id").agg(F.max("ts").alias("last_run"), kind.alias("_k"))
+    jobs = jobs.withColumn("status", F.when(F.col("_k") == "error", "error").when(F.col("_k") == "click", "running").otherwise("idle"))
+    return sources.job_summary(jobs, F.lit(last))
+
+
+@_query("SELECT x, CAST(day AS DATE) AS day, CAST(minutes AS INT) AS minutes FROM (VALUES ('Today', '2025-08-12', NULL), ('Wed.13.Aug.25', '2025-08-13', NULL), ('Thu, 28 Aug, 7:30 pm', '2025-08-28', 1170), ('Monday 11th August 13:00 - 14:45', '2026-08-11', 780), ('08/20/2025', '2025-08-20', NULL), ('soon', NULL, NULL)) AS t(x, day, minutes)")
+def event_days(spark, sf):
+    rows = spark.sql("SELECT * FROM VALUES ('Today'), ('Wed.13.Aug.25'), ('Thu, 28 Aug, 7:30 pm'), ('Monday 11th August 13:00 - 14:45'), ('08/20/2025'), ('soon') AS t(x)")
+    return rows.select("x", event_dates.parse_day(F.col("x"), dt.date(2025, 8, 12)).alias("day"), event_dates.clock(F.col("x")).alias("minutes"))
+
+
+@_query("SELECT 'Blue feat Red & Green' AS x, 'Blue|Red|Green' AS artists, 'blue feat red' AS main_artist, 'blue feat red green' AS search")
+def title_parts(spark, sf):
+    x = F.col("x")
+    return spark.sql("SELECT 'Blue feat Red & Green' AS x").select("x", F.array_join(extract.artists(x), "|").alias("artists"), extract.main_artist(x).alias("main_artist"), extract.searchable(x).alias("search"))
+
+
+@_query("SELECT doc_id, array_to_string(list_filter(['Rock', 'Pop', 'Jazz'], lambda g: contains(lower(text), lower(g))), ',') AS genres FROM documents")
+def document_genres(spark, sf):
+    found = extract.genres(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.filter(found, lambda g: g.isin("Rock", "Pop", "Jazz")), ",").alias("genres"))
+
+
+@_query("SELECT page_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS place, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a [^>]*href=\"([^\"]*)\"', 1) AS l FROM pages) WHERE len(l) > 0")
+def page_links(spark, sf):
+    rows = structured.declared_rows(table(spark, sf, "pages"), r"(?s)(<a [^>]*href=\"[^\"]*\")", {"href": {"pattern": 'href="([^"]*)"$', "fallback": ""}})
+    return rows.select("page_id", "place", "href")
