@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import io
 import os
 import zlib
@@ -266,6 +268,22 @@ def test_secrets(spark, odd, empty):
     assert secrets.findings(empty, trees).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    raw = base64.b64encode(b"".join(hashlib.sha256(b"%d" % k).digest() for k in range(300))).decode().replace("+", "x").replace("/", "Q")
+    jwt = f"eyJ{raw[:700]}.{raw[700:1700]}.{raw[1700:1996]}"
+    block = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *(raw[k : k + 64] for k in range(0, 12_000, 64)), "-----END RSA PRIVATE KEY-----"])
+    value = "!".join(raw[k : k + 12] for k in range(0, 120, 12))
+    assert len(jwt) > 2000 and len(block) > 12_000 and len(value) > 100
+    texts = [f"Authorization: Bearer {jwt} and on", f"before\n{block}\nafter", f'set password = "{value}" and go', f"see x=1abcde&token={raw[:40]}&next=page"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["candidate"]) for r in secrets.findings(docs).where("is_secret").collect()}
+    assert found == {(0, jwt), (1, block), (2, value), (3, raw[:40])}
+    out = [r["text"] for r in secrets.redacted(docs).orderBy("doc_id").collect()]
+    assert out == ["Authorization: Bearer [SECRET] and on", "before\n[SECRET]\nafter", 'set password = "[SECRET]" and go', "see x=1abcde&token=[SECRET]&next=page"]
+    long = spark.createDataFrame([(1, "-----BEGIN PRIVATE KEY-----" + "- a1-" * 200_000), (2, "k=" + "a1!" * 500_000), (3, "a1" * 1_000_000)], "doc_id long, text string")
+    assert {(r["doc_id"], r["length"]) for r in secrets.findings(long).collect()} >= {(2, 1_500_000), (3, 2_000_000)}
+
+
 def test_weak_quality(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
