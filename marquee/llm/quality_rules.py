@@ -2,7 +2,8 @@
 
 Base rules look at the whole text (see ``base_counts``). The method's verdict looks at
 lines with a word: a line fails the punctuation rule (mostly symbols, shouting, or a
-short line that ends in no punctuation though the text has lines that do), the
+short line that ends in no punctuation though lines that do hold at least half of the
+text's line characters, so verse, lists, glossaries and code stay whole), the
 navigation rule (bars or other separators between short entries) or the boilerplate
 rule (stock phrases). Failing lines are removed; a document is rejected when they held
 more than ``max_removed_percent`` of its lines' characters.
@@ -12,7 +13,8 @@ by one text. Sorting a text's 3-word windows costs n log n in its words.
 
 Defined cases: a null or blank text has zero counts and fails the base rules (under 50
 words); a text of any length is read whole; repeated rows are judged alike; an empty
-table gives an empty result; other columns pass through ``cleaned`` untouched.
+table gives an empty result; other columns pass through ``cleaned`` untouched. A line's
+end is looked for before its trailing white space, a carriage return too.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.words import SPACES, words
+from marquee.llm.words import SPACES, WORD, words
 
 #: Stock phrases, lower case.
 BOILERPLATE = (
@@ -39,7 +41,9 @@ BOILERPLATE = (
     "this work is licensed",
 )
 _WINDOWS = "array<struct<h:bigint,w:struct<a:string,b:string,c:string>,i:int>>"
-ENDS = ".!?…:;\"'”’»)]\t\r"
+ENDS = ".!?…:;\"'”’»)]\t\r"  # those of the SQL
+#: Last characters of a punctuated line, full stops of other scripts too.
+LINE_ENDS = ENDS.rstrip("\t\r") + "。｡．！？：；」』）】،؛؟۔।॥။።៖។"
 
 
 def repeated_window_words(w: Column) -> Column:
@@ -75,22 +79,28 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def line_fails(line: Column) -> Column:
-    """Whether one line is removed; see the module's text for the rules."""
+def ends_punctuated(line: Column) -> Column:
+    """Whether a line's last character, trailing white space aside, is punctuation."""
+    return F.contains(F.lit(LINE_ENDS), F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)))
+
+
+def line_fails(line: Column, punctuated: Column) -> Column:
+    """Whether one line of a text, ``punctuated`` or not, is removed; see the module's text for the rules."""
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-    gaps = count(" [^ ]") + 1  # about the number of words
+    n = count(WORD)
     stock = line.rlike("(?i)" + "|".join(BOILERPLATE))
     symbols, bangs, bars = count(r"[#*$%&<>]"), count("!"), count(r"[|»›•·]")
-    noisy = (symbols >= 3) & (2 * symbols >= gaps) | (bangs >= 6) & (2 * bangs >= gaps) | (bars >= 3) & (3 * bars >= gaps)
-    ended = F.contains(F.lit(ENDS), F.right(F.rtrim(line), F.lit(1)))
-    return F.when(line.rlike(r"[#*$%&<>!|»›•·]"), noisy).otherwise(False) | F.when(ended, False).otherwise(gaps <= 3) | stock
+    noisy = (symbols >= 3) & (2 * symbols >= n) | (bangs >= 6) & (2 * bangs >= n) | (bars >= 3) & (3 * bars >= n)
+    short = F.when(~punctuated | ends_punctuated(line), False).otherwise(n <= 3)
+    return F.when(line.rlike(r"[#*$%&<>!|»›•·]"), noisy).otherwise(False) | short | stock
 
 
 def judged(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
     """``docs`` with the base counts, ``clean_lines`` (array), ``line_chars``, ``removed_chars`` and ``kept``."""
     chars = lambda x: F.length(F.array_join(x, "")).cast("long")
-    out = base_counts(docs).withColumn("clean_lines", F.filter("_lines", lambda x: ~line_fails(x)))
-    out = out.withColumns({"line_chars": chars(F.col("_lines")), "removed_chars": chars(F.col("_lines")) - chars(F.col("clean_lines"))}).drop("_lines")
+    out = base_counts(docs).withColumn("_punctuated", 2 * chars(F.filter("_lines", ends_punctuated)) >= chars(F.col("_lines")))
+    out = out.withColumn("clean_lines", F.filter("_lines", lambda x: ~line_fails(x, F.col("_punctuated"))))
+    out = out.withColumns({"line_chars": chars(F.col("_lines")), "removed_chars": chars(F.col("_lines")) - chars(F.col("clean_lines"))}).drop("_lines", "_punctuated")
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_removed_percent * F.col("line_chars")))
 
 

@@ -89,6 +89,18 @@ def test_repeated_windows(spark):
     assert got == [brute(w) for w in words]
 
 
+def test_short_lines_fail_among_punctuated_ones_only(spark):
+    verse = [f"verse{k} of{k} night{k}" for k in range(30)]
+    table = [f"name{k}\tvalue{k}\tplace{k}\tday{k}" for k in range(20)]
+    said = [f"Line {k} tells number {k + 100} of a long story about towns{k} and rivers{k}." for k in range(8)]
+    crlf = [x + "\r" for x in [*said, "Home page"]]
+    wide = [f"字{k} 词{k} 句{k}。" for k in range(30)]
+    cases = [(verse, verse), (table + said, table + said), (crlf, crlf[:-1]), (wide, wide), (said + ["Home page", "a\tb\tc\td"], said + ["a\tb\tc\td"]), (verse + said[:1], verse + said[:1])]
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i, (lines, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in quality_rules.cleaned(docs).collect()}
+    assert got == {i: "\n".join(want) for i, (_, want) in enumerate(cases)}
+
+
 def brute_components(rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
