@@ -13,9 +13,13 @@ from marquee.plans.components import connected_components
 WEIGHTS = (0.3, 0.3, 0.2, 0.2)
 
 
-def block_keys(venue: Column, title: Column, city: Column, day: Column) -> Column:
-    """Keys of a row's blocks, those of more than 5 characters."""
-    keys = F.array(F.concat_ws("|", venue, day), F.concat_ws("|", title, day), F.concat_ws("|", city, title))
+def block_keys(venue: Column, title: Column, city: Column, start: Column) -> Column:
+    """Keys of a row's blocks, those of more than 5 characters, made of normal forms: all
+    four parts; venue and day; city, day and the title's first 20 characters."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    v, t, c = part(text.normal_venue(venue)), part(text.normal_title(title)), part(text.normal_city(city))
+    day = part(F.date_format(start, "yyyy-MM-dd"))
+    keys = F.array(F.concat_ws("|", v, t, c, day), F.concat_ws("|", v, day), F.concat_ws("|", c, day, F.left(t, F.lit(20))))
     return F.array_distinct(F.filter(keys, lambda k: F.length(k) > 5))
 
 

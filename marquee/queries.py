@@ -270,10 +270,26 @@ def duplicate_clusters(spark, sf):
     return connected_components(_pairs(spark, sf))
 
 
+def _candidates(spark, sf):
+    """Listings that share one of the operator's own block keys; ``_pairs`` blocks on raw texts, as SQL can."""
+    keys = dedupe.block_keys(F.col("venue"), F.col("title"), F.col("city"), F.col("date_start"))
+    return dedupe.candidate_pairs(views.listings(spark, sf), keys)
+
+
+@_query(None)
+def fuzzy_pairs(spark, sf):
+    return _candidates(spark, sf)
+
+
 @_query(None)
 def scored_pairs(spark, sf):
     rows = views.listings(spark, sf)
-    return dedupe.score_pairs(_pairs(spark, sf), rows)
+    return dedupe.score_pairs(_candidates(spark, sf), rows)
+
+
+@_query(None)
+def fuzzy_clusters(spark, sf):
+    return dedupe.clusters(scored_pairs(spark, sf))
 
 
 @_query(_T + """, m AS (SELECT *, CASE source WHEN 'BUILDING' THEN 90 WHEN 'MACHINERY' THEN 90 ELSE 40 END AS trust FROM l),
