@@ -380,6 +380,15 @@ def document_genres(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.filter(found, lambda g: g.isin("Rock", "Pop", "Jazz")), ",").alias("genres"))
 
 
+_GENRE_LIST = ", ".join(f"CASE WHEN {' OR '.join(f"contains(lower(text), '{k}')" for k, v in extract.GENRES.items() if v == name)} THEN '{name}' END" for name in dict.fromkeys(extract.GENRES.values()))
+
+
+@_query(f"SELECT doc_id, array_to_string(list_filter([{_GENRE_LIST}], lambda g: g IS NOT NULL), ',') AS genres FROM documents")
+def document_all_genres(spark, sf):
+    """All genres that the operator knows; ``document_genres`` shows three of them."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(extract.genres(F.col("text")), ",").alias("genres"))
+
+
 @_query("SELECT page_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS place, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a [^>]*href=\"([^\"]*)\"', 1) AS l FROM pages) WHERE len(l) > 0")
 def page_links(spark, sf):
     rows = structured.declared_rows(table(spark, sf, "pages"), r"(?s)(<a [^>]*href=\"[^\"]*\")", {"href": {"pattern": 'href="([^"]*)"$', "fallback": ""}})

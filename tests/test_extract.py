@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import event_dates, extract
 from marquee.operators import sources
+from marquee.queries import QUERIES
 from marquee.sources import files, structured
 
 TODAY = dt.date(2025, 8, 12)
@@ -107,3 +108,11 @@ def test_jobs(spark):
     assert tuple(sources.job_summary(jobs, F.lit(dt.datetime(2025, 8, 12)).cast("timestamp")).first()) == (4, 1, 1, 1, 1)
     for states, want in ((["healthy", "degraded"], "healthy"), (["degraded", "degraded"], "degraded"), (["failed"] * 3, "critical")):
         assert sources.overall_health(spark.createDataFrame([(s,) for s in states], "state string")).first()[0] == want
+
+
+def test_document_all_genres(spark, tmp_path):
+    texts = ["House and RAP", "folk rock", "drum and bass, dnb", "nothing", "orchestra, hip-hop & r&b", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["genres"] for r in QUERIES["document_all_genres"](spark, str(tmp_path)).collect()}
+    want = {i: ",".join(dict.fromkeys(v for k, v in extract.GENRES.items() if k in (t or "").lower())) for i, t in enumerate(texts)}
+    assert got == want and want[0] == "House,Hip Hop"
