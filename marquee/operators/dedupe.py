@@ -30,16 +30,46 @@ def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id") -> DataFrame
     return left.join(right, "_block").where("a < b").select("a", "b").distinct()
 
 
-def score_pairs(pairs: DataFrame, rows: DataFrame, hours: int = 2, key: str = "id") -> DataFrame:
-    """a, b, confidence: weighted likeness of venue, title, city and date."""
+def score_pairs(pairs: DataFrame, rows: DataFrame, hours: int = 2, key: str = "id", require_same_day: bool = False) -> DataFrame:
+    """a, b, confidence, reasons: weighted likeness of venue, title, place and date.
+
+    A part that is null counts 0. Without a city on both sides the address, else the
+    country, is compared. Rows with the same source and source_id have confidence 1; with
+    ``require_same_day`` those of different days have 0. ``source``, ``source_id``,
+    ``address`` and ``country`` are used where ``rows`` has them.
+    """
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    filled = lambda c: F.nullif(c, F.lit(""))
+
     def side(n: str) -> DataFrame:
-        return rows.select(F.col(key).alias(n), text.normal_venue(F.col("venue")).alias(f"v_{n}"), text.normal_title(F.col("title")).alias(f"t_{n}"), text.normal_city(F.col("city")).alias(f"c_{n}"), F.col("date_start").alias(f"d_{n}"))
+        place = filled(text.normal(F.coalesce(filled(given("address")), given("country"))))
+        parts = {"v": text.normal_venue(F.col("venue")), "t": text.normal_title(F.col("title")), "c": filled(text.normal_city(F.col("city"))), "p": place, "d": F.col("date_start"), "s": given("source"), "i": filled(given("source_id").cast("string")), "venue": F.col("venue"), "title": F.col("title"), "city": F.col("city")}
+        return rows.select(F.col(key).alias(n), *[c.alias(f"{k}_{n}") for k, c in parts.items()])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    cities = F.col("c_a").isNotNull() & F.col("c_b").isNotNull()
+    like = lambda x, y: F.coalesce(jaro_winkler(x, y), F.lit(0.0))
+    places = [F.when(cities, F.col(f"c_{n}")).otherwise(F.col(f"p_{n}")) for n in "ab"]
+    both = both.withColumns({"_x": places[0], "_y": places[1]})
+    both = both.withColumns({"venue": like(F.col("v_a"), F.col("v_b")), "title": like(F.col("t_a"), F.col("t_b")), "place": like(F.col("_x"), F.col("_y"))})
     gap = F.abs(F.unix_timestamp("d_a") - F.unix_timestamp("d_b"))
-    date = F.when(F.to_date("d_a") == F.to_date("d_b"), 1.0).when(gap <= hours * 3600, 0.8).otherwise(0.0)
-    parts = [jaro_winkler(F.col("v_a"), F.col("v_b")), jaro_winkler(F.col("t_a"), F.col("t_b")), jaro_winkler(F.col("c_a"), F.col("c_b")), date]
-    return both.select("a", "b", F.round(sum((w * p for w, p in zip(WEIGHTS, parts, strict=True)), F.lit(0.0)), 6).alias("confidence"))
+    same_day = F.coalesce(F.to_date("d_a") == F.to_date("d_b"), F.lit(False))
+    within = F.coalesce(gap <= hours * 3600, F.lit(False))
+    date = F.when(same_day, 1.0).when(within, 0.8).otherwise(0.0)
+    parts = [F.col("venue"), F.col("title"), F.col("place"), date]
+    overall = F.round(sum((w * p for w, p in zip(WEIGHTS, parts, strict=True)), F.lit(0.0)), 6)
+    reasons = F.array_compact(F.array(
+        F.when(F.col("venue") >= 0.8, F.format_string('Similar venues: "%s" vs "%s" (%.2f)', "venue_a", "venue_b", "venue")),
+        F.when(F.col("title") >= 0.75, F.format_string('Similar titles: "%s" vs "%s" (%.2f)', "title_a", "title_b", "title")),
+        F.when(cities & (F.col("place") >= 0.9), F.format_string("Same location: %s (%.2f)", "city_a", "place")),
+        F.when(same_day, "Same day").when(within, f"Within {hours}h time window"),
+    ))
+    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("No significant similarities found")))
+    same_source = (F.col("s_a") == F.col("s_b")) & (F.col("i_a") == F.col("i_b"))
+    veto = F.lit(require_same_day) & ~same_day
+    confidence = F.when(same_source, 1.0).when(veto, 0.0).otherwise(overall)
+    why = F.when(same_source, F.array(F.lit("Same source and sourceId"))).when(veto, F.array(F.lit("Different days (same day required)"))).otherwise(reasons)
+    return both.select("a", "b", confidence.alias("confidence"), why.alias("reasons"))
 
 
 def clusters(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -284,7 +284,7 @@ def fuzzy_pairs(spark, sf):
 @_query(None)
 def scored_pairs(spark, sf):
     rows = views.listings(spark, sf)
-    return dedupe.score_pairs(_candidates(spark, sf), rows)
+    return dedupe.score_pairs(_candidates(spark, sf), rows).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @_query(None)
