@@ -43,7 +43,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("secret scan", secret_scan), ("mixture", mixture), ("packing", packed)]
 
-#: Secrets (a trained forest) and packing have no SQL; the tests hold the stages against brute force.
+#: Secrets (a trained forest) and packing have no SQL. The tests hold the quality rules' counts against SQL and near
+#: duplicates against brute force; of the chain they check columns, that no more rows stay than the rules keep, one
+#: shape of secret and the count of pieces. No brute-force version of the whole chain exists.
 ORACLE_SQL = None
 
 
