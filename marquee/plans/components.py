@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.plans.staging import staged
+from marquee.plans.skew import lookup
+from marquee.plans.staging import discard, staged
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,29 +16,37 @@ def connected_components(links: DataFrame) -> DataFrame:
     their ends by doubling, and links are redrawn between those ends. Local minima at
     least halve, so rounds, and doublings within one, grow with the logarithm of the
     nodes. Every step is written to the shared folder; the driver sees only whether a
-    step changed anything. A node with millions of links costs one partial minimum a task.
+    step changed anything. A node with millions of links costs one partial minimum a task,
+    and a root that many nodes point to is looked up by broadcast (``lookup``).
     """
     links = links.select("a", "b").where("a is not null and b is not null and a != b")
     links = staged(links.distinct(), "links")
-    roots = None
+    roots: DataFrame | None = None
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         up = staged(up.select("node", F.least("node", "root").alias("root")), "up")
         while True:
-            to = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-            jumped = up.join(to, up["root"] == F.col("_n")).select("node", F.col("_r").alias("root"), (F.col("_r") != up["root"]).alias("_moved"))
-            jumped = staged(jumped, "jump")
-            up = jumped.drop("_moved")
-            if jumped.where("_moved").isEmpty():
+            next_up = up.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+            heads = staged(up.groupBy("root").agg(F.count("*").alias("_rows")).join(next_up, "root"), "heads")
+            if heads.where("_r != root").isEmpty():
+                discard(heads)
                 break
-        to = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            jumped = staged(lookup(up, heads, ["root"], "_rows").select("node", F.col("_r").alias("root")), "jump")
+            discard(up, heads)
+            up = jumped
+        to = staged(up.select(F.col("node").alias("_n"), F.col("root").alias("_r")), "to")
         if roots is None:
-            roots = up
+            new = staged(up.select("node", "root"), "roots")
         else:
-            roots = roots.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+            new = roots.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+            new = staged(new, "roots")
         ends = links.join(to, F.col("a") == F.col("_n")).select(F.col("_r").alias("a"), "b")
         ends = ends.join(to, F.col("b") == F.col("_n")).select("a", F.col("_r").alias("b"))
-        links = staged(ends.where("a != b").distinct(), "links")
-        roots = staged(roots, "roots")
-    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        fewer = staged(ends.where("a != b").distinct(), "links")
+        discard(up, to, roots, links)
+        links, roots = fewer, new
+    if roots is None:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    discard(links)
+    return roots
