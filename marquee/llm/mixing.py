@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.words import WORD, count_words
 from marquee.plans.prefix import global_rank
+from marquee.plans.rows import packed, unpacked
 from marquee.plans.staging import staged
 
 
@@ -64,7 +65,7 @@ def mix(
     rounded down: the one document at the cut is taken in part.
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    base = staged(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie")), "sizes")
+    base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie")), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes, weights, share, cap)
     t = targets.withColumnRenamed("source", "_source")
@@ -93,25 +94,27 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each copy that is taken.
 
-    Rows that are equal in id, source and text are dealt with as one group of copies.
+    Rows that are equal in id, source and text are dealt with as one group of copies; of their
+    other columns those of the least row (as JSON) are given, so reruns agree.
     The document at a source's cut appears once with its first words only, and its
     ``n_chars``, if there is one, follows. Documents without words take no part.
     """
-    taken = staged(mix(docs, **options).where("taken > 0"), "taken")
+    taken = staged(mix(docs.select("doc_id", "source", "text"), **options).where("taken > 0"), "taken")
     ways = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>")))
-    copies = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), F.explode(ways).alias("_words"))
-    plain, same = docs, ["_id", "_source", "_tie", "_size"]
-    if not taken.groupBy("doc_id", "source", "tie").count().where("count > 1").isEmpty():
-        # equal rows would join each with each: one stands for all of them and takes their copies
-        copies = copies.groupBy(*same).agg(F.collect_list("_words").alias("_all"))
-        number = F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.lit(0)))
-        plain = docs.withColumn("_no", number).where("_no = 1").drop("_no")
+    copies = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), F.explode(ways).alias("words"))
+    key, same = ["doc_id", "source", "tie"], ["_id", "_source", "_tie", "_size"]
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.xxhash64("text").alias("tie"))
+    if not taken.groupBy(*key).count().where("count > 1").isEmpty():
+        # equal rows would join each with each: the least of them stands for all and takes their copies
+        copies = copies.groupBy(*same).agg(F.collect_list("words").alias("all"))
+        rows = rows.groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
     else:
-        copies = copies.select(*same, F.array("_words").alias("_all"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tie"))
-    rows = plain.join(copies, on).withColumn("_words", F.explode("_all"))
-    part = (F.col("_words") >= 0) & (F.col("_words") < F.col("_size"))
-    rows = rows.withColumn("text", F.when(part, first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text")))
+        copies = copies.select(*same, F.array("words").alias("all"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("tie") == F.col("_tie"))
+    rows = rows.join(copies, on).withColumn("words", F.explode("all"))
+    part = (F.col("words") >= 0) & (F.col("words") < F.col("_size"))
+    text = F.when(part, first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(part, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(part, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    return unpacked(rows, docs.columns, **new)

@@ -13,7 +13,7 @@ by one text. Sorting a text's 3-word windows costs n log n in its words.
 
 Defined cases: a null or blank text has zero counts and fails the base rules (under 50
 words); a text of any length is read whole; repeated rows are judged alike; an empty
-table gives an empty result; other columns pass through ``cleaned`` untouched. A line's
+table gives an empty result; other columns, whatever their names, pass through ``cleaned`` untouched. A line's
 end is looked for before its trailing white space, a carriage return too.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.words import SPACES, WORD, words
+from marquee.plans.rows import packed, unpacked
 
 #: Stock phrases, lower case.
 BOILERPLATE = (
@@ -63,20 +64,20 @@ def repeated_window_words(w: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(F.size(F.array_distinct(covered)))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, _lines."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def base_counts(text: Column) -> dict[str, Column]:
+    """Working columns ``_w`` and ``_lines`` and those made of them: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    out = docs.withColumns({"_w": words(text), "_lines": lines})
-    out = out.withColumns({
+    symbols = F.when(text.rlike(r"[#*$%&|<>]"), F.regexp_count(text, F.lit(r"[#*$%&|<>]"))).otherwise(0)
+    return {
+        "_w": words(text),
+        "_lines": lines,
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_symbols": F.when(text.rlike(r"[#*$%&|<>]"), F.regexp_count(text, F.lit(r"[#*$%&|<>]"))).otherwise(0).cast("long"),
+        "n_symbols": symbols.cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_window_words(F.col("_w")).cast("long"),
-    }).drop("_w")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    }
 
 
 def ends_punctuated(line: Column) -> Column:
@@ -95,19 +96,27 @@ def line_fails(line: Column, punctuated: Column) -> Column:
     return F.when(line.rlike(r"[#*$%&<>!|»›•·]"), noisy).otherwise(False) | short | stock
 
 
-def judged(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
-    """``docs`` with the base counts, ``clean_lines`` (array), ``line_chars``, ``removed_chars`` and ``kept``."""
+def _judged(docs: DataFrame, max_removed_percent: int) -> DataFrame:
+    """The caller's rows in ``row`` and beside them the base counts, ``clean_lines`` and the verdict."""
     chars = lambda x: F.length(F.array_join(x, "")).cast("long")
-    out = base_counts(docs).withColumn("_punctuated", 2 * chars(F.filter("_lines", ends_punctuated)) >= chars(F.col("_lines")))
+    text = F.col("row.text")
+    counts = base_counts(text)
+    out = packed(docs).withColumns({k: counts.pop(k) for k in ("_w", "_lines")}).withColumns(counts).drop("_w")
+    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = out.withColumn("_punctuated", 2 * chars(F.filter("_lines", ends_punctuated)) >= chars(F.col("_lines")))
     out = out.withColumn("clean_lines", F.filter("_lines", lambda x: ~line_fails(x, F.col("_punctuated"))))
     out = out.withColumns({"line_chars": chars(F.col("_lines")), "removed_chars": chars(F.col("_lines")) - chars(F.col("clean_lines"))}).drop("_lines", "_punctuated")
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_removed_percent * F.col("line_chars")))
 
 
+def judged(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
+    """doc_id and text of every row with the base counts, ``clean_lines`` (array), ``line_chars``, ``removed_chars`` and ``kept``."""
+    return _judged(docs.select("doc_id", "text"), max_removed_percent).select("row.doc_id", "row.text", "*").drop("row")
+
+
 def cleaned(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
-    """The kept documents with the columns of ``docs``; their failing lines are removed from the text."""
+    """The kept documents with the columns of ``docs``; their failing lines are removed from the text, and ``n_chars``, if any, follows."""
     # the row number is never negative: it keeps Spark from moving the filter below and evaluating all rules again for it
-    kept = judged(docs, max_removed_percent).withColumn("_no", F.monotonically_increasing_id()).where("kept and _no >= 0").withColumn("text", F.array_join("clean_lines", "\n"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = _judged(docs, max_removed_percent).withColumn("_no", F.monotonically_increasing_id()).where("kept and _no >= 0")
+    text = F.array_join("clean_lines", "\n")
+    return unpacked(kept, docs.columns, text=text, n_chars=F.length(text).cast("long"))
