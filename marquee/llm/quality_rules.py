@@ -103,9 +103,11 @@ def _judged(docs: DataFrame, max_removed_percent: int) -> DataFrame:
     counts = base_counts(text)
     out = packed(docs).withColumns({k: counts.pop(k) for k in ("_w", "_lines")}).withColumns(counts).drop("_w")
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("_punctuated", 2 * chars(F.filter("_lines", ends_punctuated)) >= chars(F.col("_lines")))
-    out = out.withColumn("clean_lines", F.filter("_lines", lambda x: ~line_fails(x, F.col("_punctuated"))))
-    out = out.withColumns({"line_chars": chars(F.col("_lines")), "removed_chars": chars(F.col("_lines")) - chars(F.col("clean_lines"))}).drop("_lines", "_punctuated")
+    punctuated = 2 * chars(F.filter("_lines", ends_punctuated)) >= chars(F.col("_lines"))
+    # an array of one holds the text's own condition: as a column Spark would work it out again for each line
+    good = F.transform(F.array(punctuated), lambda p: F.filter("_lines", lambda x: ~line_fails(x, p)))
+    out = out.withColumn("clean_lines", F.flatten(good))
+    out = out.withColumns({"line_chars": chars(F.col("_lines")), "removed_chars": chars(F.col("_lines")) - chars(F.col("clean_lines"))}).drop("_lines")
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_removed_percent * F.col("line_chars")))
 
 
