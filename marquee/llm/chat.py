@@ -2,8 +2,10 @@
 
 A record is a JSON object. Its fingerprint is the SHA-256 of its sorted field paths
 (array items share the path ``[]``). ``MAPPINGS`` names, for the paths of each known
-layout, where turns, roles and texts lie; nothing in the code knows a layout. A record
-whose fingerprint no mapping gives is kept as one row with a null role and its status.
+layout, where turns, roles and texts lie; nothing in the code knows a layout. A fingerprint that
+no mapping has selects the mapping with most paths among those whose paths it holds all, so
+further fields do no harm; a task settles that once a fingerprint. A record that no mapping
+fits is one row with a null role and its status: ``known`` and ``rejects`` part the two.
 
 The template marks each turn by its role and escapes control strings inside texts by a
 backslash after their first character (a backslash is doubled), which ``unescape`` undoes.
@@ -13,7 +15,8 @@ A conversation's rows are sorted within one task and stream through it, a turn a
 time: SHA-256 over a conversation is sequential, so the turns of one conversation must
 pass one task, but no more than one turn is held.
 
-Defined cases: a null text is empty; a null role is the empty role; a null turn comes
+Defined cases: a null text is empty; a null role is the empty role; a record without turns,
+null or unreadable JSON included, is a reject; a null turn comes
 last; a null conv_id is a conversation of its own; equal turn numbers are ordered by
 their place in the record, role and text; repeated rows are repeated turns; an empty
 table gives an empty result; columns that a mapping doesn't name are not used.
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 #: Layouts: ``paths`` are all field paths of a record; ``turns`` is the path of an array of
 #: turns (or none), ``role`` and ``text`` lie in a turn; ``pairs`` lists (role, path).
 MAPPINGS = (
-    {"name": "row", "paths": ["conv_id", "turn", "role", "text"], "role": "role", "text": "text", "number": "turn"},
+    {"name": "row", "paths": ["conv_id", "turn", "role", "text"], "role": "role", "text": "text", "number": "turn", "verbatim": True},
     {"name": "messages", "paths": ["conv_id", "messages", "messages[]", "messages[].content", "messages[].role"], "turns": "messages", "role": "role", "text": "content"},
     {"name": "messages-only", "paths": ["messages", "messages[]", "messages[].content", "messages[].role"], "turns": "messages", "role": "role", "text": "content"},
     {"name": "from-value", "paths": ["conversations", "conversations[]", "conversations[].from", "conversations[].value"], "turns": "conversations", "role": "from", "text": "value"},
@@ -46,7 +49,7 @@ MAPPINGS = (
     {"name": "question", "paths": ["answer", "question"], "pairs": [["user", "question"], ["assistant", "answer"]]},
     {"name": "nested", "paths": ["data", "data.messages", "data.messages[]", "data.messages[].content", "data.messages[].role"], "turns": "data.messages", "role": "role", "text": "content"},
 )
-#: Other names of the three roles.
+#: Other names of the three roles, in layouts that don't keep roles as they are (``verbatim``).
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 #: Opening and closing marks by role; any other role is named in its opening mark.
 MARKS = {"user": ("[INST] ", " [/INST]\n"), "assistant": ("<s> ", " </s>\n"), "system": ("<<SYS>>\n", "\n<</SYS>>\n")}
@@ -90,15 +93,28 @@ def mapped(value: dict, mapping: dict) -> list[tuple[int | None, str, str]]:
         return [(k, role, "\n".join(x for x in parts if x) if len(parts) > 1 else parts[0]) for k, (role, parts) in enumerate(got)]
     rows = _at(value, mapping["turns"]) if "turns" in mapping else [value]
     number = lambda k, x: _at(x, mapping["number"]) if "number" in mapping else k
-    role = lambda x: ROLES.get(r := _text(_at(x, mapping["role"])), r)
+    names = {} if mapping.get("verbatim") else ROLES
+    role = lambda x: names.get(r := _text(_at(x, mapping["role"])), r)
     return [(number(k, x), role(x), _text(_at(x, mapping["text"]))) for k, x in enumerate(rows or [])]
 
 
 def canonical_turns(records: DataFrame, mappings: tuple[dict, ...] = MAPPINGS) -> DataFrame:
     """conv_id, turn, place, role, text, layout from ``records`` (conv_id, json)."""
-    known = {fingerprint(m["paths"]): m for m in mappings}
+    exact = {fingerprint(m["paths"]): m for m in mappings}  # ties above go to the first mapping
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen: dict[str, dict | None] = dict(exact)
+
+        def choose(value: object) -> dict | None:
+            found = paths(value)
+            mark = fingerprint(found)
+            if mark not in chosen:
+                if len(chosen) > 10_000:
+                    chosen.clear()
+                    chosen.update(exact)
+                chosen[mark] = max((m for m in mappings if found.issuperset(m["paths"])), key=lambda m: len(m["paths"]), default=None)
+            return chosen[mark]
+
         for batch in batches:
             rows = []
             for conv_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -106,7 +122,7 @@ def canonical_turns(records: DataFrame, mappings: tuple[dict, ...] = MAPPINGS) -
                     value = json.loads(text) if text is not None else None
                 except ValueError:
                     value = None
-                mapping = known.get(fingerprint(paths(value))) if isinstance(value, dict) else None
+                mapping = choose(value) if isinstance(value, dict) else None
                 if mapping is None:
                     rows.append((conv_id, None, 0, None, text, "unknown" if value is not None else "unreadable"))
                 else:
@@ -116,6 +132,16 @@ def canonical_turns(records: DataFrame, mappings: tuple[dict, ...] = MAPPINGS) -
     return records.select(F.col("conv_id").cast("long"), "json").mapInArrow(turns, "conv_id long, turn long, place long, role string, text string, layout string")
 
 
+def known(turns: DataFrame) -> DataFrame:
+    """The turns of records that a mapping fits."""
+    return turns.where(~F.col("layout").isin("unknown", "unreadable"))
+
+
+def rejects(turns: DataFrame) -> DataFrame:
+    """conv_id, json and why (unknown or unreadable) of the records that no mapping fits."""
+    return turns.where(F.col("layout").isin("unknown", "unreadable")).select("conv_id", F.col("text").alias("json"), F.col("layout").alias("why"))
+
+
 def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
 

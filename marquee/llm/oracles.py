@@ -32,7 +32,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 _ESCAPED = "|".join(["\\\\", *(c.replace("[", "\\[").replace("]", "\\]") for c in chat.CONTROL)])
 _ESC_LEN = lambda x: f"(length({x}) + {_count(x, _ESCAPED)})"
 _MARKS = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in chat.MARKS.items())
-_ROLE = "coalesce(CASE role " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in chat.ROLES.items()) + " ELSE role END, '')"
+_ROLE = "coalesce(role, '')"
 CHAT = f"""
 WITH t AS (SELECT conv_id, turn, {_ROLE} AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -30,7 +30,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     extra = f'{{"conv_id": -1, "messages": [{{"role": "user", "content": "{hard}"}}, {{"role": "assistant", "content": "{hard}"}}]}}'
     records = rows.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(extra).alias("json")))
-    return chat.digests(chat.formatted(chat.canonical_turns(records)))
+    return chat.digests(chat.formatted(chat.known(chat.canonical_turns(records))))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_warc(table(spark, sf_dir, "pages"), min_bytes=0)
-    return warc.read_warc(files, with_payload=False).drop("url", "payload")
+    return warc.read_warc(files, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

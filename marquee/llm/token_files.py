@@ -11,12 +11,12 @@ Layout of a file (all integers little-endian):
 ``bits`` is the least width that holds the vocabulary. A block's ids unpack in one numpy
 step, and the offsets give random access to any id or document.
 
-Documents are range-partitioned and sorted by doc_id; each partition streams into one
+Documents are range-partitioned and sorted by doc_id and a hash of the text; each partition streams into one
 file. Memory is a block plus 17 bytes a document of the file. Starts over all files come
 from a running sum of one row a file.
 
 Defined cases: a null text is empty (it still gets its end id); a null doc_id comes last;
-equal doc_ids are ordered by text; an empty table gives no files and an empty result;
+equal doc_ids are ordered by a hash of the text; an empty table gives no files and an empty result;
 other columns are not read.
 """
 
@@ -150,7 +150,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, docs_
         file = f"{path}/{number:06d}.mqpk"
         m = memo(tokenizer)
         bits = max(((vocabulary or m.lib.get_vocab_size()) - 1).bit_length(), end_id.bit_length(), 1)
-        end = np.array([end_id], "<u2").tobytes()
+        end = np.array([end_id], m.dtype).tobytes()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -163,7 +163,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, docs_
 
     n_files = max(1, -(-docs.select("doc_id").count() // docs_per_file))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(n_files, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))  # rows of one doc_id may span files
+    ordered = ordered.repartitionByRange(n_files, *order).sortWithinPartitions(*order, "text")
     return staged(ordered.mapInArrow(write, "number int, path string, n_docs long, n_ids long"), "token-files")
 
 
@@ -171,7 +172,7 @@ def _add(writer: Writer, m, batch: pa.RecordBatch, end: bytes) -> None:
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     for at in range(0, len(ids), 8192):
         for doc_id, data in zip(ids[at : at + 8192], m.texts(texts[at : at + 8192]), strict=True):
-            writer.add(doc_id, np.frombuffer(data + end, "<u2").astype("<u4"))
+            writer.add(doc_id, np.frombuffer(data + end, m.dtype).astype("<u4"))
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

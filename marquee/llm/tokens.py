@@ -39,28 +39,30 @@ def _shown(word: str) -> str:
 
 
 class Memo(dict):
-    """Piece to its ids as little-endian unsigned 16-bit integers."""
+    """Piece to its ids as little-endian unsigned integers (``dtype``): 16 bits where the vocabulary fits, else 32."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.lib.no_truncation()
-        assert self.lib.get_vocab_size() <= 1 << 16, "ids of more than 16 bits"
+        self.width, self.code = (2, "H") if self.lib.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.dtype = f"<u{self.width}"
         #: whether white space yields ids, so that a word takes the one space before it along
         self.keeps_space = bool(self.lib.encode(" \n", add_special_tokens=False).ids)
         self.cut = "\0" if self.keeps_space else " "
         #: stands between pieces that are encoded in one call, a piece of its own to the splitter
         self.between = "\n" if self.keeps_space else " 7 "
         self.mark = self.lib.encode(self.between, add_special_tokens=False).ids
-        assert len(self.mark) == 1
+        if len(self.mark) != 1:
+            raise ValueError("the mark between pieces must be one token of the vocabulary")
         self.model = self.lib.model
         #: whether the model alone gives a word's ids, as it does for byte-level vocabularies
         words = ("word", "caf\u00e9", "\u0161\u00f8", *([" word", " \u00c9cole"] if self.keeps_space else []))
         self.direct = sys.byteorder == "little" and isinstance(self.model, BPE) and all([t.id for t in self.model.tokenize(_shown(w))] == self.lib.encode(w, add_special_tokens=False).ids for w in words)
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, 2 bytes each."""
+        """The ids of each text, ``width`` bytes each."""
         if self.keeps_space and any(self.cut in t for t in texts):  # no place for cuts: one by one, such texts whole
             return [self._whole(t) if self.cut in t else self.texts([t])[0] for t in texts]
         out, at = [], 0
@@ -84,17 +86,17 @@ class Memo(dict):
         self._learn([pieces[k] for k in new])
         for k in new:
             known[k] = self[pieces[k]]
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.width
         starts = np.cumsum(lengths) - lengths
         each = lengths[index]
         ends = np.cumsum(each)
-        ids = np.frombuffer(b"".join(known), "<u2")[np.repeat(starts[index] - ends + each, each) + np.arange(ends[-1])]
+        ids = np.frombuffer(b"".join(known), self.dtype)[np.repeat(starts[index] - ends + each, each) + np.arange(ends[-1])]
         last = np.cumsum([t.count(self.cut) + 1 for t in cut])
         bounds = [0, *ends[last - 1].tolist()]
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, new: list[str]) -> None:
         """Puts in the ids of pieces: letters by the library's model, others by all its steps."""
@@ -108,7 +110,7 @@ class Memo(dict):
                 continue
             letters = word[1:] if self.keeps_space and word[:1] == " " else word
             if self.direct and len(letters) <= 200 and (letters.isalpha() if letters.isascii() else _LATIN.issuperset(letters)) and (self.keeps_space or letters == letters.lower()):
-                self[word] = array("H", [t.id for t in model.tokenize(_shown(word))]).tobytes()
+                self[word] = array(self.code, [t.id for t in model.tokenize(_shown(word))]).tobytes()
             else:
                 rest.add(word)
         self._by_library(rest.union(_STOPS).difference(self) if stopped else rest)
@@ -125,12 +127,15 @@ class Memo(dict):
         joined = list(new.difference(alone))
         for at in range(0, len(joined), 500):
             part = joined[at : at + 500]
-            ids = np.array(self.lib.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, "<u2")
+            ids = np.array(self.lib.encode_batch_fast([self.between.join(part)], add_special_tokens=False)[0].ids, self.dtype)
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            assert len(ends) == len(part)
-            data, at = ids.tobytes(), 0
+            if len(ends) != len(part):  # a piece holds the mark's id: one by one
+                for p in part:
+                    self[p] = self._whole(p)
+                continue
+            data, at, w = ids.tobytes(), 0, self.width
             for p, end in zip(part, ends, strict=True):
-                self[p] = data[2 * at : 2 * end]
+                self[p] = data[w * at : w * end]
                 at = end + 1
 
     def _cut(self, text: str) -> str:

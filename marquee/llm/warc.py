@@ -4,12 +4,15 @@ Written: one gzip member a record. Of records whose payloads are equal (SHA-1) a
 ``min_bytes`` at least, that with the smallest page_id is a ``response``; the others are
 ``revisit`` records, which hold the HTTP header but no payload and name the response.
 
-Read: a file is decompressed member by member as it streams in; records are framed by
-Content-Length, and block and payload digests are verified. A cut-off, wrongly framed or
-altered file raises ``ValueError``.
-
-Equal payloads meet only as (digest, smallest id) sums, combined before the shuffle, so
-a page that a third of all rows share costs one row. Each task writes files of its own
+Read: a file is decompressed member by member as it streams in; records of every type are
+framed by Content-Length, and block and payload digests are verified where a record states
+them in a known form (SHA-1, SHA-256 or MD5, in base32 or hex). Archives of other writers are read
+too: ids that aren't ours leave page_id null, and ``types`` names the record types wanted. A
+cut-off, wrongly framed or altered file raises ``ValueError``.
+
+Equal payloads meet as (digest, smallest id) sums, combined before the shuffle. Only pages whose
+digest may be shared are joined with these, and a digest that many pages share is broadcast, so
+neither unique pages nor those of a hot digest move. Each task writes files of its own
 rows. Memory is one record, at either end.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty one; a
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.plans.files import opened, written
+from marquee.plans.skew import lookup, may_be_in
 from marquee.plans.staging import new_path, staged
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,48 +95,76 @@ def _members(file: BinaryIO) -> Iterator[Iterator[bytes]]:
             pass
 
 
+def _agrees(stated: str, hashes: dict) -> bool:
+    """Whether a digest as records state it, ``algorithm:value``, is that of the hashed bytes; unknown forms count as agreeing."""
+    name, _, value = stated.partition(":")
+    h = hashes.get(name.lower().replace("-", ""))
+    return h is None or value.upper().rstrip("=") == base64.b32encode(h.digest()).decode().rstrip("=") or value.lower() == h.hexdigest()
+
+
+def _hashes(*stated: str | None) -> dict:
+    """The hashes that these digests need."""
+    names = {s.partition(":")[0].lower().replace("-", "") for s in stated if s}
+    return {n: hashlib.new(n) for n in names & {"sha1", "sha256", "md5"}}
+
+
 def read_records(file: BinaryIO, with_payload: bool = True) -> Iterator[dict]:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload of each record."""
+    """record_type, record_id, page_id, url, refers_to, payload_bytes, payload_digest and payload of each record.
+
+    A payload is what follows the HTTP header, or the whole block of a record without one. ``payload_bytes``
+    of a revisit is the length that its HTTP header states, null where it has none.
+    """
     for chunks in _members(file):
         data = b""
         while (at := data.find(b"\r\n\r\n")) < 0:
             data += next(chunks, b"") or _bad("no end of a record's header")
-        version, *lines = data[:at].decode().split("\r\n")
+        version, *lines = data[:at].decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        if not version.startswith("WARC/") or not head.get("content-length", "").isdigit():
+        if not version.startswith("WARC/") or not head.get("content-length", "").isdigit() or "warc-type" not in head:
             _bad("not a record's header")
-        left, data = int(head["content-length"]), data[at + 4 :]
-        block, body, http, payload, size = hashlib.sha1(), hashlib.sha1(), b"", [], 0
+        left, data, kind = int(head["content-length"]), data[at + 4 :], head["warc-type"]
+        of_block, of_payload = head.get("warc-block-digest"), head.get("warc-payload-digest")
+        block, body, http, payload, size = _hashes(of_block), _hashes(of_payload), b"", [], 0
+        in_http = kind in ("response", "revisit", "request") and head.get("content-type", "").startswith("application/http")
         while left:
             data = data or next(chunks, b"") or _bad("a record's block is too short")
             part, data = data[:left], data[left:]
             left -= len(part)
-            block.update(part)
-            if b"\r\n\r\n" not in http:
-                start, _, part = (http + part).partition(b"\r\n\r\n") if b"\r\n\r\n" in http + part else (http + part, b"", b"")
-                http = start + (b"\r\n\r\n" if _ else b"")
-            body.update(part)
+            for h in block.values():
+                h.update(part)
+            if in_http and b"\r\n\r\n" not in http:
+                http, end, part = (http + part).partition(b"\r\n\r\n")
+                http += end
+            for h in body.values():
+                h.update(part)
             size += len(part)
             if with_payload:
                 payload.append(part)
         if (data + b"".join(chunks)) != b"\r\n\r\n":
             _bad("a record's end is not where its length says")
-        name = lambda d: "sha1:" + base64.b32encode(d.digest()).decode()
-        kind, stated = head["warc-type"], int(next(x.split(b":")[1] for x in http.lower().split(b"\r\n") if x.startswith(b"content-length:")))
-        if name(block) != head["warc-block-digest"] or kind == "response" and (name(body) != head["warc-payload-digest"] or size != stated):
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n"))}
+        stated, coded = fields.get(b"content-length", b""), b"transfer-encoding" in fields
+        whole = kind not in ("revisit", "request") and not coded
+        if of_block and not _agrees(of_block, block) or of_payload and whole and not _agrees(of_payload, body) or whole and stated.isdigit() and int(stated) != size:
             _bad("a digest or length doesn't match")
-        page = lambda x: int(y) if (y := x.strip("<>").removeprefix(_URN)) else None
         yield {
-            "page_id": page(head["warc-record-id"]),
-            "url": head.get("warc-target-uri", ""),
-            "payload_bytes": stated,
-            "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
             "record_type": kind,
-            "refers_to": page(head["warc-refers-to"]) if "warc-refers-to" in head else None,
-            "payload": b"".join(payload) if with_payload and kind == "response" else None,
+            "record_id": head.get("warc-record-id", "").strip("<>"),
+            "page_id": _page(head.get("warc-record-id", "")),
+            "url": head.get("warc-target-uri", "").strip("<>"),
+            "refers_to": _page(head.get("warc-refers-to", "")),
+            "payload_bytes": size if kind != "revisit" else int(stated) if stated.isdigit() else None,
+            "payload_digest": of_payload.removeprefix("sha1:") if of_payload else None,
+            "payload": b"".join(payload) if with_payload and kind != "revisit" else None,
         }
 
 
+def _page(record_id: str) -> int | None:
+    """The page_id in an id that this module wrote."""
+    number = record_id.strip("<>").removeprefix(_URN)
+    return int(number) if record_id.strip("<>").startswith(_URN) and number.lstrip("-").isdigit() else None
+
+
 def _bad(what: str) -> bytes:
     raise ValueError(what)
 
@@ -143,9 +175,15 @@ def write_warc(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01-01T
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("_digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= min_bytes
-    shared = rows.where(large).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(shared, "_digest", "left")
-    rows = rows.select("page_id", "url", "html", F.when(large & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_first"))), F.col("_first")).alias("refers_to"))
+    shared = rows.where(large).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    shared = staged(shared, "shared")
+    marked, on, working = may_be_in(rows, F.col("_digest"), shared.select("_digest"))
+    marked = marked.withColumn("_maybe", on & large).drop(*working)
+    several = lookup(marked.where("_maybe"), shared, ["_digest"], "_n", "left")
+    columns = ("page_id", "url", "html", "_first")
+    rows = marked.where("not _maybe").withColumn("_first", F.lit(None).cast("long")).select(*columns).union(several.select(*columns))
+    other = F.col("page_id").isNull() | (F.col("page_id") != F.col("_first"))
+    rows = rows.select("page_id", "url", "html", F.when(other, F.col("_first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = (record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], date) for b in batches for r in b.to_pylist())
@@ -165,17 +203,17 @@ def write_warc(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01-01T
     return staged(rows.mapInArrow(write, "path string, n_records long"), "warc-files")
 
 
-def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of the files named in ``files`` (path); see ``read_records``."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+def read_warc(files: DataFrame, with_payload: bool = True, types: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
+    """The records of ``types`` (all, if empty) in the files named in ``files`` (path); see ``read_records``."""
+    schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with opened(path) as file:
-                    records = read_records(file, with_payload)
+                    records = (r for r in read_records(file, with_payload) if not types or r["record_type"] in types)
                     while part := list(itertools.islice(records, 64)):
                         yield pa.RecordBatch.from_pylist(part, schema)
 
     spread = files.select("path").repartition(max(1, min(files.count(), 4096)))
-    return spread.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return spread.mapInArrow(read, "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
