@@ -26,6 +26,38 @@ def parse_time(x: Column) -> Column:
     return F.when(ok, hour * 60 + m)
 
 
+# fixed values: forms of time zones in a text, first to last
+ZONES = (r"(?i)(?:UTC|GMT)(?:[+-]\d{1,2}(?::\d{2})?)?", r"(?i)(?:EST|PST|MST|CST|EDT|PDT|MDT|CDT)(?![A-Za-z0-9_])", r"[A-Z]{3,4}(?![A-Za-z0-9_])")
+
+
+def time_zone(x: Column) -> Column:
+    """The first time zone that a text names, in capitals; null if none."""
+    return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(x, f"(?<![A-Za-z0-9_])(?:{p})", 0), F.lit("")) for p in ZONES]))
+
+
+def local_day(ts: Column, zone: str = "UTC") -> Column:
+    """The day of a UTC timestamp in a time zone."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz")))
+
+
+def same_day(a: Column, b: Column, zone: str = "UTC") -> Column:
+    """Two timestamps are on one day; false where one is null."""
+    return F.coalesce(local_day(a, zone) == local_day(b, zone), F.lit(False))
+
+
+def start_of_day(ts: Column) -> Column:
+    return F.date_trunc("DAY", ts)
+
+
+def is_future(ts: Column, as_of: dt.datetime) -> Column:
+    return ts > F.lit(as_of)
+
+
+def is_reasonable(ts: Column, as_of: dt.datetime) -> Column:
+    """At most 365 days back and 730 ahead."""
+    return ts.between(F.lit(as_of - dt.timedelta(days=365)), F.lit(as_of + dt.timedelta(days=730)))
+
+
 def round_hour(ts: Column) -> Column:
     return F.date_trunc("HOUR", ts + F.expr("INTERVAL 30 MINUTES"))
 
@@ -45,6 +77,11 @@ def named_range(option: str, today: dt.date) -> tuple[dt.date | None, dt.date |
     return None, None
 
 
+def option_of(first: dt.date | None, last: dt.date | None, today: dt.date) -> str:
+    """The named range that has these days, else ``all``; the first that fits."""
+    return next((o for o in ("today", "tomorrow", "this-week", "this-month") if named_range(o, today) == (first, last)), "all")
+
+
 def ordinal_day(ts: Column) -> Column:
     """Such as ``Tue 12th August 2025``."""
     d = F.dayofmonth(ts)

@@ -85,6 +85,37 @@ def parse_start(day: Column, time: Column, today: dt.date, hour: int = 19, dayfi
     return at_minute(parse_day(day, today, dayfirst), F.coalesce(clock(time), clock(day), F.lit(hour * 60)))
 
 
+#: What stands for a date that can't be read, where a site's rule wants one.
+SENTINEL = dt.datetime(2099, 12, 31, 23, 59, 59)
+#: Sites' rules (fixed values): the hour of dates without a time, the time of dates whose row has none, and what
+#: stands for a date that can't be read: the current time, the sentinel, or nothing (null).
+SITES = {
+    "lanes": (22, None, None),
+    "croft": (19, None, "now"),
+    "thekla": (12, None, None),
+    "fleece": (12, None, "sentinel"),
+    "strange-brew": (19, None, "sentinel"),
+    "louisiana": (19, "7:30pm", "now"),
+    "electric": (19, "7:00pm", "now"),
+    "rough-trade": (19, None, "sentinel"),
+}
+
+
+def site_start(site: str, text: Column, time: Column, as_of: dt.datetime) -> Column:
+    """Start of an event as a site writes it: day and time of ``text``, the time of ``time`` first; see ``SITES``.
+
+    "Tomorrow" may stand anywhere in the text. A blank or null text is a date that can't be read.
+    """
+    hour, given, otherwise = SITES[site]
+    today = as_of.date()
+    soon = F.when(F.lower(text).contains("tomorrow"), F.lit(today + dt.timedelta(days=1)))
+    day = F.coalesce(soon, parse_day(text, today))
+    minutes = F.coalesce(clock(time), clock(text), *([clock(F.lit(given))] if given else []), F.lit(hour * 60))
+    fallback = {"now": as_of, "sentinel": SENTINEL}.get(otherwise)
+    start = at_minute(day, minutes)
+    return start if fallback is None else F.coalesce(start, F.lit(fallback).cast("timestamp_ntz"))
+
+
 def group_range(group: Column, span: Column, today: dt.date) -> Column:
     """struct(start, end) of a day's heading and a range of times; an end before the start is the next day's."""
     day, start, end = parse_day(group, today), clock(span), clock(F.regexp_extract(span, r"(\d{1,2}:\d{2})\s*$", 1))

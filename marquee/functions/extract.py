@@ -79,6 +79,40 @@ def venue_label(x: Column) -> Column:
     return trim(F.regexp_replace(page_text(x), rf"(?i)^the{WS}+", ""))
 
 
+# fixed values: words of a venue's kind that stand apart from its name
+VENUE_KINDS = ("Theatre", "Theater", "Hall", "Club", "Bar", "Pub", "Arena", "Stadium")
+# fixed values: parts of a text and the city they stand for, in order
+CITIES = {"bristol": "Bristol", "london": "London", "nottingham": "Nottingham", "liverpool": "Liverpool", "new york": "New York", "nyc": "New York"}
+
+
+def spaced_kind(x: Column) -> Column:
+    """``venue_label`` with one blank before a kind of venue at its end."""
+    return F.regexp_replace(venue_label(x), rf"(?i){WS}*\b({'|'.join(VENUE_KINDS)})$", " $1")
+
+
+def room_name(x: Column, house: str) -> Column:
+    """A room's name after its house's, but for texts that are empty or name the house already."""
+    own = F.coalesce(trim(x), F.lit(""))
+    return F.when((own == "") | F.lower(own).contains(house.lower()), F.lit(house)).otherwise(F.concat(F.lit(house + ", "), own))
+
+
+def title_before_date(x: Column) -> Column:
+    """What stands before a date such as Thu, 28 Aug; the text itself where there is none."""
+    found = trim(F.regexp_extract(x, r"(?s)^(.*?)\w{3},?\s*\d{1,2}\s+\w{3}", 1))
+    return F.coalesce(F.nullif(found, F.lit("")), trim(x))
+
+
+def price_span(x: Column) -> Column:
+    """A price or a span of prices in pounds, as written; null if none."""
+    return F.nullif(F.regexp_extract(x, r"£\d+(?:\.\d{2})?(?:\s*-\s*£\d+(?:\.\d{2})?)?", 0), F.lit(""))
+
+
+def city_of(x: Column, default: str) -> Column:
+    """The first of the ``CITIES`` that a text names, else ``default``."""
+    low = F.lower(x)
+    return F.coalesce(*[F.when(low.contains(k), F.lit(v)) for k, v in CITIES.items()], F.lit(default))
+
+
 def open_slug(x: Column) -> Column:
     """Lower case, all but letters and digits as single hyphens, edges too."""
     return F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-")

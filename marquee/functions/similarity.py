@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the likeness from which things count as equal
+THRESHOLDS = {"exact": 1.0, "high": 0.85, "medium": 0.7, "low": 0.5, "venue": 0.8, "title": 0.75, "location": 0.9}
+
 
 def jaro(a: str, b: str) -> float:
     """1 for equal texts, 0 if one is empty; half transpositions keep their fraction."""
@@ -51,6 +54,28 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return score(a, b)
 
 
+def folded(a: str, b: str) -> float:
+    """Jaro-Winkler without case or outer blanks: the shorter text is matched to the longer, and the prefix bonus is always given."""
+    x, y = sorted((a.lower().strip(), b.lower().strip()), key=len)
+    if x == y:
+        return 1.0
+    if not x:
+        return 0.0
+    j = jaro(x, y)
+    same = next((k for k, (p, q) in enumerate(zip(x[:4], y[:4], strict=False)) if p != q), min(len(x), 4))
+    return j + 0.1 * same * (1 - j) if j else 0.0
+
+
+def text_similarity(a: Column, b: Column) -> Column:
+    """``folded`` of two columns; null where one is null."""
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else folded(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return score(a, b)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)

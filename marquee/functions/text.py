@@ -12,7 +12,9 @@ EVENT_WORDS = ("the", "live", "concert", "show", "event")
 STREETS = {"st": "street", "rd": "road", "ave": "avenue", "dr": "drive"}
 VENUE_WORDS = ("club", "bar", "pub", "venue", "hall", "center", "centre", "theatre", "theater", "arena", "stadium")
 TITLE_WORDS = ("presents", "featuring", "feat", "ft", "with", "plus", "vs", "versus")
-RELEASE_WORDS = ("tour", "album", "ep", "single")
+RELEASE_WORDS = ("tour", "world tour", "live", "album", "ep", "single")
+# fixed values: the marks that matching leaves out; all others stay
+MARKS = r"""[.,!?;:\-_()\[\]{}"|'`~@#$%^&*+=<>/\\]"""
 CITY_WORDS = ("city", "town", "borough", "county")
 
 
@@ -40,10 +42,9 @@ def listing_id(venue: Column, title: Column, date_start: Column, city: Column) -
 
 
 def normal(x: Column) -> Column:
-    """Text for matching: no case, punctuation or event words, street names spelled out."""
-    y = F.regexp_replace(collapse(F.lower(x)), r"(?U)[^\w\s&]", "")
+    """Text for matching: no case, listed marks or event words, ``and`` as an ampersand, street names spelled out. Null stays null."""
+    y = F.regexp_replace(collapse(F.lower(x)), MARKS, "")
     y = F.regexp_replace(y, f"{_L}and{_R}", "&")
-    y = collapse(F.regexp_replace(y, "&", " "))
     y = drop_words(y, EVENT_WORDS)
     for short, full in STREETS.items():
         y = F.regexp_replace(y, f"{_L}{short}{_R}", full)
@@ -88,6 +89,11 @@ def trust(source: Column, table: dict[str, int] | None = None) -> Column:
     return F.coalesce(*given, by_name)
 
 
+def compare_trust(a: Column, b: Column, table: dict[str, int] | None = None) -> Column:
+    """Trust of source ``a`` less that of ``b``."""
+    return trust(a, table) - trust(b, table)
+
+
 def absolute_url(url: Column, base: str) -> Column:
     root = base.rstrip("/")
     return F.when(url.startswith("http"), url).when(url.startswith("/") | url.startswith("#"), F.concat(F.lit(root), url)).otherwise(F.concat(F.lit(root + "/"), url))

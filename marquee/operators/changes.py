@@ -38,3 +38,16 @@ def patch(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
 
 def delete(base: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     return base.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def in_order(changed: DataFrame) -> DataFrame:
+    """Changed rows with ``ord``: new ones, then updated ones, then the others."""
+    return changed.withColumn("ord", F.array_position(F.array(*map(F.lit, ("new", "updated", "unchanged"))), F.col("change")).cast("int"))
+
+
+def put_configs(old: DataFrame, new: DataFrame, as_of: Column, key: str = "source_id") -> DataFrame:
+    """key, hash, outcome (inserted, updated, unchanged or kept) and imported_at, which stays that of the first import."""
+    a, b = old.select(F.col(key).alias("_a"), F.col("hash").alias("_x"), F.col("imported_at").alias("_at")), new.select(F.col(key).alias("_b"), F.col("hash").alias("_y"))
+    outcome = F.when(F.col("_a").isNull(), "inserted").when(F.col("_b").isNull(), "kept").when(F.col("_x").eqNullSafe(F.col("_y")), "unchanged").otherwise("updated")
+    both = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
+    return both.select(F.coalesce("_b", "_a").alias(key), F.coalesce("_y", "_x").alias("hash"), outcome.alias("outcome"), F.coalesce("_at", as_of).alias("imported_at"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import text
-from marquee.functions.similarity import jaro_winkler
+from marquee.functions.dates import local_day
+from marquee.functions.similarity import THRESHOLDS, jaro_winkler
 from marquee.plans.components import connected_components
+from marquee.plans.skew import lookup
+from marquee.plans.staging import discard, staged
 
 #: Weights of venue, title, place and date in a match.
 WEIGHTS = (0.3, 0.3, 0.2, 0.2)
@@ -77,16 +80,107 @@ def clusters(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     return connected_components(pairs.where(F.col("confidence") >= threshold).select("a", "b"))
 
 
+def fuzzy_key(venue: Column, title: Column, city: Column, start: Column, zone: str = "UTC") -> Column:
+    """struct(venue, title, city, day, composite) of normal forms; null parts are empty texts."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    parts = {"venue": part(text.normal_venue(venue)), "title": part(text.normal_title(title)), "city": part(text.normal_city(city)), "day": part(F.date_format(local_day(start, zone), "yyyy-MM-dd"))}
+    return F.struct(*[c.alias(n) for n, c in parts.items()], F.concat_ws("|", *parts.values()).alias("composite"))
+
+
+def likely_same(pairs: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """The scored pairs that are one event, most likely: confidence of 0.85 or more, on one day."""
+    day = lambda n: rows.select(F.col(key).alias(n), F.to_date("date_start").alias(f"_{n}"))
+    both = pairs.where(F.col("confidence") >= THRESHOLDS["high"]).join(day("a"), "a").join(day("b"), "b")
+    return both.where("_a = _b").drop("_a", "_b")
+
+
+def by_confidence(pairs: DataFrame) -> DataFrame:
+    return pairs.orderBy(F.desc("confidence"), "a", "b")
+
+
+def greedy_groups(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """node, lead: groups made in order of ids. The first id not yet in a group leads one and takes all its partners that are in none.
+
+    Each round does so for every id that has no smaller partner left: these can't take from each other, and a
+    partner of several goes to the smallest. So rounds give what going through the ids one by one gives. All steps
+    are joins on ids, written to the shared folder. An id whose partners are all in other groups leads itself.
+    """
+    edges = pairs.where(F.col("confidence") >= threshold).select("a", "b").where("a != b")
+    both = staged(edges.union(edges.select("b", "a")).distinct(), "edges")
+    nodes, done = staged(both.select(F.col("a").alias("node")).distinct(), "nodes"), None
+    while not both.isEmpty():
+        leads = both.groupBy("a").agg(F.min("b").alias("least")).where("a < least").select(F.col("a").alias("lead"))
+        taken = both.join(leads, F.col("b") == F.col("lead")).groupBy(F.col("a").alias("node")).agg(F.min("lead").alias("lead"))
+        new = staged(taken.union(leads.select(F.col("lead").alias("node"), "lead")), "greedy")
+        gone = new.select(F.col("node").alias("_gone"))
+        rest = both.join(gone, F.col("a") == F.col("_gone"), "left_anti").join(gone, F.col("b") == F.col("_gone"), "left_anti")
+        left = staged(rest, "edges")
+        discard(both)
+        both, done = left, new if done is None else done.union(new)
+    if done is None:
+        return nodes.select("node", F.col("node").alias("lead"))
+    return nodes.join(done, "node", "left").select("node", F.coalesce("lead", "node").alias("lead"))
+
+
+def group_reasons(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """lead, n, confidence and reasons of groups of two or more: the highest confidence and all different reasons between the lead and its partners."""
+    led = groups.where("node != lead")
+    ends = pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"), "confidence", "reasons").union(pairs.select("b", "a", "confidence", "reasons"))
+    return led.join(ends, ["lead", "node"]).groupBy("lead").agg((F.count_distinct("node") + 1).alias("n"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(F.array_join("reasons", "; "))).alias("reasons"))
+
+
+def _most_trusted(rows: DataFrame, group: str, trust: Column) -> DataFrame:
+    """The rows whose trust is the highest of their group; only one sum a group is shuffled for that."""
+    scored = rows.withColumn("_trust", trust)
+    best = staged(scored.groupBy(group).agg(F.max("_trust").alias("_best"), F.count("*").alias("_rows")), "best")
+    return lookup(scored, best, [group], "_rows").where("_trust = _best").drop("_trust", "_best")
+
+
 def merge_by_trust(rows: DataFrame, group: str, trust: Column) -> DataFrame:
-    """One row for each group: of its most trusted rows, in order of ``ord``.
+    """One row for each group (null is none): of its most trusted rows, in order of ``ord``.
 
     The first gives title, status and the venue; the last one that has a price gives it;
-    tags are united; updated_at is the latest.
+    tags are united; updated_at is the latest. Tags are made distinct before they are gathered.
     """
-    best = Window.partitionBy(group)
-    rows = rows.withColumn("_trust", trust).withColumn("_best", F.max("_trust").over(best)).where("_trust = _best")
-    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags"))))
-    return rows.groupBy(group).agg(
+    rows = _most_trusted(rows, group, trust)
+    tags = rows.select(group, F.explode("tags").alias("_tag")).distinct().groupBy(group).agg(F.array_sort(F.collect_list("_tag")).alias("tags"))
+    merged = rows.groupBy(group).agg(
         F.min_by("title", "ord").alias("title"), F.min_by("status", "ord").alias("status"), F.min_by("venue", "ord").alias("venue"),
-        F.max_by("price", F.when(F.col("price").isNotNull(), F.col("ord"))).alias("price"), tags.alias("tags"), F.max("updated_at").alias("updated_at"), F.count("*").alias("n"),
+        F.max_by("price", F.when(F.col("price").isNotNull(), F.col("ord"))).alias("price"), F.max("updated_at").alias("updated_at"), F.count("*").alias("n"),
     )
+    return merged.join(tags, group, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+#: Fields of a merged listing (fixed values): united arrays, parts of the venue, and fields the last row that has one gives.
+UNITED, VENUE_PARTS, LAST = ("artists", "genre", "tags", "images"), ("name", "address", "city", "country", "lat", "lng"), ("tickets_url", "event_url", "date_end", "timezone", "age_restriction")
+
+
+def merge_listings(rows: DataFrame, group: str, trust: Column) -> DataFrame:
+    """One whole listing for each group, of its most trusted rows in order of ``ord``: the first gives id, source,
+    title, date_start, price and status; arrays are united; each part of ``venue`` (a struct) comes from the first row that
+    has it; URLs, end, time zone and age from the last; updated_at is the latest. Columns that ``rows`` lacks are left out.
+    """
+    rows = _most_trusted(rows, group, trust)
+    kinds = dict(rows.dtypes)
+    first = [F.min_by(c, "ord").alias(c) for c in ("id", "source", "title", "date_start", "price", "status") if c in kinds]
+    given = lambda c: c.isNotNull() & (c.cast("string") != "")
+    last = [F.max_by(c, F.when(given(F.col(c)), F.col("ord"))).alias(c) for c in LAST if c in kinds]
+    parts = [F.min_by(F.col(f"venue.{p}"), F.when(given(F.col(f"venue.{p}")), F.col("ord"))).alias(p) for p in VENUE_PARTS] if "venue" in kinds else []
+    merged = rows.groupBy(group).agg(*first, *last, F.struct(*parts).alias("venue") if parts else F.lit(None).alias("venue"), F.max("updated_at").alias("updated_at"), F.count("*").alias("n"))
+    for c in (c for c in UNITED if c in kinds):
+        items = rows.select(group, "ord", F.posexplode(c).alias("_p", "_x")).groupBy(group, "_x").agg(F.min(F.struct("ord", "_p")).alias("_at"))
+        united = items.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda x: x["_x"]).alias(c))
+        merged = merged.join(united, group, "left").withColumn(c, F.coalesce(c, F.array().cast(kinds[c])))
+    return merged
+
+
+def by_id(rows: DataFrame, key: str = "id") -> DataFrame:
+    """key and the rows that share it, newest first; a key's rows are few, as ids are."""
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("updated_at", *[c for c in others if c != "updated_at"])), asc=False).alias("rows"))
+
+
+def same_content(rows: DataFrame, content: Column, key: str = "id") -> DataFrame:
+    """hash, n and first_id of contents that more than one row has; the hash is that of ``content``."""
+    groups = rows.groupBy(F.sha2(content, 256).alias("hash"))
+    return groups.agg(F.count("*").alias("n"), F.min(key).alias("first_id")).where("n > 1")

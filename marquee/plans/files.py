@@ -27,3 +27,10 @@ def written(uri: str) -> Iterator[NativeFile]:
 def opened(uri: str) -> NativeFile:
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_input_file(path)
+
+
+def remove(path: str) -> None:
+    """Deletes a folder of the shared folder, if it is there; a path without scheme is local."""
+    system, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        system.delete_dir(at)

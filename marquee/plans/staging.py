@@ -13,9 +13,10 @@ import os
 import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from marquee.plans.files import remove
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -56,6 +57,5 @@ def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``staged`` wrote; nothing may read them afterwards. Other tables are left alone."""
     for df in tables:
         if path := getattr(df, "staged_at", None):
-            system, at = fs.FileSystem.from_uri(path)
-            system.delete_dir(at)
+            remove(path)
             df.staged_at = None

@@ -21,11 +21,14 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def tagged(spark: SparkSession, sf: str) -> DataFrame:
-    """``listings`` with tags: the distinct brands and types of an order's parts, sorted."""
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+def tagged(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """``listings`` (or those of them in ``of``) with tags: the distinct brands and types of an order's parts, sorted."""
+    lines = table(spark, sf, "lineitem")
+    if of is not None:  # only these orders' parts are joined and gathered
+        lines = lines.join(of.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     tags = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("p_brand", "p_type"))))).alias("tags"))
-    return listings(spark, sf).join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return (listings(spark, sf) if of is None else of).join(tags, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def snapshot(spark: SparkSession, sf: str, new: bool) -> DataFrame:

@@ -71,12 +71,14 @@ def listing_horizon(spark, sf):
 
 @_query(_T + f"SELECT id, array_to_string(tags, ',') AS tags FROM l WHERE date_start >= {_TODAY} AND len(list_filter(tags, lambda x: contains(lower(x), 'brand#1'))) > 0")
 def listing_tag(spark, sf):
-    return matching(views.tagged(spark, sf), ListingQuery(AS_OF, tag="Brand#1")).select("id", F.array_join("tags", ",").alias("tags"))
+    soon = matching(views.listings(spark, sf), ListingQuery(AS_OF))
+    return matching(views.tagged(spark, sf, soon), ListingQuery(AS_OF, tag="Brand#1")).select("id", F.array_join("tags", ",").alias("tags"))
 
 
 @_query(_T + f"SELECT id, CAST(len(tags) AS INT) AS n FROM l WHERE date_start >= {_TODAY} AND list_has_any(tags, ['Brand#11', 'Brand#23'])")
 def listing_tags_any(spark, sf):
-    return matching(views.tagged(spark, sf), ListingQuery(AS_OF, tags=("Brand#11", "Brand#23"))).select("id", F.size("tags").alias("n"))
+    soon = matching(views.listings(spark, sf), ListingQuery(AS_OF))
+    return matching(views.tagged(spark, sf, soon), ListingQuery(AS_OF, tags=("Brand#11", "Brand#23"))).select("id", F.size("tags").alias("n"))
 
 
 @_query(_L + f"SELECT {_SEL} FROM l WHERE date_start >= {_TODAY} ORDER BY title DESC, id LIMIT 50")
@@ -191,8 +193,7 @@ def document_keys(spark, sf):
 
 @_query("SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def exact_duplicates(spark, sf):
-    docs = table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("hash"))
-    return docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return dedupe.same_content(table(spark, sf, "documents"), F.col("text"), "doc_id")
 
 
 @_query("SELECT c_custkey, sha256('{\"city\":\"' || n_name || '\",\"name\":\"' || c_name || '\"}') AS stable, sha256('\"' || concat_ws('|', c_name, c_mktsegment, CAST(c_custkey AS VARCHAR), n_name) || '\"') AS composite FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -355,11 +356,10 @@ def source_counts(spark, sf):
 @_query("WITH j AS (SELECT user_id, max(ts) AS last_run, CASE arg_max(event_type, (ts, -event_id)) WHEN 'error' THEN 'error' WHEN 'click' THEN 'running' ELSE 'idle' END AS status FROM events GROUP BY 1), a AS (SELECT max(ts) AS t FROM events), s AS (SELECT CASE WHEN status = 'error' THEN 'error' WHEN status = 'running' AND last_run < t - INTERVAL 30 MINUTE THEN 'stuck' WHEN last_run < t - INTERVAL 1440 MINUTE THEN 'stale' ELSE 'healthy' END AS state FROM j, a) SELECT count(*) AS total, count(*) FILTER (state = 'healthy') AS healthy, count(*) FILTER (state = 'error') AS error, count(*) FILTER (state = 'stuck') AS stuck, count(*) FILTER (state = 'stale') AS stale FROM s")
 def job_health(spark, sf):
     events = table(spark, sf, "events")
-    last = events.agg(F.max("ts")).first()[0]
     kind = F.max_by("event_type", F.struct("ts", -F.col("event_id")))
     jobs = events.groupBy("user_id").agg(F.max("ts").alias("last_run"), kind.alias("_k"))
     jobs = jobs.withColumn("status", F.when(F.col("_k") == "error", "error").when(F.col("_k") == "click", "running").otherwise("idle"))
-    return sources.job_summary(jobs, F.lit(last))
+    return sources.job_summary(jobs, F.lit(jobs.agg(F.max("last_run")).first()[0]))
 
 
 @_query("SELECT x, CAST(day AS DATE) AS day, CAST(minutes AS INT) AS minutes FROM (VALUES ('Today', '2025-08-12', NULL), ('Wed.13.Aug.25', '2025-08-13', NULL), ('Thu, 28 Aug, 7:30 pm', '2025-08-28', 1170), ('Monday 11th August 13:00 - 14:45', '2026-08-11', 780), ('08/20/2025', '2025-08-20', NULL), ('soon', NULL, NULL)) AS t(x, day, minutes)")
