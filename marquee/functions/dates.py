@@ -14,7 +14,8 @@ def parse_iso(x: Column) -> Column:
 
 
 def parse_ical(x: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in ("yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd'T'HHmmss", "yyyyMMdd")])
+    """A calendar's day or second, else any ISO form; null where the text is none."""
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in ("yyyyMMdd'T'HHmmss'Z'", "yyyyMMdd'T'HHmmss", "yyyyMMdd")], F.try_to_timestamp(x))
 
 
 def parse_time(x: Column) -> Column:

@@ -13,7 +13,7 @@ from marquee.operators import changes, dedupe, listings, mapping, stats, validat
 from marquee.operators.listings import ListingQuery
 from marquee.plans import views
 from marquee.queries import _CHANGE, _COLS, _L, _N, _S, _SCORES, _SEL, _SNAP, _T, AS_OF, _candidates, _changed
-from marquee.sources import feeds, plugins
+from marquee.sources import feeds, plugins, structured
 from marquee.sources.tables import table
 
 QUERIES: dict = {}
@@ -335,3 +335,20 @@ def change_order(spark, sf):
 def config_puts(spark, sf):
     old, new = (views.snapshot(spark, sf, x).select(F.col("id").alias("source_id"), "hash", F.col("first_seen").alias("imported_at")) for x in (False, True))
     return changes.put_configs(old, new, F.lit(AS_OF))
+
+
+_BLANKS = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@_query(f"WITH p AS (SELECT page_id, nullif({_BLANKS.format("regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1)")}, '') AS h, nullif({_BLANKS.format("regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)")}, '') AS t, nullif(regexp_extract(html, '(?i)<img[^>]+src=\"([^\"]+)\"', 1), '') AS image FROM pages) SELECT page_id, coalesce(h, t) AS title, image FROM p WHERE coalesce(h, t) IS NOT NULL")
+def page_events(spark, sf):
+    return structured.page_events(table(spark, sf, "pages")).select("page_id", "title", "image")
+
+
+@_query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'no content' WHEN 1 THEN 'unknown format' ELSE 'no item' END AS why FROM pages WHERE page_id % 4 != 3")
+def feed_rejects(spark, sf):
+    """Feeds made of pages: empty, as they are, as an RSS file without items, and with one."""
+    n, html = F.col("page_id") % 4, F.col("html")
+    rss = F.concat(F.lit("<rss>"), F.when(n == 3, "<item><title>x</title></item>").otherwise(""), F.lit("</rss>"))
+    docs = table(spark, sf, "pages").select("page_id", F.lit("text/plain").alias("content_type"), F.when(n == 0, "  ").when(n == 1, F.concat(F.lit("page "), html)).otherwise(rss).alias("content"))
+    return structured.feed_rejects(docs).select("page_id", "why")

@@ -12,10 +12,10 @@ def _tag(xml: Column, name: str) -> Column:
 
 
 def rss(docs: DataFrame, content: str = "content") -> DataFrame:
-    """title, description, link, date, location, categories of the items with title and date."""
+    """title, description, link, date, location, lat, lng, categories of the items with title and date."""
     item = docs.select("*", F.explode(F.regexp_extract_all(content, F.lit(r"(?is)<item[^>]*>(.*?)</item>"), F.lit(1))).alias("_i"))
     i = F.col("_i")
-    out = item.select(_tag(i, "title").alias("title"), _tag(i, "description").alias("description"), _tag(i, "link").alias("link"), F.coalesce(_tag(i, "pubDate"), _tag(i, "dc:date")).alias("date"), _tag(i, "location").alias("location"), F.regexp_extract_all(i, F.lit(r"(?is)<category[^>]*>(.*?)</category>"), F.lit(1)).alias("categories"))
+    out = item.select(_tag(i, "title").alias("title"), _tag(i, "description").alias("description"), _tag(i, "link").alias("link"), F.coalesce(_tag(i, "pubDate"), _tag(i, "dc:date")).alias("date"), _tag(i, "location").alias("location"), _tag(i, "geo:lat").try_cast("double").alias("lat"), F.coalesce(_tag(i, "geo:long"), _tag(i, "geo:lon")).try_cast("double").alias("lng"), F.regexp_extract_all(i, F.lit(r"(?is)<category[^>]*>(.*?)</category>"), F.lit(1)).alias("categories"))
     return out.where("title is not null and date is not null")
 
 
@@ -34,11 +34,11 @@ def ical(docs: DataFrame, content: str = "content") -> DataFrame:
 
 
 def json_events(docs: DataFrame, content: str = "content") -> DataFrame:
-    """title, date, location of a JSON array of events or an object with ``events``; names vary."""
+    """title, date, end, location, description, url, categories of a JSON array of events or an object with ``events``; names vary."""
     text = F.coalesce(F.get_json_object(content, "$.events"), F.col(content))
     row = docs.select(F.explode(F.from_json(text, "array<map<string,string>>")).alias("_r"))
     first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.try_element_at("_r", F.lit(n))), F.lit("")) for n in names])
-    return row.select(first("title", "name", "summary").alias("title"), first("date", "date_start", "start_date", "start").alias("date"), first("location", "venue", "place").alias("location")).where("title is not null and date is not null")
+    return row.select(first("title", "name", "summary").alias("title"), first("date", "date_start", "start_date", "start", "startDate", "datetime").alias("date"), first("location", "venue", "place", "venue_name").alias("location"), first("end", "date_end", "end_date", "endDate").alias("end"), first("description", "summary", "details").alias("description"), first("url", "link", "event_url").alias("url"), F.from_json(F.coalesce(F.try_element_at("_r", F.lit("categories")), F.try_element_at("_r", F.lit("tags"))), "array<string>").alias("categories")).where("title is not null and date is not null")
 
 
 def page_fields(pages: DataFrame) -> DataFrame:

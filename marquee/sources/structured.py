@@ -120,6 +120,35 @@ def feed_events(docs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def feed_rejects(docs: DataFrame) -> DataFrame:
+    """The feeds (content_type, content) that give no rows, with why: no content, unknown format, or no item."""
+    kind = feed_format(F.col("content_type"), F.col("content"))
+    item = F.when(kind == "rss", F.col("content").rlike("(?i)<item[ >]")).when(kind == "ical", F.col("content").contains("BEGIN:VEVENT")).when(kind == "json", F.col("content").rlike(r"\[\s*\{"))
+    why = F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "no content").when(kind.isNull(), "unknown format").when(~item, "no item")
+    return docs.withColumn("why", why).where("why is not null")
+
+
+_CLASS = r'(?is)<[a-z0-9]+[^>]*\bclass="[^"]*\b(?:{0})\b[^"]*"[^>]*>\s*([^<]+)'
+#: Where pages without markup for machines have their fields (fixed values): patterns with one group, first to last.
+PAGE_FIELDS = {
+    "title": (_CLASS.format("event-title|event-name"), r"(?is)<h1[^>]*>\s*([^<]+)", r'(?i)<meta[^>]+property="og:title"[^>]+content="([^"]+)"', r"(?is)<title[^>]*>\s*([^<]+)"),
+    "description": (_CLASS.format("event-description|description"), r'(?i)<meta[^>]+(?:property="og:description"|name="description")[^>]+content="([^"]+)"'),
+    "date": (r'(?i)<time[^>]+datetime="([^"]+)"', _CLASS.format("event-date|date|start-date")),
+    "venue": (_CLASS.format("venue|event-venue|location"),),
+    "address": (_CLASS.format("address|venue-address"),),
+    "price": (_CLASS.format("price|ticket-price|event-price"),),
+    "image": (r'(?i)<meta[^>]+property="og:image"[^>]+content="([^"]+)"', r'(?i)<img[^>]+src="([^"]+)"'),
+    "url": (r'(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"', r'(?i)<meta[^>]+property="og:url"[^>]+content="([^"]+)"'),
+}
+
+
+def page_events(pages: DataFrame, key: str = "page_id", html: str = "html", own: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """key and ``PAGE_FIELDS`` of every page with a title: for each field the first pattern that finds something; ``own`` ones go first."""
+    first = lambda ps: F.coalesce(*[F.nullif(collapse(F.regexp_extract(html, p, 1)), F.lit("")) for p in ps])
+    fields = {n: first((*(own or {}).get(n, ()), *ps)) for n, ps in PAGE_FIELDS.items()}
+    return pages.select(key, *[c.alias(n) for n, c in fields.items()]).where("title is not null")
+
+
 def json_feed(docs: DataFrame, content: str = "content") -> DataFrame:
     """title (else summary), url, date of a JSON feed's items; without title they go."""
     row = docs.where(F.get_json_object(content, "$.version").isNotNull()).select(F.explode(F.from_json(F.get_json_object(content, "$.items"), "array<map<string,string>>")).alias("_r"))
