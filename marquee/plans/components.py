@@ -35,18 +35,39 @@ def connected_components(links: DataFrame) -> DataFrame:
             jumped = staged(lookup(up, heads, ["root"], "_rows").select("node", F.col("_r").alias("root")), "jump")
             discard(up, heads)
             up = jumped
-        to = staged(up.select(F.col("node").alias("_n"), F.col("root").alias("_r")), "to")
-        if roots is None:
-            new = staged(up.select("node", "root"), "roots")
-        else:
-            new = roots.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
-            new = staged(new, "roots")
+        to = up.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        new = up if roots is None else staged(_renamed(roots, up), "roots")
         ends = links.join(to, F.col("a") == F.col("_n")).select(F.col("_r").alias("a"), "b")
         ends = ends.join(to, F.col("b") == F.col("_n")).select("a", F.col("_r").alias("b"))
         fewer = staged(ends.where("a != b").distinct(), "links")
-        discard(up, to, roots, links)
+        discard(links, *([] if roots is None else [up, roots]))
         links, roots = fewer, new
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     discard(links)
     return roots
+
+
+def _renamed(roots: DataFrame, to: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with each root that is a node of ``to`` replaced by its root there."""
+    new = to.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    return roots.join(new, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"))
+
+
+def extended_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``comps`` (as ``connected_components`` gives them, written) with more ``links``; both are deleted where a new table takes their place.
+
+    Only links between different components count, and only their roots are connected anew.
+    """
+    end = lambda x: comps.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
+    named = links.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
+    across = named.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a != b")
+    across = staged(across.distinct(), "across")
+    if across.isEmpty():
+        discard(across)
+        return comps
+    more = connected_components(across)
+    fresh = more.join(comps.select(F.col("node").alias("_known")), F.col("node") == F.col("_known"), "left_anti")
+    out = staged(_renamed(comps, more).union(fresh.select("node", "root")), "roots")
+    discard(across, more, comps)
+    return out
