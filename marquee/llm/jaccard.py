@@ -40,7 +40,6 @@ whole; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.plans.components import connected_components
+from marquee.plans.components import connected_components, extended_components
 from marquee.plans.rows import packed, unpacked
 from marquee.plans.skew import lookup, may_be_in
 from marquee.plans.staging import discard, staged
@@ -374,9 +373,10 @@ def _verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, repeats: b
 
     pairs = staged(pairs.select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b"))
-    busy = staged(ends.groupBy("rid").agg(F.count("*").alias("_n")).where(F.col("_n") > many), "busy")
+    busy = ends.groupBy("rid").agg(F.count("*").alias("_n")).where(F.col("_n") > many)
     salted = pairs.select("a", "b", F.lit(0).alias("salt"))
     if not busy.isEmpty():
+        busy = staged(busy, "busy")
         of = lambda x: busy.select(F.col("rid").alias(x), F.col("_n").alias(f"_{x}"), F.col("_n").alias("_w"))
         known = lookup(lookup(pairs, of("a"), ["a"], "_w", "left"), of("b"), ["b"], "_w", "left").fillna(0, ["_a", "_b"])
         a, b = F.when(F.col("_a") >= F.col("_b"), F.col("a")).otherwise(F.col("b")), F.when(F.col("_a") >= F.col("_b"), F.col("b")).otherwise(F.col("a"))
@@ -447,9 +447,7 @@ def members(docs: DataFrame, *, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, Da
             pairs = pairs.union(from_hot).distinct()
         links.append(_verified(_bounded(pairs, sketched), sketched, docs, repeats))
         discard(from_hot)
-        found, old = connected_components(reduce(DataFrame.union, links)), comps
-        discard(old)
-        comps = found
+        comps = extended_components(comps, links[-1])
     out = staged(rows.select("doc_id", "dk", "key", "n"), "members")
     roots = classes.join(comps, F.col("rid") == F.col("node"), "left").select("key", "n_rows", "first", F.coalesce("root", "rid").alias("root"))
     roots = staged(roots, "roots")
