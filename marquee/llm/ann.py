@@ -2,7 +2,7 @@
 
 Vectors are dealt to cells by their nearest centre (k-means on ``FIT_ROWS`` of them at most,
 ``CELLS`` centres at most) and, within a cell, to shards of about ``shard_rows`` by a hash of their
-id, so a cell that holds most vectors is many shards. A shard's
+id, so a cell that holds most vectors is many shards, each at most half above ``shard_rows``. A shard's
 graph has levels: level 0 holds every distinct vector, each level above a pseudo-random
 sixteenth of the one below. A node's neighbours are chosen among its nearest on the level (found
 exactly, in blocks, as a shard is small) by the usual diversity rule, topped up with
@@ -210,7 +210,7 @@ def build_index(vectors: DataFrame, *, shard_rows: int = 8192, m: int = 16) -> D
     if drawn is not None:
         sample = np.stack(drawn.column(0).to_numpy())
         scale = float(np.abs(sample).max())
-        centres = _centres(sample / scale, min(CELLS, -(-n // shard_rows)))
+        centres = _centres(sample / scale, min(CELLS, max(1, round(n / shard_rows))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +231,7 @@ def build_index(vectors: DataFrame, *, shard_rows: int = 8192, m: int = 16) -> D
         }])
 
     placed = staged(x.mapInArrow(place, "vec_id long, embedding array<double>, cell int"), "placed")
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("_parts"))  # a row a cell, CELLS at most
+    parts = placed.groupBy("cell").agg(F.greatest(F.lit(1), F.round(F.count("*") / shard_rows)).cast("int").alias("_parts"))  # a row a cell, CELLS at most
     dealt = placed.join(F.broadcast(parts), "cell").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("_parts")) * CELLS + F.col("cell"))
     index = staged(dealt.drop("_parts").groupBy("shard").applyInPandas(build, _INDEX), "index")
     discard(x, placed)
@@ -246,7 +246,7 @@ def load_shard(row: dict) -> dict:
     return {"vectors": np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"]), "ids": np.frombuffer(row["ids"], np.int64), "starts": np.frombuffer(row["starts"], np.int64), "levels": list(zip(np.split(nodes, cuts), np.split(links, cuts), strict=True))}
 
 
-def search(index: DataFrame, queries: DataFrame, *, k: int = 20, ef: int = 160, block: int = 256, first_cells: int = 8) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, *, k: int = 20, ef: int = 128, block: int = 256, first_cells: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, embedding) its ``k`` best, itself left out.
 
     Each block of queries that meets a shard is a row of one task.
