@@ -26,11 +26,32 @@ def block_keys(venue: Column, title: Column, city: Column, start: Column) -> Col
     return F.array_distinct(F.filter(keys, lambda k: F.length(k) > 5))
 
 
-def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id") -> DataFrame:
-    """a, b (a < b): ids that share a block key; an equi-join, spread by key."""
-    blocks = rows.select(F.col(key).alias("_id"), F.explode(keys).alias("_block"))
-    left, right = blocks.withColumnRenamed("_id", "a"), blocks.withColumnRenamed("_id", "b")
-    return left.join(right, "_block").where("a < b").select("a", "b").distinct()
+def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id", block_rows: int = 2_000) -> DataFrame:
+    """a, b (a < b): ids that share a block key; an equi-join, in which blocks of more than ``block_rows`` rows are cut.
+
+    A cut block's rows lie in several tasks on one side and are copied to all of these on the other. All pairs of a
+    block are given; ``collapsed`` takes equal records out before.
+    """
+    blocks = rows.select(F.col(key).alias("_id"), F.explode(keys).alias("_block")).where("_id is not null")
+    large = staged(blocks.groupBy("_block").agg(F.count("*").alias("_rows")).where(F.col("_rows") > block_rows), "blocks")
+    if not large.isEmpty():
+        large = large.withColumn("_parts", F.ceil(F.col("_rows") / block_rows).cast("int"))
+        blocks = lookup(blocks, large, ["_block"], "_rows", "left")
+    else:
+        blocks = blocks.withColumn("_parts", F.lit(1))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = blocks.select("_block", F.col("_id").alias("a"), F.pmod(F.xxhash64("_id"), parts).cast("int").alias("_part"))
+    right = blocks.select("_block", F.col("_id").alias("b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return left.join(right, ["_block", "_part"]).where("a < b").select("a", "b").distinct()
+
+
+def collapsed(rows: DataFrame, same: Column, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Of rows with an equal ``same`` that with the smallest id, and (first, id) for all rows: pairs of the first ones and
+    this membership stand for all pairs. A null ``same`` is equal to no other."""
+    tagged = rows.withColumn("_same", F.coalesce(same.cast("string"), F.concat(F.lit("\0"), F.col(key).cast("string"))))
+    firsts = staged(tagged.groupBy("_same").agg(F.min(key).alias("first"), F.count("*").alias("_rows")), "firsts")
+    membership = lookup(tagged.select(key, "_same"), firsts, ["_same"], "_rows").select("first", key)
+    return rows.join(firsts.select(F.col("first").alias(key)), key, "left_semi"), membership
 
 
 def score_pairs(pairs: DataFrame, rows: DataFrame, hours: int = 2, key: str = "id", require_same_day: bool = False) -> DataFrame:

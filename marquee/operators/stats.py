@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.plans.prefix import global_rank
+from marquee.plans.staging import staged
 
 
 def by_source(listings: DataFrame, as_of: Column) -> DataFrame:
@@ -41,15 +42,30 @@ def top_per(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame
 
 
 def fill_forward(rows: DataFrame, key: str, order: str, header: Column, name: str) -> DataFrame:
-    """``name``: the last header at or before each row; rows before the first one go."""
-    frame = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(header, ignorenulls=True).over(frame)).where(F.col(name).isNotNull())
+    """``name``: the last header at or before each row in ``order``; rows before their key's first one go.
+
+    Rows are dealt by ranges of key and order, so a key of any size spans many tasks; the last header of
+    each range is carried into the next ones, one row a key and range.
+    """
+    ranged = staged(rows.withColumn(name, header).repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_key", "_at", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    within = Window.partitionBy("_part", key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumn(name, F.last(name, ignorenulls=True).over(within))
+    both = own.join(carried, own[key].eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")), "left").withColumn(name, F.coalesce(name, "_carried"))
+    return both.where(F.col(name).isNotNull()).drop("_part", "_key", "_at", "_carried")
 
 
 def requests_within(rows: DataFrame, key: str, seconds: Column, span: int) -> DataFrame:
-    """``n_within``: rows of the key in the last ``span`` seconds, this one included."""
-    frame = Window.partitionBy(key).orderBy("_s").rangeBetween(-span, 0)
-    return rows.withColumn("_s", seconds).withColumn("n_within", F.count("*").over(frame)).drop("_s")
+    """``n_within``: rows of the key in the last ``span`` seconds, this one included.
+
+    A key is cut into pieces of ``span`` seconds; each row also visits the piece after its own, so all that it may be
+    counted in lies in one piece.
+    """
+    frame = Window.partitionBy(key, "_piece").orderBy("_s").rangeBetween(-span, 0)
+    cut = rows.withColumn("_s", seconds).withColumn("_visits", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_piece", F.floor(F.col("_s") / span) + F.col("_visits"))
+    return cut.withColumn("n_within", F.count("*").over(frame)).where("_visits = 0").drop("_s", "_visits", "_piece")
 
 
 def by_day(listings: DataFrame) -> DataFrame:

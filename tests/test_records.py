@@ -168,6 +168,22 @@ def test_greedy_groups(spark):
     assert dedupe.greedy_groups(pairs.limit(0)).collect() == []
 
 
+def test_large_blocks(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"b{k % 40}") for k in range(120)] + [(None, "hot")], "id int, block string")
+    got = {tuple(r) for r in dedupe.candidate_pairs(rows, F.array("block"), block_rows=7).collect()}
+    blocks = {k: "hot" if k % 3 else f"b{k % 40}" for k in range(120)}
+    assert got == {(a, b) for a in blocks for b in blocks if a < b and blocks[a] == blocks[b]}
+    firsts, membership = dedupe.collapsed(rows.where("id is not null"), F.when(F.col("block") == "hot", F.col("block")))
+    assert sorted(r["id"] for r in firsts.collect()) == [0, 1, *range(3, 120, 3)]
+    assert sum(r["first"] == 1 for r in membership.collect()) == 80 and membership.count() == 120
+    events = spark.createDataFrame([("a", k, k if k in (30, 500) else None) for k in range(1000)] + [("b", 5, None), (None, 1, 7), (None, 2, None)], "k string, o int, h int")
+    got = {(r["k"], r["o"]): r["g"] for r in stats.fill_forward(events.repartition(8), "k", "o", F.col("h"), "g").collect()}
+    assert got == {("a", k): 30 if k < 500 else 500 for k in range(30, 1000)} | {(None, 1): 7, (None, 2): 7}
+    seconds = [0, 0, 5, 59, 60, 61, 200, 259, 260]
+    hits = spark.createDataFrame([("a", s) for s in seconds], "k string, s long")
+    assert sorted((r["s"], r["n_within"]) for r in stats.requests_within(hits, "k", F.col("s"), 60).collect()) == sorted((s, sum(s - 60 <= t <= s for t in seconds)) for s in seconds)
+
+
 def test_merges(spark):
     schema = "g string, source string, ord int, id int, title string, status string, price double, artists array<string>, tags array<string>, venue struct<name:string,address:string,city:string,country:string,lat:double,lng:double>, event_url string, updated_at int"
     v = lambda name, city: (name, None, city, "", None, 0.0)
