@@ -107,7 +107,7 @@ def overlap_bound(n: int, m: int, a: bytes, b: bytes) -> int:
     return min(n - int((x > y).sum()), m - int((y > x).sum()))
 
 
-def _counted(docs: DataFrame, chunk: int = 3_000_000) -> DataFrame:
+def _counted(docs: DataFrame, chunk: int = 1_500_000) -> DataFrame:
     """token, n: documents that hold it, summed over those chunks where at least two do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

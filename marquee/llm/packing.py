@@ -41,9 +41,9 @@ def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 4096, end_id: int =
         end = np.array([end_id], m.dtype).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(doc_ids), 8192):
+            for at in range(0, len(doc_ids), 2048):
                 rows = []
-                for doc_id, data in zip(doc_ids[at : at + 8192], m.texts(texts[at : at + 8192]), strict=True):
+                for doc_id, data in zip(doc_ids[at : at + 2048], m.texts(texts[at : at + 2048]), strict=True):
                     ids = np.frombuffer(data + end, m.dtype).astype("<u4")
                     rows += [(doc_id, k, s, min(tokens, len(ids) - s), ids[s : s + tokens].tobytes()) for k, s in enumerate(range(0, len(ids), tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

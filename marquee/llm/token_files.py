@@ -170,8 +170,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, docs_
 
 def _add(writer: Writer, m, batch: pa.RecordBatch, end: bytes) -> None:
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for at in range(0, len(ids), 8192):
-        for doc_id, data in zip(ids[at : at + 8192], m.texts(texts[at : at + 8192]), strict=True):
+    for at in range(0, len(ids), 2048):
+        for doc_id, data in zip(ids[at : at + 2048], m.texts(texts[at : at + 2048]), strict=True):
             writer.add(doc_id, np.frombuffer(data + end, m.dtype).astype("<u4"))
 
 

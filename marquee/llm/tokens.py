@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Pieces kept at most; then the memo starts anew.
-MEMO = 600_000
+MEMO = 300_000
 #: Characters of texts that are cut and joined at once; a longer text goes alone.
-AT_ONCE = 10_000_000
+AT_ONCE = 4_000_000
 _STOPS = (".", ",")
 #: Letters; without the one whose lower case ends in a combining mark.
 _LATIN = frozenset(c for c in map(chr, range(0x180)) if c.isalpha() and c != "\u0130")
