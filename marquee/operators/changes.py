@@ -1,4 +1,8 @@
-"""Change capture between snapshots, upsert, patch and delete."""
+"""Change capture between snapshots, upsert, patch and delete.
+
+Defined cases: keys are unique in a snapshot; a null key equals no other, so its row is new, added or removed.
+A null hash equals a null one. Empty tables count as snapshots without rows.
+"""
 
 from __future__ import annotations
 

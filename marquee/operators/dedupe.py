@@ -1,4 +1,9 @@
-"""Entity resolution: blocking, scored pairs, components, merging by trust."""
+"""Entity resolution: blocking, scored pairs, components and greedy groups, merging by trust.
+
+Defined cases: rows with a null id take part in no pair; null texts are empty in keys and count 0 in scores; a pair
+is given once, the smaller id first; a null group is none, and its rows are left out; among equally trusted rows ``ord``
+decides, and rows with equal ``ord`` are interchangeable; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Listing queries: filters, sort, page, facets."""
+"""Listing queries: filters, sort, page, facets.
+
+Defined cases: a test on a null value doesn't hold, so rows without a start are in no list that hides past ones; null
+sort values come first, ties are settled by id; a page past the end is empty; an empty table has no rows, total 0 and 0 pages.
+"""
 
 from __future__ import annotations
 

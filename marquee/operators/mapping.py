@@ -1,4 +1,8 @@
-"""Scraped items to listing records by a declared mapping, detail pages joined to items, scraper configs checked."""
+"""Scraped items to listing records by a declared mapping, detail pages joined to items, scraper configs checked.
+
+Defined cases: a field that doesn't exist, or is null, is null in the record and no item of an array; a null URL joins no
+detail page; of detail pages there is one a URL; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Validation: a row gets the list of what is wrong with it, and sanitised values."""
+"""Validation: a row gets the list of what is wrong with it, and sanitised values.
+
+Defined cases: null and blank texts are missing; a null price is none and no error; repeated rows are judged alike;
+an empty table gives an empty result. ``validation`` checks whole records field by field.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Sources and their jobs: trust, counts before and after, health."""
+"""Sources and their jobs: trust, counts before and after, health.
+
+Defined cases: a null source is trusted as an unknown one and is in no count that joins two tables; a job that never
+ran is healthy unless its status is error; empty tables give empty results, or one row of zero counts.
+"""
 
 from __future__ import annotations
 
