@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm import jaccard, mixing, packing, quality_rules, secrets
-from marquee.plans.staging import staged
+from marquee.plans.staging import discard, staged
 from marquee.sources.tables import table
 
 
@@ -43,14 +43,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("secret scan", secret_scan), ("mixture", mixture), ("packing", packed)]
 
-#: Secrets (a trained forest) and packing have no SQL. The tests hold the quality rules' counts against SQL and near
-#: duplicates against brute force; of the chain they check columns, that no more rows stay than the rules keep, one
-#: shape of secret and the count of pieces. No brute-force version of the whole chain exists.
+#: Secrets (a trained forest), near duplicates and packing have no SQL. tests/llm/test_brute_force.py holds all five stages
+#: together against a plain-Python version, row by row.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
