@@ -8,11 +8,14 @@ _W = r"[^\x20\x09-\x0D]+"
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _count = lambda text, pattern: f"len(regexp_extract_all({text}, {_q(pattern)}))"
 
-_GAPS = f"({_count('l', ' [^ ]')} + 1)"
+_N = _count("l", _W)
 _SYM, _BANG, _BAR = _count("l", r"[#*$%&<>]"), _count("l", "!"), _count("l", "[|»›•·]")
-_ENDS = " || ".join({"\t": "chr(9)", "\r": "chr(13)"}.get(c, _q(c)) for c in quality_rules.ENDS)
-LINE_FAILS = f"""(({_SYM} >= 3 AND 2 * {_SYM} >= {_GAPS}) OR ({_BANG} >= 6 AND 2 * {_BANG} >= {_GAPS}) OR ({_BAR} >= 3 AND 3 * {_BAR} >= {_GAPS})
-    OR (NOT contains({_ENDS}, right(rtrim(l), 1)) AND {_GAPS} <= 3)
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ENDED = lambda x: f"contains({_q(quality_rules.LINE_ENDS)}, right(rtrim({x}, {_BLANKS}), 1))"
+_CHARS = lambda lines: f"coalesce(list_sum(list_transform({lines}, lambda x: length(x))), 0)"
+_PUNCTUATED = f"2 * {_CHARS('list_filter(lines, lambda x: ' + _ENDED('x') + ')')} >= {_CHARS('lines')}"
+LINE_FAILS = f"""(({_SYM} >= 3 AND 2 * {_SYM} >= {_N}) OR ({_BANG} >= 6 AND 2 * {_BANG} >= {_N}) OR ({_BAR} >= 3 AND 3 * {_BAR} >= {_N})
+    OR (punctuated AND NOT {_ENDED("l")} AND {_N} <= 3)
     OR regexp_matches(l, {_q('(?i)' + '|'.join(quality_rules.BOILERPLATE))}))"""
 
 QUALITY = f"""
@@ -21,7 +24,7 @@ w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '{_W}') AS w, list_filt
 i AS (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM i),
 r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY rid),
-l AS (SELECT rid, sum(length(l)) AS line_chars, sum(CASE WHEN {LINE_FAILS} THEN length(l) ELSE 0 END) AS removed FROM (SELECT rid, unnest(lines) AS l FROM w) GROUP BY rid),
+l AS (SELECT rid, sum(length(l)) AS line_chars, sum(CASE WHEN {LINE_FAILS} THEN length(l) ELSE 0 END) AS removed FROM (SELECT rid, {_PUNCTUATED} AS punctuated, unnest(lines) AS l FROM w) GROUP BY rid),
 b AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({_count('text', '[#*$%&|<>]')} AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(line_chars, 0) AS line_chars, coalesce(removed, 0) AS removed
   FROM w LEFT JOIN r USING (rid) LEFT JOIN l USING (rid))

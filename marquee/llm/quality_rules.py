@@ -42,9 +42,8 @@ BOILERPLATE = (
     "this work is licensed",
 )
 _WINDOWS = "array<struct<h:bigint,w:struct<a:string,b:string,c:string>,i:int>>"
-ENDS = ".!?…:;\"'”’»)]\t\r"  # those of the SQL
 #: Last characters of a punctuated line, full stops of other scripts too.
-LINE_ENDS = ENDS.rstrip("\t\r") + "。｡．！？：；」』）】،؛؟۔।॥။።៖។"
+LINE_ENDS = ".!?…:;\"'”’»)]。｡．！？：；」』）】،؛؟۔।॥။።៖។"
 
 
 def repeated_window_words(w: Column) -> Column:
