@@ -1,7 +1,7 @@
 """Summaries of sources, runs and health, and window-like operators.
 
-Defined cases: a null source, key or group is one of its own; a row without a start is neither upcoming nor past in
-a test but counts as past; ties in an order are settled by the columns named, else rows are interchangeable; empty tables
+Defined cases: a null source, key or group is one of its own; a row without a start
+counts as past; ties in an order are settled by the columns named, else rows are interchangeable; empty tables
 give empty results, or one row of zero counts where all rows are summed.
 """
 
