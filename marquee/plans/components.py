@@ -59,6 +59,8 @@ def extended_components(comps: DataFrame, links: DataFrame) -> DataFrame:
 
     Only links between different components count, and only their roots are connected anew.
     """
+    if links.isEmpty():
+        return comps
     end = lambda x: comps.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
     named = links.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left")
     across = named.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a != b")
