@@ -372,6 +372,8 @@ def _verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, repeats: b
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=schema)
 
     pairs = staged(pairs.select("a", "b"), "pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b"))
     busy = ends.groupBy("rid").agg(F.count("*").alias("_n")).where(F.col("_n") > many)
     salted = pairs.select("a", "b", F.lit(0).alias("salt"))
@@ -435,9 +437,10 @@ def members(docs: DataFrame, *, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, Da
     hot = sketched.where("size(prefix) > cold").select("rid", F.col("n").cast("int").alias("n"), "cold", "bits", F.posexplode("prefix").alias("pos", "tile"))
     hot = staged(hot.where("pos >= cold").drop("cold"), "hot")
     any_hot = not hot.isEmpty()
+    passes = (_few_pairs, _tile_pairs) if any_hot or not live.isEmpty() else ()
     from_hot = None
     named = lambda x: x.join(comps, F.col("rid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rid")).drop("node", "root")
-    for choose in (_few_pairs, _tile_pairs):
+    for choose in passes:
         pairs = _tiles(named(live), choose)
         if any_hot and choose is _few_pairs:
             part = F.xxhash64("tile", F.pmod(F.xxhash64(F.lit(3), "rid"), F.lit(64)))  # a hot tile is dealt to 64 smaller ones
