@@ -423,8 +423,10 @@ def members(docs: DataFrame, *, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, Da
     classes = staged(rows.where("n > 0").groupBy("key").agg(F.min(F.when(F.col("prefix").isNotNull(), F.col("rid"))).alias("rid"), least.alias("first"), F.count("*").alias("n_rows")), "classes")
     held = rows.where("prefix is not null")
     extra = staged(held.join(classes.select("key", F.col("rid").alias("_rid")), "key").where("rid != _rid").select("rid"), "extra")
-    sketched = held.join(extra, "rid", "left_anti")
-    repeats = not rows.groupBy("dk").count().where("count > 1").isEmpty()
+    sketched = staged(held.join(extra, "rid", "left_anti").drop("doc_id"), "classes-sketched")  # one row a class, and no join again
+    out = staged(rows.select("doc_id", "dk", "key", "n"), "members")
+    discard(rows, extra)
+    repeats = not out.groupBy("dk").count().where("count > 1").isEmpty()
     # near copies: everyone against one document of its min-hash group, another one in each band
     bands = sketched.select("rid", "n", F.posexplode("mins").alias("band", "value"))
     pivots = bands.groupBy("band", "value").agg(F.min(F.struct(F.xxhash64("rid", "band").alias("h"), "rid", "n")).alias("p"), F.count("*").alias("_n")).where("_n > 1")
@@ -451,10 +453,9 @@ def members(docs: DataFrame, *, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, Da
         links.append(_verified(_bounded(pairs, sketched), sketched, docs, repeats))
         discard(from_hot)
         comps = extended_components(comps, links[-1])
-    out = staged(rows.select("doc_id", "dk", "key", "n"), "members")
     roots = classes.join(comps, F.col("rid") == F.col("node"), "left").select("key", "n_rows", "first", F.coalesce("root", "rid").alias("root"))
     roots = staged(roots, "roots")
-    discard(rows, classes, extra, pivots, live, hot, comps, *links)
+    discard(sketched, classes, pivots, live, hot, comps, *links)
     return out, roots
 
 

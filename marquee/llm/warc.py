@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from marquee.plans.files import opened, written
 from marquee.plans.skew import lookup, may_be_in
-from marquee.plans.staging import new_path, staged
+from marquee.plans.staging import discard, new_path, staged
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 18
@@ -200,7 +200,9 @@ def write_warc(pages: DataFrame, *, min_bytes: int = 0, date: str = "2024-01-01T
                         break
             yield pa.RecordBatch.from_pydict({"path": [file], "n_records": [n]}, pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
 
-    return staged(rows.mapInArrow(write, "path string, n_records long"), "warc-files")
+    files = staged(rows.mapInArrow(write, "path string, n_records long"), "warc-files")
+    discard(shared)
+    return files
 
 
 def read_warc(files: DataFrame, with_payload: bool = True, types: tuple[str, ...] = ("response", "revisit")) -> DataFrame:
