@@ -11,17 +11,17 @@ HEAVY_KEYS = 1_000
 FILTER_BITS = 1 << 26
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner", keys: int = HEAVY_KEYS) -> DataFrame:
     """``rows`` joined with ``table``, a written table of one row a key with the rows of that key in ``weight``.
 
-    Heavy keys, ``HEAVY_KEYS`` at most, are broadcast, so their rows stay where they are; all
+    Heavy keys, those with more than one row in ``keys`` and so fewer than ``keys``, are broadcast, so their rows stay where they are; all
     other keys are shuffled. ``how`` is inner or left. A null key finds nothing.
     """
     total, top = table.agg(F.sum(weight), F.max(weight)).first()
     plain = table.drop(weight)
-    if not total or top * HEAVY_KEYS <= total:
+    if not total or top * keys <= total:
         return rows.join(plain, on, how)
-    heavy = table.where(F.col(weight) * HEAVY_KEYS > total).drop(weight)
+    heavy = table.where(F.col(weight) * keys > total).drop(weight)
     found = rows.join(F.broadcast(heavy), on)
     rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(plain, on, how)
     return found.unionByName(rest.select(*found.columns))
