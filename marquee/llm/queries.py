@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, chat, jaccard, mixing, packing, quality_rules, secrets, token_files, warc, weak_quality
+from marquee.llm import alignment, ann, chat, jaccard, mixing, packing, quality_rules, secrets, token_files, warc, weak_quality
 from marquee.sources.tables import table
 
 
@@ -61,6 +61,10 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.classify(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _ALL = (
     op1_nearest_neighbours,
     op2_quality_rules,
@@ -72,5 +76,6 @@ _ALL = (
     op8_packing,
     op9_mixing,
     op10_weak_quality,
+    op11_tokenizer_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
