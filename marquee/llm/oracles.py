@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import chat, quality_rules
+from marquee.llm import chat, quality_rules, sharding
 
 _W = r"[^\x20\x09-\x0D]+"
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -68,4 +68,34 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - epochs * source_size - start)) AS BIGINT) AS taken FROM r
 """
 
-ORACLES = {"op2_quality_rules": QUALITY, "op4_chat_formatting": CHAT, "op7_warc": WARC, "op9_mixing": MIXING}
+#: CRC-32 by its table, a byte at a time over the hexadecimal digits of a blob.
+CRC_TABLE = "SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t FROM range(256) r(i)"
+_crc = lambda data: f"xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex({data}), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, h: xor(c >> 8, t[(xor(c, h) & 255) + 1])), 4294967295)"
+
+
+def _cube(x: str, key: int) -> str:
+    t = f"(({x} + {key}) % {sharding.PRIME})"
+    return f"({t} * {t} % {sharding.PRIME} * {t} % {sharding.PRIME})"
+
+
+def _pass(rows: str, seed: int) -> str:
+    """One pass of the network: p of each of ``rows`` (with the radixes a, b and the count n) becomes its image."""
+    kept = "doc_id, size, text_crc32, a, b, n"
+    q = f"SELECT {kept}, p // b AS x, p % b AS y FROM {rows}"
+    for i, j in sharding.round_keys(seed):
+        q = f"SELECT {kept}, (x + {_cube('y', i)}) % a AS x, y FROM ({q})"
+        q = f"SELECT {kept}, x, (y + {_cube('x', j)}) % b AS y FROM ({q})"
+    return f"SELECT {kept}, x * b + y AS p FROM ({q})"
+
+
+SHARDING = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({CRC_TABLE}),
+d AS MATERIALIZED (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, {_crc("encode(coalesce(text, ''))")} AS text_crc32,
+  row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM documents, crc),
+k AS (SELECT greatest(1, CAST(floor(sqrt(max(n))) AS BIGINT)) AS root, max(n) AS n FROM d),
+r AS MATERIALIZED (SELECT a, (n + a - 1) // a AS b FROM k, range(greatest(root // 2 + 1, root - {sharding.TRIED - 1}), root + 1) g(a) ORDER BY (n + a - 1) // a * a - n, a DESC LIMIT 1),
+w AS ({_pass("(SELECT d.*, a, b FROM d, r)", 13)} UNION ALL {_pass("(SELECT * FROM w WHERE p >= n)", 13)})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % 24 AS INT) AS shard, p // 24 AS slot, CAST(NULL AS INT) AS grown_shard FROM w WHERE p < n
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op4_chat_formatting": CHAT, "op7_warc": WARC, "op9_mixing": MIXING, "op13_sharding": SHARDING}
