@@ -98,4 +98,23 @@ w AS ({_pass("(SELECT d.*, a, b FROM d, r)", 13)} UNION ALL {_pass("(SELECT * FR
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % 24 AS INT) AS shard, p // 24 AS slot, CAST(NULL AS INT) AS grown_shard FROM w WHERE p < n
 """
 
-ORACLES = {"op2_quality_rules": QUALITY, "op4_chat_formatting": CHAT, "op7_warc": WARC, "op9_mixing": MIXING, "op13_sharding": SHARDING}
+_TURN = "length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')"
+TRIE = f"""
+WITH crc AS MATERIALIZED ({CRC_TABLE}),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5({_TURN})) AS pos, md5({_TURN}) AS turn_md5, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS own FROM t GROUP BY c),
+v AS MATERIALIZED (SELECT n.c, n.c - n.c % 5 AS base, {_crc("encode(CAST(n.c AS VARCHAR))")} % 9 AS h, own FROM n, crc),
+b AS (SELECT v.c, base, h, least(h, coalesce(n.own, 0)) AS taken, greatest(0, v.own - h) AS rest FROM v LEFT JOIN n ON n.c = base),
+r AS MATERIALIZED (SELECT b.c, pos, turn_md5, bytes FROM b JOIN t ON t.c = base AND pos <= h UNION ALL SELECT b.c, pos - h + taken, turn_md5, bytes FROM b JOIN t ON t.c = b.c AND pos > h),
+m AS MATERIALIZED (SELECT c, pos AS depth, md5(string_agg(turn_md5, '' ORDER BY pos) OVER w) AS key, bytes FROM r WINDOW w AS (PARTITION BY c ORDER BY pos)
+  UNION ALL SELECT c, 0, '', 0 FROM b),
+p AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY depth) AS parent, depth = taken + rest AS ends FROM m JOIN b USING (c)),
+g AS MATERIALIZED (SELECT key, min(c) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs, any_value(bytes) AS bytes,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY key),
+k AS (SELECT parent AS key, count(*) AS n_children FROM g WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT m.key, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * g.bytes) AS saved FROM g LEFT JOIN k USING (key) JOIN m ON m.c = g.conv_id AND m.depth <= g.depth GROUP BY m.key)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g LEFT JOIN g u ON u.key = g.parent LEFT JOIN k ON k.key = g.key JOIN s ON s.key = g.key
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op4_chat_formatting": CHAT, "op7_warc": WARC, "op9_mixing": MIXING, "op12_prefix_trie": TRIE, "op13_sharding": SHARDING}

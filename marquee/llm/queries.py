@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import alignment, ann, chat, jaccard, mixing, packing, quality_rules, secrets, sharding, token_files, warc, weak_quality
+from marquee.llm import alignment, ann, chat, jaccard, mixing, packing, prefix_trie, quality_rules, secrets, sharding, token_files, warc, weak_quality
 from marquee.sources.tables import table
 
 
@@ -65,6 +65,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=24, carry=["doc_id"]).drop("row_number")
 
@@ -81,6 +85,7 @@ _ALL = (
     op9_mixing,
     op10_weak_quality,
     op11_tokenizer_alignment,
+    op12_prefix_trie,
     op13_sharding,
 )
 QUERIES = {f.__name__: f for f in _ALL}
