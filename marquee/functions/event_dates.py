@@ -58,6 +58,12 @@ def full_day(x: Column) -> Column:
     return _date(F.regexp_extract(x, p, 3).try_cast("int"), month_number(F.regexp_extract(x, p, 2)), F.regexp_extract(x, p, 1).try_cast("int"))
 
 
+def month_first_day(x: Column) -> Column:
+    """Such as March 15, 2024."""
+    p = rf"{_MONTH}\.?\s+{_DAY},?\s+(\d{{4}})"
+    return _date(F.regexp_extract(x, p, 3).try_cast("int"), month_number(F.regexp_extract(x, p, 1)), F.regexp_extract(x, p, 2).try_cast("int"))
+
+
 def short_day(x: Column, today: dt.date) -> Column:
     """Such as Thu, 28 Aug or Friday 15th August: this year's, or next year's when past."""
     p = rf"{_DAY}\s+{_MONTH}"
