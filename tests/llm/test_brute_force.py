@@ -31,11 +31,11 @@ def docs(spark):
 _CANDIDATE = regex.compile(secrets.CANDIDATE)
 
 
-def features(text, left):
-    head = text[: secrets.FEATURE_CHARS]
+def features(text, left, right):
+    head = text
     n = max(len(head), 1)
     count = lambda p: sum(m.end() > m.start() or True for m in regex.finditer(p, head))
-    before = left[-60:]
+    before, after = left[-secrets.AROUND :], right[: secrets.AROUND]
     last = m[1] if (m := re.search(r"([A-Za-z0-9_-]+)[^A-Za-z0-9_-]*$", before)) else ""
     flag = lambda p, x, f=0: 1.0 if re.search(p, x, f) else 0.0
     return [
@@ -45,7 +45,7 @@ def features(text, left):
         count("[A-Z]") / n,
         len(set(head)) / min(n, 40.0),
         1 - len(re.sub(f"(?i)(?:{secrets.DICTIONARY})", "", head)) / n,
-        flag(r"^[a-z]+://|^/|(?:[a-z_-]{2,}/){2}|\.(?:html?|png|jpe?g|py|js|txt|json|com|org|net)\b|[0-9]{4}-[0-9][0-9]-[0-9][0-9]", head),
+        flag(r"^[a-z]+://|^/|(?<![a-z_-])(?:[a-z_-]{2,}+/){2}|\.(?:html?|png|jpe?g|py|js|txt|json|com|org|net)\b|[0-9]{4}-[0-9][0-9]-[0-9][0-9]", head),
         flag("^[0-9a-fA-F-]+$", head),
         max(flag(f"^[a-z0-9_-]*(?:{secrets.FOR})$", last, re.I), flag(f"(?:{secrets.FOR})[^A-Za-z0-9]{{0,6}}$", before, re.I)),
         max(flag(f"^(?:{secrets.AGAINST})$", last, re.I), flag(f"\\b(?:{secrets.AGAINST})\\b[^.]{{0,12}}$", before, re.I)),
@@ -53,10 +53,12 @@ def features(text, left):
         flag(f"^(?:{secrets.PREFIXES})", head),
         flag(r"^[0-9 .+()-]+$", head),
         flag(r"(.)\1{4}", head),
+        count(f"(?i)(?=(?:{secrets.PAIRS}))") / n,
+        flag(f"^[^A-Za-z0-9]{{0,3}}{secrets._SAID}(?:{secrets.FOR})\\b", after, re.I | re.A),
+        flag(f"^[^A-Za-z0-9]{{0,3}}{secrets._SAID}(?:{secrets.AGAINST})\\b", after, re.I | re.A),
     ]
 
 
-
 def votes(trees, f):
     def value(tokens):
         t = next(tokens)
@@ -78,11 +80,9 @@ def votes(trees, f):
 
 def scan(text, trees):
     """(start, length, candidate, score) of every candidate."""
-    out, end = [], 0
-    for m in _CANDIDATE.finditer(text or ""):
-        out.append((m.start(), m.end() - m.start(), m[0], votes(trees, features(m[0], text[end : m.start()]))))
-        end = m.end()
-    return out
+    hits = list(_CANDIDATE.finditer(text or ""))
+    edges = [0, *(x for m in hits for x in m.span()), len(text or "")]
+    return [(m.start(), m.end() - m.start(), m[0], votes(trees, features(m[0], text[edges[2 * k] : edges[2 * k + 1]], text[edges[2 * k + 2] : edges[2 * k + 3]]))) for k, m in enumerate(hits)]
 
 
 def redact(text, trees):
@@ -99,6 +99,28 @@ def test_secret_findings(spark, docs):
     assert got == want and want
 
 
+def test_one_pass_of_the_pattern(spark, docs):
+    """No plan holds the candidates' pattern twice."""
+    for df in (secrets.findings(docs), secrets.redacted(docs)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]") <= 1
+
+
+def test_texts_with_control_characters(spark):
+    """A text that holds the characters of the marks is cut at its candidates only."""
+    texts = ["\x01\x02 token = \"ab12cd34ef56ab12cd34\" \x01x\x02", "\x01" * 30 + "k=\x01\x02\x01\x02\x01\x02 $0 \\1", "a$0b=$1$2$3$4$5\\ x"]
+    trees = secrets.forest(spark)
+    rows = secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trees).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.candidate, round(r.score, 9)) for r in rows) == sorted((i, a, n, c, round(v, 9)) for i, t in enumerate(texts) for a, n, c, v in scan(t, trees))
+
+
+def test_words_on_both_sides(spark):
+    """What stands after a value decides where nothing before it does, and the whole of a long run counts."""
+    raw = hashlib.sha256(b"y").hexdigest()[:40]
+    texts = [f"see {raw} is the commit", f"see {raw} is my password", "see " + "readable-words-of-the-house/" * 30 + " at home"]
+    rows = {r.doc_id: r.is_secret for r in secrets.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows == {0: False, 1: True, 2: False}
+
+
 def test_five_long_secrets(spark):
     """The shapes that a bounded pattern would cut: all are redacted in full."""
     raw = hashlib.sha256(b"x").hexdigest() * 20
