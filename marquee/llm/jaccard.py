@@ -20,9 +20,11 @@ takes all pairs but those that are in one component already: those are connected
 need no comparing. Only components are asked for, so this loses nothing.
 
 The tiles are made once: all prefixes are shuffled as narrow rows, and only rows whose
-tile holds another row of a fitting size are written for the passes. Tiles of shingles
-that ``hot_docs`` documents or more hold are never gathered: they are cut by size bands
-and blocks and compared by their bitmaps at once (``_hot_pairs``). Of the texts only those
+tile holds another row of a fitting size are written for the passes. Tiles of more than
+``hot_docs`` rows are cut by size bands and blocks and compared by their bitmaps at once
+(``_hot_pairs``): those of shingles that the list below shows to be so common never pass one task, and what
+the list undercounts is found by exact counts while the tiles are made (a task then sorts that tile's narrow rows,
+spilling). Other tiles' pairs are made and filtered ``PAIRS`` at a time. Of the texts only those
 in a candidate pair are shuffled. Keys that hold much of a table (a class of exact copies,
 a large component, a min-hash) are looked up by broadcast, of a bounded number of rows.
 Written tables are deleted as soon as what reads them is written.
@@ -56,8 +58,10 @@ N = 5
 PERCENT = 75
 #: Most shingles in the list of common ones, and the least documents that make one common.
 LATE, LATE_DOCS = 500_000, 8
-#: Documents that make a shingle's tile a hot one.
-HOT_DOCS = 20_000
+#: Documents that make a shingle's tile a hot one: a colder one has at most some millions of pairs.
+HOT_DOCS = 2_000
+#: Pairs of rows that are held at once in a tile's comparison.
+PAIRS = 1 << 20
 MIN_HASHES = 6
 #: Rows that a row meets in each of its tiles in the first pass over them.
 FEW = 6
@@ -173,13 +177,13 @@ def _dk() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
-def _few_pairs(tile: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _few_pairs(tile: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """As ``_tile_pairs``, but each row meets only the next ``FEW`` of its tile, in an order that differs by tile."""
     order = np.lexsort(((rid.view(np.uint64) ^ tile.view(np.uint64)) * _K, tile))
     tile, rid, comp, n, pos = (x[order] for x in (tile, rid, comp, n, pos))
     at = [np.flatnonzero((tile[d:] == tile[:-d]) & (comp[d:] != comp[:-d])) for d in range(1, FEW + 1)]
     i, j = np.concatenate(at), np.concatenate([x + d for d, x in enumerate(at, 1)])
-    return _possible(rid, comp, n, pos, i, j)
+    yield _possible(rid, comp, n, pos, i, j)
 
 
 def _possible(rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,44 +195,48 @@ def _possible(rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray,
     return pairs[:, 0], pairs[:, 1]
 
 
-def _tile_pairs(tile: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in one tile that may link and aren't connected; rows are sorted by tile, then n."""
+def _tile_pairs(tile: np.ndarray, rid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of pairs of rows in one tile that may link and aren't connected; rows are sorted by tile, then n."""
     starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
     low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
     counts = np.diff(np.append(starts, len(tile)))
     mixed = (low != high) & (counts > 1)  # a tile of one component has nothing to compare
-    left, right = [], []
     small = np.repeat(mixed & (counts <= 64), counts)
     i, d = np.flatnonzero(small), 1
-    while len(i):
+    while len(i):  # a row and the d-th after it
         i = i[i + d < len(tile)]
         j = i + d
         i = i[(tile[j] == tile[i]) & (100 * n[i] >= PERCENT * n[j])]
-        left.append(i)
-        right.append(i + d)
+        yield _possible(rid, comp, n, pos, i, i + d)
         d += 1
     for k in np.flatnonzero(mixed & (counts > 64)):
         rows = np.arange(starts[k], starts[k] + counts[k])
         values, inverse, size = np.unique(comp[rows], return_inverse=True, return_counts=True)
         main = inverse == np.argmax(size)  # the largest component's rows meet only the others
         others, main = rows[~main], rows[main]
-        for at, o in enumerate(others):
-            for against in (main, others[at + 1 :]):
-                a, b = np.searchsorted(n[against], [needed(n[o]), n[o] * 100 // PERCENT + 1])
-                near = against[a:b]
-                left.append(np.minimum(near, o))
-                right.append(np.maximum(near, o))
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _possible(rid, comp, n, pos, np.concatenate(left), np.concatenate(right))
+        for o, against in ((others, main), (others, others)):
+            if not len(against):
+                continue
+            first = np.searchsorted(n[against], needed(n[o]))
+            if against is others:  # once each: only those after it
+                first = np.maximum(first, np.arange(1, len(o) + 1))
+            many = np.maximum(np.searchsorted(n[against], n[o] * 100 // PERCENT + 1) - first, 0)
+            ends, at = np.cumsum(many), 0
+            while at < len(o):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                m = many[at:end]
+                j = np.arange(m.sum()) + np.repeat(first[at:end] - np.cumsum(m) + m, m)
+                yield _possible(rid, comp, n, pos, np.repeat(o[at:end], m), against[j])
+                at = end
 
 
 def _live(sketched: DataFrame) -> DataFrame:
-    """tile, rid, n, pos: a row for each shingle of a prefix, hot ones aside, where the tile holds another row of a size that fits."""
+    """tile, rid, n, pos, rows: a row for each shingle of a prefix, known hot ones aside, where the tile (of so many rows) holds another row of a size that fits."""
     rows = sketched.select("rid", F.col("n").cast("int").alias("n"), F.posexplode(F.expr("slice(prefix, 1, cold)")).alias("pos", "tile"))
     by = Window.partitionBy("tile").orderBy("n")
     fits = (100 * F.lag("n").over(by) >= PERCENT * F.col("n")) | (PERCENT * F.lead("n").over(by) <= 100 * F.col("n"))
-    return rows.withColumn("_fits", fits).where("_fits").select("tile", "rid", "n", "pos")
+    rows = rows.withColumns({"_fits": fits, "rows": F.count("*").over(Window.partitionBy("tile"))})
+    return rows.where("_fits").select("tile", "rid", "n", "pos", "rows")
 
 
 def _tiles(rows: DataFrame, choose: Callable = _tile_pairs) -> DataFrame:
@@ -239,24 +247,26 @@ def _tiles(rows: DataFrame, choose: Callable = _tile_pairs) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
 
-        def give(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = choose(*(rows[k] for k in range(5)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        def give(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in choose(*(rows[k] for k in range(5))):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(np.stack([batch.column(k).to_numpy() for k in range(5)]))
             size += batch.num_rows
-            if size < 200_000 or (held[0][0, 0] == held[-1][0, -1] and size < 2_000_000):
+            if size < 200_000:
                 continue
             joined = np.concatenate(held, axis=1)
-            cut = np.searchsorted(joined[0], joined[0, -1])  # the last tile may go on
+            # the last tile may go on; where a row meets a few others, any will do
+            cut = joined.shape[1] if choose is _few_pairs else np.searchsorted(joined[0], joined[0, -1])
             if cut:
-                yield give(joined[:, :cut])
+                yield from give(joined[:, :cut])
             held, size = [joined[:, cut:]], joined.shape[1] - cut
         if held:
-            yield give(np.concatenate(held, axis=1))
+            yield from give(np.concatenate(held, axis=1))
 
     out = rows.select("tile", "rid", "comp", F.col("n").cast("long"), F.col("pos").cast("long"))
     return out.repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(pairs, "a long, b long").distinct()
@@ -435,9 +445,13 @@ def members(docs: DataFrame, *, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, Da
     links = [_verified(_bounded(near, sketched), sketched, docs, repeats)]
     comps = connected_components(links[0])
     # tiles of the rare shingles, leaving out what is connected: a few pairs of each row, then all that is left
-    live = staged(_live(sketched), "live")
+    tiles = staged(_live(sketched), "live")
+    live, warm = tiles.where(F.col("rows") <= hot_docs).drop("rows"), tiles.where(F.col("rows") > hot_docs)
     hot = sketched.where("size(prefix) > cold").select("rid", F.col("n").cast("int").alias("n"), "cold", "bits", F.posexplode("prefix").alias("pos", "tile"))
-    hot = staged(hot.where("pos >= cold").drop("cold"), "hot")
+    hot = hot.where("pos >= cold").select("rid", "n", "bits", "pos", "tile")
+    if not warm.isEmpty():
+        hot = hot.union(warm.join(sketched.select("rid", "bits"), "rid").select("rid", "n", "bits", "pos", "tile"))
+    hot = staged(hot, "hot")
     any_hot = not hot.isEmpty()
     passes = (_few_pairs, _tile_pairs) if any_hot or not live.isEmpty() else ()
     from_hot = None
@@ -455,7 +469,7 @@ def members(docs: DataFrame, *, hot_docs: int = HOT_DOCS) -> tuple[DataFrame, Da
         comps = extended_components(comps, links[-1])
     roots = classes.join(comps, F.col("rid") == F.col("node"), "left").select("key", "n_rows", "first", F.coalesce("root", "rid").alias("root"))
     roots = staged(roots, "roots")
-    discard(sketched, classes, pivots, live, hot, comps, *links)
+    discard(sketched, classes, pivots, tiles, hot, comps, *links)
     return out, roots
 
 

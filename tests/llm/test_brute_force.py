@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -258,6 +259,34 @@ def test_hot_tiles(spark):
     assert components(jaccard.jaccard_components(df, hot_docs=9)) == sorted(brute_components(rows), key=repr)
 
 
+def test_heat_from_exact_counts(spark, monkeypatch):
+    """Where the list of common shingles misses all (one a chunk), tiles that are large are found while they are made."""
+    monkeypatch.setattr(jaccard, "LATE_DOCS", 10**9)
+    test_hot_tiles(spark)
+
+
+def test_pairs_of_a_tile_come_in_blocks(monkeypatch):
+    """19,000 unlike rows of equal size in one tile: 180 million pairs, a bounded number at a time; small tiles against all pairs."""
+    rng = np.random.default_rng(3)
+    n = np.sort(rng.integers(4, 40, 300))
+    tile, rid, comp, pos = np.sort(rng.integers(0, 3, 300)), np.arange(300), rng.integers(0, 40, 300), rng.integers(0, 3, 300)
+    order = np.lexsort((n, tile))
+    n, comp, pos = n[order], comp[order], pos[order]
+    fits = lambda i, j: tile[i] == tile[j] and comp[i] != comp[j] and 1 + min(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= jaccard.needed_overlap(n[i], n[j])
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if fits(i, j)}
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(jaccard, "PAIRS", most)
+        got = [p for a, b in jaccard._tile_pairs(tile, rid, comp, n, pos) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert set(got) == want
+    monkeypatch.setattr(jaccard, "PAIRS", 1 << 20)
+    rows = 19_000
+    tracemalloc.start()
+    found = sum(len(a) for a, _ in jaccard._tile_pairs(np.zeros(rows, np.int64), np.arange(rows), np.arange(rows), np.full(rows, 40), np.zeros(rows, np.int64)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == rows * (rows - 1) // 2 and peak < 500_000_000
+
+
 def test_a_row_repeated_50000_times(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = spark.range(50_000).selectExpr("7 doc_id", f"'{text}' text").union(spark.createDataFrame([(3, text + " more"), (9, "something else in this text of its own")], "doc_id long, text string"))
