@@ -6,7 +6,7 @@ A null hash equals a null one. Empty tables count as snapshots without rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,12 +32,38 @@ def upsert(base: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     return base.join(batch.select(key), key, "left_anti").unionByName(put)
 
 
-def patch(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """``base`` with the values of ``changes`` that aren't null."""
+def patch(base: DataFrame, changes: DataFrame, key: str = "id", as_of: Column | None = None) -> DataFrame:
+    """``base`` with the values of ``changes`` that aren't null; where ``as_of`` is given it is the updated_at of every row that is named there, whatever the change says."""
     fields = [c for c in changes.columns if c != key]
-    renamed = changes.select(key, *[F.col(c).alias(f"_{c}") for c in fields])
+    renamed = changes.select(key, F.lit(True).alias("_named"), *[F.col(c).alias(f"_{c}") for c in fields])
     out = base.join(renamed, key, "left")
-    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
+    new = {c: F.coalesce(f"_{c}", c) for c in fields}
+    if as_of is not None:
+        new["updated_at"] = F.when(F.col("_named"), as_of).otherwise(F.col("updated_at"))
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in base.columns])
+
+
+def insert_new(base: DataFrame, batch: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """An unordered bulk insert under a unique key: ``base`` with the rows of ``batch`` whose key it lacks, one a key, and the rows that are refused.
+
+    Of rows with one key the first by a hash of all columns goes in; null keys are one key.
+    """
+    numbered = batch.withColumn("_no", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*batch.columns))))
+    known = base.select(F.col(key).alias("_key")).distinct()
+    marked = numbered.join(known.withColumn("_there", F.lit(True)), F.col(key).eqNullSafe(F.col("_key")), "left")
+    refused = F.col("_there").isNotNull() | (F.col("_no") > 1)
+    return base.unionByName(marked.where(~refused).select(*base.columns)), marked.where(refused).select(*batch.columns)
+
+
+def flattened(groups: DataFrame, rows: str = "rows") -> DataFrame:
+    """The rows of groups (an array of structs) again, one below the other."""
+    return groups.select(F.inline(rows))
+
+
+def from_pages(pages: DataFrame, number: str = "page", rows: str = "data", total: str = "total") -> tuple[DataFrame, DataFrame]:
+    """The rows of an API's pages in order of page and place (columns page, place), and the total that the first page gives."""
+    out = pages.select(F.col(number).alias("page"), F.posexplode(rows).alias("place", "_r")).select("page", "place", "_r.*")
+    return out, pages.agg(F.min_by(total, number).alias("total"))
 
 
 def delete(base: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:

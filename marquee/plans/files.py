@@ -33,6 +33,11 @@ def _uri(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
+def exists(path: str) -> bool:
+    system, at = fs.FileSystem.from_uri(_uri(path))
+    return system.get_file_info(at).type != fs.FileType.NotFound
+
+
 def folders(path: str, marked: bool = False) -> list[str]:
     """Names of the folders in a folder, sorted (with ``marked`` those that a finished job has marked); none if it isn't there."""
     system, at = fs.FileSystem.from_uri(_uri(path))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,22 +40,47 @@ def all_rows(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _config_row(text: str, path: str) -> tuple:
+    try:
+        config = with_defaults(json.loads(text))
+    except (ValueError, TypeError, RecursionError):
+        return (None, None, None, None, ["not JSON"], path)
+    site = config.get("site", {})
+    return (site.get("name"), site.get("source"), site.get("baseUrl"), json.dumps(config), config_errors(config), path)
+
+
 def read_configs(spark: SparkSession, *paths: str) -> DataFrame:
-    """name, source, base_url, config (JSON with defaults), errors: a row for each config file of the paths (globs), by name.
+    """name, source, base_url, config (JSON with defaults), errors, path: a row for each config file of the paths (globs), read and parsed by tasks.
 
-    A file that isn't JSON has one error and no name. A config is small, so each is parsed whole by the driver.
+    A file that isn't JSON has one error and no name.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("path", F.decode("content", "UTF-8").alias("text")).dropDuplicates(["path"])
-    rows = []
-    for r in files.orderBy("path").collect():
-        try:
-            config = with_defaults(json.loads(r["text"]))
-        except (ValueError, TypeError):
-            rows.append((None, None, None, None, ["not JSON"], r["path"]))
-            continue
-        site = config.get("site", {})
-        rows.append((site.get("name"), site.get("source"), site.get("baseUrl"), json.dumps(config), config_errors(config), r["path"]))
-    return spark.createDataFrame(rows, "name string, source string, base_url string, config string, errors array<string>, path string")
+    names = ["name", "source", "base_url", "config", "errors", "path"]
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([_config_row(t, p) for t, p in zip(b["text"], b["path"], strict=True)], columns=names, dtype=object)
+
+    return files.mapInPandas(parsed, "name string, source string, base_url string, config string, errors array<string>, path string")
+
+
+def load_folder(path: str) -> list[str]:
+    """Registers the plugins of a folder: each ``*.py`` file that has functions ``fetch`` and ``normalise``, under its name. Returns those names.
+
+    A file that lacks one raises TypeError before any is registered; names that begin with ``_`` are left out.
+    """
+    found = {}
+    for file in sorted(Path(path).glob("[!_]*.py")):
+        spec = importlib.util.spec_from_file_location(f"marquee_plugin_{file.stem}", file)
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        pair = getattr(module, "fetch", None), getattr(module, "normalise", None)
+        if not all(map(callable, pair)):
+            raise TypeError(f"{file.name} lacks fetch or normalise")
+        found[file.stem] = pair
+    for name, pair in found.items():
+        register(name, *pair)
+    return list(found)
 
 
 def override_union(code: DataFrame, config: DataFrame, key: str = "name") -> DataFrame:
