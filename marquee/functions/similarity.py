@@ -1,79 +1,82 @@
-"""String similarity. Jaro has no built-in, so it runs in an Arrow UDF, after blocking."""
+"""String similarity, all in SQL functions of texts of any length.
+
+A matched character of the second text is overwritten by ``TAKEN``, a code point that no text should hold (one that does is never
+matched), so what is still free is read off the text itself.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee.functions.text import trim
+
 # fixed values: the likeness from which things count as equal
 THRESHOLDS = {"exact": 1.0, "high": 0.85, "medium": 0.7, "low": 0.5, "venue": 0.8, "title": 0.75, "location": 0.9}
+TAKEN = "\uffff"
+
+
+def _bound(then, **values: Column) -> Column:
+    """``then`` of a struct of values, each worked out once."""
+    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), then)[0]
+
 
+def _char(x: Column, k: Column) -> Column:
+    return F.substr(x, k, F.lit(1))
 
-def jaro(a: str, b: str) -> float:
+
+def _jaro(a: Column, b: Column) -> Column:
     """1 for equal texts, 0 if one is empty; half transpositions keep their fraction."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free, left = [True] * len(b), []
-    for i, c in enumerate(a):
-        at = b.find(c, max(0, i - reach), i + reach + 1)
-        while at >= 0 and not free[at]:
-            at = b.find(c, at + 1, i + reach + 1)
-        if at >= 0:
-            free[at] = False
-            left.append(c)
-    if not left:
-        return 0.0
-    right = [c for c, f in zip(b, free, strict=True) if not f]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) / 2
-    m = len(left)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-
-
-def winkler(a: str, b: str, scale: float = 0.1) -> float:
-    """Jaro with a bonus for a common prefix of up to 4, given from 0.7 on."""
-    j = jaro(a, b)
-    if j < 0.7:
-        return j
-    same = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        same += 1
-    return j + same * scale * (1 - j)
-
-
-def jaro_winkler(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else winkler(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    return score(a, b)
-
-
-def folded(a: str, b: str) -> float:
-    """Jaro-Winkler without case or outer blanks: the shorter text is matched to the longer, and the prefix bonus is always given."""
-    x, y = sorted((a.lower().strip(), b.lower().strip()), key=len)
-    if x == y:
-        return 1.0
-    if not x:
-        return 0.0
-    j = jaro(x, y)
-    same = next((k for k, (p, q) in enumerate(zip(x[:4], y[:4], strict=False)) if p != q), min(len(x), 4))
-    return j + 0.1 * same * (1 - j) if j else 0.0
+    n, m = F.length(a), F.length(b)
+    reach = F.greatest(F.floor(F.greatest(n, m) / 2).cast("int") - 1, F.lit(0))
+
+    def step(state: Column, i: Column) -> Column:
+        """Matches the i-th character (from 1) with the first free one within reach."""
+        low = F.greatest(i - reach, F.lit(1))
+        at = F.position(_char(a, i), F.substr(state["free"], low, i + reach + 1 - low))
+        return _bound(lambda s: F.when(s["at"] > 0, F.struct(F.overlay(state["free"], F.lit(TAKEN), low + s["at"] - 1, F.lit(1)).alias("free"), F.concat(state["left"], _char(a, i)).alias("left"))).otherwise(state), at=at)
+
+    def score(state: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), m), lambda k: _char(state["free"], k) == TAKEN)
+        right = F.array_join(F.transform(places, lambda k: _char(b, k)), "")
+
+        def of(s: Column) -> Column:
+            found = F.length(s["left"])
+            swaps = F.size(F.filter(F.sequence(F.lit(1), found), lambda k: _char(s["left"], k) != _char(s["right"], k))) / 2
+            return F.when(found == 0, 0.0).otherwise((found / n + found / m + (found - swaps) / found) / 3)
+
+        return _bound(of, left=state["left"], right=right)
+
+    matched = F.aggregate(F.sequence(F.lit(1), n), F.struct(b.alias("free"), F.lit("").alias("left")), step, score)
+    return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(matched)
+
+
+def _same_start(a: Column, b: Column) -> Column:
+    """How many of the first four characters agree, from the first on."""
+    same = lambda k: (_char(a, F.lit(k)) == _char(b, F.lit(k))) & (F.least(F.length(a), F.length(b)) >= k)
+    return F.when(~same(1), 0).when(~same(2), 1).when(~same(3), 2).when(~same(4), 3).otherwise(4)
+
+
+def jaro_winkler(a: Column, b: Column, scale: float = 0.1) -> Column:
+    """Jaro with a bonus for a common start of up to 4, given from 0.7 on; null where one is null."""
+
+    def bonus(s: Column) -> Column:
+        return F.when(s["j"] < 0.7, s["j"]).otherwise(s["j"] + _same_start(s["a"], s["b"]) * F.lit(scale) * (1 - s["j"]))
+
+    score = _bound(lambda s: _bound(bonus, a=s["a"], b=s["b"], j=_jaro(s["a"], s["b"])), a=a, b=b)
+    return F.when(a.isNotNull() & b.isNotNull(), score)
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """``folded`` of two columns; null where one is null."""
+    """Jaro-Winkler without case or outer blanks: the shorter text is matched to the longer, and the bonus is always given; null where one is null."""
+    x, y = trim(F.lower(a)), trim(F.lower(b))
+    first = F.length(x) <= F.length(y)
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else folded(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+    def bonus(s: Column) -> Column:
+        return F.when(s["j"] == 0, 0.0).otherwise(s["j"] + 0.1 * _same_start(s["a"], s["b"]) * (1 - s["j"]))
 
-    return score(a, b)
+    score = _bound(lambda s: _bound(bonus, a=s["a"], b=s["b"], j=_jaro(s["a"], s["b"])), a=F.when(first, x).otherwise(y), b=F.when(first, y).otherwise(x))
+    return F.when(a.isNotNull() & b.isNotNull(), score)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

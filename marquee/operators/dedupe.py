@@ -7,6 +7,10 @@ decides, and rows with equal ``ord`` are interchangeable; empty tables give empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ from marquee.plans.staging import discard, staged
 
 #: Weights of venue, title, place and date in a match.
 WEIGHTS = (0.3, 0.3, 0.2, 0.2)
+#: Pairs (in both directions) of a component that one task groups alone, at most.
+GROUP_PAIRS = 200_000
 
 
 def block_keys(venue: Column, title: Column, city: Column, start: Column) -> Column:
@@ -37,7 +43,8 @@ def candidate_pairs(rows: DataFrame, keys: Column, key: str = "id", block_rows:
     A cut block's rows lie in several tasks on one side and are copied to all of these on the other. All pairs of a
     block are given; ``collapsed`` takes equal records out before.
     """
-    blocks = rows.select(F.col(key).alias("_id"), F.explode(keys).alias("_block")).where("_id is not null")
+    # keys may be costly normal forms: they are made once
+    blocks = staged(rows.select(F.col(key).alias("_id"), F.explode(keys).alias("_block")).where("_id is not null"), "block-keys")
     large = staged(blocks.groupBy("_block").agg(F.count("*").alias("_rows")).where(F.col("_rows") > block_rows), "blocks")
     if not large.isEmpty():
         large = large.withColumn("_parts", F.ceil(F.col("_rows") / block_rows).cast("int"))
@@ -70,11 +77,13 @@ def score_pairs(pairs: DataFrame, rows: DataFrame, hours: int = 2, key: str = "i
     given = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     filled = lambda c: F.nullif(c, F.lit(""))
 
-    def side(n: str) -> DataFrame:
-        place = filled(text.normal(F.coalesce(filled(given("address")), given("country"))))
-        parts = {"v": text.normal_venue(F.col("venue")), "t": text.normal_title(F.col("title")), "c": filled(text.normal_city(F.col("city"))), "p": place, "d": F.col("date_start"), "s": given("source"), "i": filled(given("source_id").cast("string")), "venue": F.col("venue"), "title": F.col("title"), "city": F.col("city")}
-        return rows.select(F.col(key).alias(n), *[c.alias(f"{k}_{n}") for k, c in parts.items()])
-
+    place = filled(text.normal(F.coalesce(filled(given("address")), given("country"))))
+    parts = {"v": text.normal_venue(F.col("venue")), "t": text.normal_title(F.col("title")), "c": filled(text.normal_city(F.col("city"))), "p": place, "d": F.col("date_start"), "s": given("source"), "i": filled(given("source_id").cast("string")), "venue": F.col("venue"), "title": F.col("title"), "city": F.col("city")}
+    # normal forms are made once, and of the rows in pairs only
+    pairs = staged(pairs.select("a", "b"), "pairs")
+    ends = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
+    forms = staged(rows.join(ends, key, "left_semi").select(F.col(key).alias("_id"), *[c.alias(n) for n, c in parts.items()]), "forms")
+    side = lambda n: forms.select(F.col("_id").alias(n), *[F.col(k).alias(f"{k}_{n}") for k in parts])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     cities = F.col("c_a").isNotNull() & F.col("c_b").isNotNull()
     like = lambda x, y: F.coalesce(jaro_winkler(x, y), F.lit(0.0))
@@ -124,28 +133,66 @@ def by_confidence(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(F.desc("confidence"), "a", "b")
 
 
-def greedy_groups(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of whole components (root, a, b with both directions of a pair, sorted): ids in order, each that is free takes its free partners."""
+    held: list[pa.RecordBatch] = []
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        lead: dict = {}
+        free: dict[object, bool] = {}
+        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            if a not in free:  # the first pair of a: it leads unless it has been taken
+                free[a] = a not in lead
+                lead.setdefault(a, a)
+            if free[a]:
+                lead.setdefault(b, a)
+        return pa.RecordBatch.from_arrays([pa.array(list(lead), table.schema.field("a").type), pa.array(list(lead.values()), table.schema.field("a").type)], ["node", "lead"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) < GROUP_PAIRS:
+            continue
+        table = pa.Table.from_batches(held)
+        last = pc.equal(table["root"], table["root"][-1])  # this component may go on
+        whole = table.filter(pc.invert(last))
+        if whole.num_rows:
+            yield solved(whole)
+        held = table.filter(last).to_batches()
+    if held and sum(x.num_rows for x in held):
+        yield solved(pa.Table.from_batches(held))
+
+
+def greedy_groups(pairs: DataFrame, threshold: float = 0.7, local: int | None = None) -> DataFrame:
     """node, lead: groups made in order of ids. The first id not yet in a group leads one and takes all its partners that are in none.
 
-    Each round does so for every id that has no smaller partner left: these can't take from each other, and a
+    Groups don't reach over components of the pairs, so a component of ``local`` pairs at most goes whole to one task, which
+    takes its ids in order: chains of any shape cost no rounds there. In larger ones each round does so for every
+    id that has no smaller partner left: these can't take from each other, and a
     partner of several goes to the smallest. So rounds give what going through the ids one by one gives. All steps
     are joins on ids, written to the shared folder. An id whose partners are all in other groups leads itself.
     """
     edges = pairs.where(F.col("confidence") >= threshold).select("a", "b").where("a != b")
-    both = staged(edges.union(edges.select("b", "a")).distinct(), "edges")
-    nodes, done = staged(both.select(F.col("a").alias("node")).distinct(), "nodes"), None
+    whole = staged(edges.union(edges.select("b", "a")).distinct(), "edges")
+    comps = connected_components(whole.where("a < b"))
+    sizes = staged(whole.join(comps.withColumnsRenamed({"node": "a"}), "a").groupBy("root").agg(F.count("*").alias("_pairs"), F.count_distinct("a").alias("_nodes")), "sizes")
+    few = GROUP_PAIRS if local is None else local
+    nodes = staged(comps.join(sizes.select("root", (F.col("_pairs") > few).alias("large")), "root"), "nodes")
+    kind = dict(nodes.dtypes)["node"]
+    small = whole.join(nodes.where("not large").select(F.col("node").alias("a"), "root"), "a").select("root", "a", "b")
+    done = staged(small.repartition("root").sortWithinPartitions("root", "a", "b").mapInArrow(_led, f"node {kind}, lead {kind}"), "small-groups")
+    both = staged(whole.join(nodes.where("large").select(F.col("node").alias("a")), "a", "left_semi"), "edges")
+    discard(whole, sizes)
     while not both.isEmpty():
         leads = both.groupBy("a").agg(F.min("b").alias("least")).where("a < least").select(F.col("a").alias("lead"))
         taken = both.join(leads, F.col("b") == F.col("lead")).groupBy(F.col("a").alias("node")).agg(F.min("lead").alias("lead"))
         new = staged(taken.union(leads.select(F.col("lead").alias("node"), "lead")), "greedy")
         gone = new.select(F.col("node").alias("_gone"))
         rest = both.join(gone, F.col("a") == F.col("_gone"), "left_anti").join(gone, F.col("b") == F.col("_gone"), "left_anti")
-        left = staged(rest, "edges")
-        discard(both)
-        both, done = left, new if done is None else done.union(new)
-    if done is None:
-        return nodes.select("node", F.col("node").alias("lead"))
-    return nodes.join(done, "node", "left").select("node", F.coalesce("lead", "node").alias("lead"))
+        left, more = staged(rest, "edges"), staged(done.union(new), "groups")  # the plan stays one table, however many rounds
+        discard(both, done, new)
+        both, done = left, more
+    discard(both)
+    return nodes.select("node").join(done, "node", "left").select("node", F.coalesce("lead", "node").alias("lead"))
 
 
 def group_reasons(groups: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import dates, hashing, text
-from marquee.functions.similarity import jaro, winkler
+from tests.plain_similarity import jaro, winkler
 
 
 def apply(spark, f, values):
