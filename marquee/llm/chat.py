@@ -49,6 +49,8 @@ MAPPINGS = (
     {"name": "question", "paths": ["answer", "question"], "pairs": [["user", "question"], ["assistant", "answer"]]},
     {"name": "nested", "paths": ["data", "data.messages", "data.messages[]", "data.messages[].content", "data.messages[].role"], "turns": "data.messages", "role": "role", "text": "content"},
 )
+#: Why a record is none: no mapping; no JSON, too deeply nested, or not text in Unicode; a turn's number that is no integer of 64 bits.
+REJECTS = ("unknown", "unreadable", "turn")
 #: Other names of the three roles, in layouts that don't keep roles as they are (``verbatim``).
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 #: Opening and closing marks by role; any other role is named in its opening mark.
@@ -115,18 +117,27 @@ def canonical_turns(records: DataFrame, mappings: tuple[dict, ...] = MAPPINGS) -
                 chosen[mark] = max((m for m in mappings if found.issuperset(m["paths"])), key=lambda m: len(m["paths"]), default=None)
             return chosen[mark]
 
+        def read(text: str | None) -> tuple[list[tuple[int | None, str, str]], str]:
+            """A record's turns and its layout, or none and why."""
+            try:
+                value = json.loads(text) if text is not None else None
+                mapping = choose(value) if isinstance(value, dict) else None
+                if mapping is None:
+                    return [], "unknown" if value is not None else "unreadable"
+                found = [(int(n) if isinstance(n, float) and n.is_integer() else n, role, body) for n, role, body in mapped(value, mapping)]
+                for _, role, body in found:
+                    (role + body).encode()  # half of a surrogate pair is no text
+            except (ValueError, RecursionError):
+                return [], "unreadable"
+            if any(n is not None and (type(n) is not int or abs(n) >= 1 << 63) for n, _, _ in found):
+                return [], "turn"
+            return found, mapping["name"]
+
         for batch in batches:
             rows = []
             for conv_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    value = json.loads(text) if text is not None else None
-                except ValueError:
-                    value = None
-                mapping = choose(value) if isinstance(value, dict) else None
-                if mapping is None:
-                    rows.append((conv_id, None, 0, None, text, "unknown" if value is not None else "unreadable"))
-                else:
-                    rows += [(conv_id, n, k, role, body, mapping["name"]) for k, (n, role, body) in enumerate(mapped(value, mapping))]
+                found, layout = read(text)
+                rows += [(conv_id, None, 0, None, text, layout)] if layout in REJECTS else [(conv_id, n, k, role, body, layout) for k, (n, role, body) in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TURNS.types, strict=True)] if rows else [pa.array([], t) for t in _TURNS.types], schema=_TURNS)
 
     return records.select(F.col("conv_id").cast("long"), "json").mapInArrow(turns, "conv_id long, turn long, place long, role string, text string, layout string")
@@ -134,12 +145,12 @@ def canonical_turns(records: DataFrame, mappings: tuple[dict, ...] = MAPPINGS) -
 
 def known(turns: DataFrame) -> DataFrame:
     """The turns of records that a mapping fits."""
-    return turns.where(~F.col("layout").isin("unknown", "unreadable"))
+    return turns.where(~F.col("layout").isin(*REJECTS))
 
 
 def rejects(turns: DataFrame) -> DataFrame:
-    """conv_id, json and why (unknown or unreadable) of the records that no mapping fits."""
-    return turns.where(F.col("layout").isin("unknown", "unreadable")).select("conv_id", F.col("text").alias("json"), F.col("layout").alias("why"))
+    """conv_id, json and why (see ``REJECTS``) of the records that no mapping fits."""
+    return turns.where(F.col("layout").isin(*REJECTS)).select("conv_id", F.col("text").alias("json"), F.col("layout").alias("why"))
 
 
 def escape(text: str) -> str:

@@ -99,3 +99,12 @@ def test_packed_pieces_equal_the_library(spark):
     got = places.collect()
     assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=repr) == sorted(want, key=repr)
     assert len({r["sequence_id"] for r in got}) == -(-sum(w[3] for w in want) // 512)
+
+
+def test_records_that_can_not_be_turns(spark):
+    """Numbers that aren't integers, half surrogate pairs and deep nesting are rejects, not the job's end."""
+    row = '{{"conv_id": 1, "turn": {0}, "role": "user", "text": "{1}"}}'
+    records = [(1, row.format('"x"', "a")), (2, row.format("1", "\\ud800")), (3, "[" * 100_000 + "]" * 100_000), (4, row.format("1.5", "a")), (5, row.format("1e30", "a")), (6, row.format("true", "a")), (7, row.format("2.0", "fine")), (8, row.format("null", "too")), (9, '{"a": ' * 3000 + "1" + "}" * 3000)]
+    turns = chat.canonical_turns(spark.createDataFrame(records, "conv_id long, json string"))
+    assert sorted((r["conv_id"], r["why"]) for r in chat.rejects(turns).collect()) == [(1, "turn"), (2, "unreadable"), (3, "unreadable"), (4, "turn"), (5, "turn"), (6, "turn"), (9, "unreadable")]
+    assert sorted((r["conv_id"], r["turn"], r["text"]) for r in chat.known(turns).collect()) == [(7, 2, "fine"), (8, None, "too")]
