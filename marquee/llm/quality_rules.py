@@ -5,7 +5,8 @@ lines with a word: a line fails the punctuation rule (mostly symbols, shouting,
 short line that ends in no punctuation though lines that do hold at least half of the
 text's line characters, so verse, lists, glossaries and code stay whole), the
 navigation rule (bars or other separators between short entries) or the boilerplate
-rule (stock phrases). Failing lines are removed; a document is rejected when they held
+rule (stock phrases of four languages that hold a tenth of the line). Failing lines are removed, blank ones
+stay where they are; a document is rejected when failing lines held
 more than ``max_removed_percent`` of its lines' characters.
 
 All of it is one projection over the row: no shuffle, nothing gathered, memory bounded
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from marquee.llm.words import SPACES, WORD, words
 from marquee.plans.rows import packed, unpacked
 
-#: Stock phrases, lower case.
+#: Stock phrases, lower case, as patterns (a dot stands for a letter with a mark); four languages.
 BOILERPLATE = (
     "all rights reserved",
     "click here",
@@ -40,7 +41,25 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "this work is licensed",
+    "alle rechte vorbehalten",
+    "allgemeine gesch.ftsbedingungen",
+    "datenschutzerkl.rung",
+    "hier klicken",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "abonnez-vous . notre newsletter",
+    "cliquez ici",
+    "conditions d.utilisation",
+    "politique de confidentialit.",
+    "tous droits r.serv.s",
+    "haga clic aqu.",
+    "pol.tica de privacidad",
+    "suscr.bete a nuestro bolet.n",
+    "t.rminos de uso",
+    "todos los derechos reservados",
 )
+#: A line is boilerplate where stock phrases hold one in so many of its characters at least; a paragraph that only mentions one isn't.
+STOCK_SHARE = 10
 _WINDOWS = "array<struct<h:bigint,w:struct<a:string,b:string,c:string>,i:int>>"
 #: Last characters of a punctuated line, full stops of other scripts too.
 LINE_ENDS = ".!?…:;\"'”’»)]。｡．！？：；」』）】،؛؟۔।॥။።៖។"
@@ -88,7 +107,9 @@ def line_fails(line: Column, punctuated: Column) -> Column:
     """Whether one line of a text, ``punctuated`` or not, is removed; see the module's text for the rules."""
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     n = count(WORD)
-    stock = line.rlike("(?i)" + "|".join(BOILERPLATE))
+    pattern = "(?i)" + "|".join(BOILERPLATE)
+    rest = F.length(F.regexp_replace(line, pattern, ""))
+    stock = F.when(line.rlike(pattern), STOCK_SHARE * (F.length(line) - rest) >= F.length(line)).otherwise(False)
     symbols, bangs, bars = count(r"[#*$%&<>]"), count("!"), count(r"[|»›•·]")
     noisy = (symbols >= 3) & (2 * symbols >= n) | (bangs >= 6) & (2 * bangs >= n) | (bars >= 3) & (3 * bars >= n)
     short = F.when(~punctuated | ends_punctuated(line), False).otherwise(n <= 3)
@@ -104,20 +125,23 @@ def _judged(docs: DataFrame, max_removed_percent: int) -> DataFrame:
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     punctuated = 2 * chars(F.filter("_lines", ends_punctuated)) >= chars(F.col("_lines"))
     # an array of one holds the text's own condition: as a column Spark would work it out again for each line
-    good = F.transform(F.array(punctuated), lambda p: F.filter("_lines", lambda x: ~line_fails(x, p)))
-    out = out.withColumn("clean_lines", F.flatten(good))
+    blank = lambda x: F.btrim(x, F.lit(SPACES)) == ""
+    every = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    good = F.transform(F.array(punctuated), lambda p: F.filter(every, lambda x: F.when(blank(x), True).otherwise(~line_fails(x, p))))
+    out = out.withColumn("_left", F.flatten(good))
+    out = out.withColumn("clean_lines", F.filter("_left", lambda x: ~blank(x)))
     out = out.withColumns({"line_chars": chars(F.col("_lines")), "removed_chars": chars(F.col("_lines")) - chars(F.col("clean_lines"))}).drop("_lines")
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_chars") <= max_removed_percent * F.col("line_chars")))
 
 
 def judged(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
     """doc_id and text of every row with the base counts, ``clean_lines`` (array), ``line_chars``, ``removed_chars`` and ``kept``."""
-    return _judged(docs.select("doc_id", "text"), max_removed_percent).select("row.doc_id", "row.text", "*").drop("row")
+    return _judged(docs.select("doc_id", "text"), max_removed_percent).select("row.doc_id", "row.text", "*").drop("row", "_left")
 
 
 def cleaned(docs: DataFrame, max_removed_percent: int = 50) -> DataFrame:
-    """The kept documents with the columns of ``docs``; their failing lines are removed from the text, and ``n_chars``, if any, follows."""
+    """The kept documents with the columns of ``docs``; their failing lines are removed from the text, blank lines stay, and ``n_chars``, if any, follows."""
     # the row number is never negative: it keeps Spark from moving the filter below and evaluating all rules again for it
     kept = _judged(docs, max_removed_percent).withColumn("_no", F.monotonically_increasing_id()).where("kept and _no >= 0")
-    text = F.array_join("clean_lines", "\n")
+    text = F.array_join("_left", "\n")
     return unpacked(kept, docs.columns, text=text, n_chars=F.length(text).cast("long"))

@@ -172,10 +172,12 @@ def clean(text):
         n = len(WORD.findall(x))
         symbols, bangs, bars = (sum(x.count(c) for c in s) for s in ("#*$%&<>", "!", "|»›•·"))
         noisy = symbols >= 3 and 2 * symbols >= n or bangs >= 6 and 2 * bangs >= n or bars >= 3 and 3 * bars >= n
-        return noisy or punctuated and not ended(x) and n <= 3 or bool(re.search("|".join(quality_rules.BOILERPLATE), x, re.I))
+        stock = sum(len(m[0]) for m in re.finditer("|".join(quality_rules.BOILERPLATE), x, re.I))
+        return noisy or punctuated and not ended(x) and n <= 3 or bool(stock) and quality_rules.STOCK_SHARE * stock >= len(x)
 
     good = [x for x in lines if not fails(x)]
-    return "\n".join(good) if 100 * (size - sum(map(len, good))) <= 50 * size else None
+    left = [x for x in text.split("\n") if not x.strip(SPACES) or not fails(x)]
+    return "\n".join(left) if 100 * (size - sum(map(len, good))) <= 50 * size else None
 
 
 def mix(rows):

@@ -101,6 +101,17 @@ def test_short_lines_fail_among_punctuated_ones_only(spark):
     assert got == {i: "\n".join(want) for i, (_, want) in enumerate(cases)}
 
 
+def test_stock_phrases_of_long_lines_and_blank_lines(spark):
+    said = [f"Line {k} tells number {k + 100} of a long story about towns{k} and rivers{k}." for k in range(8)]
+    article = " ".join(said) + " Whoever reads the terms of use of that town, Nutzungsbedingungen as they say there, finds none of this."
+    stock = ["All rights reserved.", "Tous droits réservés par la rédaction.", "Hier klicken, um mehr zu sehen."]
+    cases = [([article], [article]), (["", *said[:4], "", " \t", *stock, "", *said[4:], ""], ["", *said[:4], "", " \t", "", *said[4:], ""])]
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i, (lines, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in quality_rules.cleaned(docs).collect()} == {i: "\n".join(want) for i, (_, want) in enumerate(cases)}
+    judged = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    assert judged[1]["clean_lines"] == said and judged[1]["removed_chars"] == sum(map(len, stock))
+
+
 def brute_components(rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
