@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Pieces kept at most; then the memo starts anew.
-MEMO = 300_000
+MEMO = 600_000
 #: Characters of texts that are cut and joined at once; a longer text goes alone.
 AT_ONCE = 4_000_000
 _STOPS = (".", ",")
