@@ -210,10 +210,12 @@ def name_distances(spark, sf):
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance"), F.round(edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@_query("SELECT a, b, CAST(score AS DOUBLE) AS score FROM (VALUES ('martha', 'marhta', 0.961111), ('dwayne', 'duane', 0.84), ('dixon', 'dicksonx', 0.813333), ('', '', 1.0), ('abc', '', 0.0)) AS t(a, b, score)")
+@_query(None)
 def jaro_winkler_pairs(spark, sf):
-    pairs = spark.sql("SELECT * FROM VALUES ('martha', 'marhta'), ('dwayne', 'duane'), ('dixon', 'dicksonx'), ('', ''), ('abc', '') AS t(a, b)")
-    return pairs.select("a", "b", F.round(jaro_winkler(F.col("a"), F.col("b")), 6).cast("decimal(7,6)").cast("double").alias("score"))
+    """Likeness of the names of parts of one brand and size; DuckDB's own function drops half transpositions, so a test holds it against a plain version."""
+    side = lambda n: table(spark, sf, "part").select("p_brand", "p_size", F.col("p_partkey").alias(n), F.concat_ws(" ", "p_type", "p_name").alias(f"_{n}"))
+    pairs = side("a").join(side("b"), ["p_brand", "p_size"]).where("a < b")
+    return pairs.select("a", "b", F.round(jaro_winkler(F.col("_a"), F.col("_b")), 6).alias("score"))
 
 
 @_query("SELECT o_orderkey, date_trunc('hour', o_orderdate + INTERVAL 30 MINUTE) AS hour, strftime(o_orderdate, '%a ') || CAST(day(o_orderdate) AS VARCHAR) || CASE WHEN day(o_orderdate) BETWEEN 11 AND 13 THEN 'th' WHEN day(o_orderdate) % 10 = 1 THEN 'st' WHEN day(o_orderdate) % 10 = 2 THEN 'nd' WHEN day(o_orderdate) % 10 = 3 THEN 'rd' ELSE 'th' END || strftime(o_orderdate, ' %B %Y') AS shown FROM orders")
@@ -222,15 +224,26 @@ def date_display(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dates.round_hour(d).alias("hour"), dates.ordinal_day(d).alias("shown"))
 
 
-@_query("SELECT * FROM (VALUES ('12:00 AM', 0), ('8:60 PM', NULL), ('25:00', NULL), ('19:30', 1170), ('7:30 pm', 1170), ('noon', NULL)) AS t(x, minutes)")
+_H, _M = "o_orderkey % 26", "o_orderkey % 61"
+_CLOCK = f"CASE o_orderkey % 4 WHEN 0 THEN ({_H}) || ':' || lpad(CAST({_M} AS VARCHAR), 2, '0') || ' AM' WHEN 1 THEN ({_H}) || ':' || lpad(CAST({_M} AS VARCHAR), 2, '0') || ' pm' WHEN 2 THEN ({_H}) || ':' || lpad(CAST({_M} AS VARCHAR), 2, '0') ELSE 'noon ' || o_orderkey END"
+
+
+@_query(f"SELECT o_orderkey, CAST(CASE WHEN {_M} > 59 THEN NULL WHEN o_orderkey % 4 = 0 AND {_H} BETWEEN 1 AND 12 THEN ({_H}) % 12 * 60 + {_M} WHEN o_orderkey % 4 = 1 AND {_H} BETWEEN 1 AND 12 THEN (({_H}) % 12 + 12) * 60 + {_M} WHEN o_orderkey % 4 = 2 AND {_H} < 24 THEN ({_H}) * 60 + {_M} END AS INT) AS minutes FROM orders")
 def parse_times(spark, sf):
-    return spark.sql("SELECT * FROM VALUES ('12:00 AM'), ('8:60 PM'), ('25:00'), ('19:30'), ('7:30 pm'), ('noon') AS t(x)").select("x", dates.parse_time(F.col("x")).alias("minutes"))
+    """Times of 12 and 24 hours, some out of range, and texts that are none."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.expr(_CLOCK.replace("VARCHAR", "STRING")).alias("x"))
+    return rows.select("o_orderkey", dates.parse_time(F.col("x")).alias("minutes"))
+
+
+_A = "o_orderkey % 90 + 1"
 
 
-@_query("SELECT x, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, currency FROM (VALUES ('$15-30', 15.0, 30.0, 'USD'), ('10-15 EUR', 10.0, 15.0, 'EUR'), ('Price: £25.99', 25.99, 25.99, 'GBP'), ('Free', 0.0, 0.0, NULL)) AS t(x, low, high, currency)")
+@_query(f"SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 3 THEN 0 WHEN 2 THEN {_A} + 0.5 ELSE {_A} END AS DOUBLE) AS low, CAST(CASE o_orderkey % 4 WHEN 3 THEN 0 WHEN 2 THEN {_A} + 0.5 ELSE {_A} + 15 END AS DOUBLE) AS high, CASE o_orderkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' END AS currency FROM orders")
 def parse_prices(spark, sf):
-    p = spark.sql("SELECT * FROM VALUES ('$15-30'), ('10-15 EUR'), ('Price: £25.99'), ('Free') AS t(x)").withColumn("p", text.price(F.col("x")))
-    return p.select("x", F.col("p.min").alias("low"), F.col("p.max").alias("high"), F.col("p.currency").alias("currency"))
+    """Ranges with a symbol or a code, single prices, and free ones."""
+    x = F.expr(f"CASE o_orderkey % 4 WHEN 0 THEN '$' || ({_A}) || '-' || ({_A} + 15) WHEN 1 THEN ({_A}) || '-' || ({_A} + 15) || ' EUR' WHEN 2 THEN 'Price: £' || ({_A}) || '.50' ELSE 'Free' END")
+    p = table(spark, sf, "orders").select("o_orderkey", text.price(x).alias("p"))
+    return p.select("o_orderkey", F.col("p.min").alias("low"), F.col("p.max").alias("high"), F.col("p.currency").alias("currency"))
 
 
 @_query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 95 WHEN s_suppkey % 4 = 1 THEN 90 WHEN s_suppkey % 4 = 2 THEN 70 ELSE 30 END AS trust FROM supplier")
@@ -308,27 +321,30 @@ def page_fields(spark, sf):
     return feeds.page_fields(table(spark, sf, "pages"))
 
 
-_RSS = "<rss><channel><item><title>Jazz Night</title><link>http://x.example/1</link><pubDate>Mon, 15 Jan 2024 20:00:00 GMT</pubDate><category>Jazz</category><category>Live</category></item><item><title>No date</title></item></channel></rss>"
-
-
-@_query("SELECT 'Jazz Night' AS title, 'http://x.example/1' AS link, 'Mon, 15 Jan 2024 20:00:00 GMT' AS date, 'Jazz,Live' AS categories")
+@_query("SELECT c_name AS title, 'http://x.example/' || c_custkey AS link, 'Mon, 15 Jan 2024 20:00:00 GMT' AS date, c_mktsegment || ',Live' AS categories FROM customer")
 def rss_items(spark, sf):
-    return feeds.rss(spark.range(1).select(F.lit(_RSS).alias("content"))).select("title", "link", "date", F.array_join("categories", ",").alias("categories"))
-
+    """A feed for each customer, with a second item that has no date."""
+    body = F.concat(F.lit("<rss><channel><item><title>"), "c_name", F.lit("</title><link>http://x.example/"), "c_custkey", F.lit("</link><pubDate>Mon, 15 Jan 2024 20:00:00 GMT</pubDate><category>"), "c_mktsegment", F.lit("</category><category>Live</category></item><item><title>No date</title></item></channel></rss>"))
+    return feeds.rss(table(spark, sf, "customer").select(body.alias("content"))).select("title", "link", "date", F.array_join("categories", ",").alias("categories"))
 
-_ICS = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nDTSTART;TZID=Europe/London:20240115T200000\r\nSUMMARY:Rock\\, loud and\r\n  long\r\nLOCATION:Hall\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nSUMMARY:No start\r\nEND:VEVENT\r\nEND:VCALENDAR"
 
-
-@_query("SELECT '1' AS uid, 'Rock, loud and long' AS title, TIMESTAMP '2024-01-15 20:00:00' AS start, 'Hall' AS location")
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS uid, 'Rock, loud and long ' || o_orderpriority AS title, CAST(o_orderdate AS TIMESTAMP) AS start, 'Hall ' || o_orderstatus AS location FROM orders")
 def ical_events(spark, sf):
-    rows = feeds.ical(spark.range(1).select(F.lit(_ICS).alias("content")))
+    """A calendar for each order, with a time zone, an escape, a folded line, and an event without a start."""
+    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:"), F.col("o_orderkey").cast("string"), F.lit("\r\nDTSTART;TZID=Europe/London:"), F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss"), F.lit("\r\nSUMMARY:Rock\\, loud and\r\n  long "), "o_orderpriority", F.lit("\r\nLOCATION:Hall "), "o_orderstatus", F.lit("\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nSUMMARY:No start\r\nEND:VEVENT\r\nEND:VCALENDAR"))
+    rows = feeds.ical(table(spark, sf, "orders").select(body.alias("content")))
     return rows.select("uid", "title", dates.parse_ical(F.col("start")).cast("timestamp_ntz").alias("start"), "location")
 
 
-@_query("SELECT * FROM (VALUES ('A', '2024-01-15', 'Hall'), ('B', '2024-02-01', NULL)) AS t(title, date, location)")
+@_query("SELECT 'O' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS location FROM orders")
 def json_events(spark, sf):
-    body = '{"events": [{"name": "A", "date_start": "2024-01-15", "venue": "Hall"}, {"title": "B", "start_date": "2024-02-01"}, {"title": "no date"}]}'
-    return feeds.json_events(spark.range(1).select(F.lit(body).alias("content"))).select("title", "date", "location")
+    """A document for each order: an object with events or an array, fields by several names, and an event without a date."""
+    day, title = F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+    one = F.to_json(F.struct(title.alias("name"), day.alias("date_start"), F.col("o_orderpriority").alias("venue")))
+    two = F.to_json(F.struct(title.alias("title"), day.alias("start_date")))
+    bare = F.lit(', {"title": "no date"}]')
+    body = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"events": ['), one, bare, F.lit("}"))).otherwise(F.concat(F.lit("["), two, bare))
+    return feeds.json_events(table(spark, sf, "orders").select(body.alias("content"))).select("title", "date", "location")
 
 
 _TRUST = "CASE source WHEN 'BUILDING' THEN 90 WHEN 'MACHINERY' THEN 90 ELSE 40 END"
@@ -362,16 +378,20 @@ def job_health(spark, sf):
     return sources.job_summary(jobs, F.lit(jobs.agg(F.max("last_run")).first()[0]))
 
 
-@_query("SELECT x, CAST(day AS DATE) AS day, CAST(minutes AS INT) AS minutes FROM (VALUES ('Today', '2025-08-12', NULL), ('Wed.13.Aug.25', '2025-08-13', NULL), ('Thu, 28 Aug, 7:30 pm', '2025-08-28', 1170), ('Monday 11th August 13:00 - 14:45', '2026-08-11', 780), ('08/20/2025', '2025-08-20', NULL), ('soon', NULL, NULL)) AS t(x, day, minutes)")
+@_query("SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) WHEN 3 THEN NULL ELSE o_orderdate END AS DATE) AS day, CAST(CASE o_orderkey % 4 WHEN 1 THEN 1170 END AS INT) AS minutes FROM orders")
 def event_days(spark, sf):
-    rows = spark.sql("SELECT * FROM VALUES ('Today'), ('Wed.13.Aug.25'), ('Thu, 28 Aug, 7:30 pm'), ('Monday 11th August 13:00 - 14:45'), ('08/20/2025'), ('soon') AS t(x)")
-    return rows.select("x", event_dates.parse_day(F.col("x"), dt.date(2025, 8, 12)).alias("day"), event_dates.clock(F.col("x")).alias("minutes"))
+    """Days with dots (of this century), with a month's name and a time, with slashes, and texts that are none."""
+    d = F.col("o_orderdate")
+    forms = [F.date_format(d, "EEE.d.MMM.yy"), F.concat(F.date_format(d, "EEEE d MMM yyyy"), F.lit(" 19:30")), F.date_format(d, "MM/dd/yyyy"), F.lit("soon")]
+    x = F.coalesce(*[F.when(F.col("o_orderkey") % 4 == k, f) for k, f in enumerate(forms)])
+    rows = table(spark, sf, "orders").select("o_orderkey", x.alias("x"))
+    return rows.select("o_orderkey", event_dates.parse_day(F.col("x"), dt.date(2025, 8, 12)).alias("day"), event_dates.clock(F.col("x")).alias("minutes"))
 
 
-@_query("SELECT 'Blue feat Red & Green' AS x, 'Blue|Red|Green' AS artists, 'blue feat red' AS main_artist, 'blue feat red green' AS search")
+@_query("SELECT c_custkey, c_mktsegment || '|Red' || c_nationkey || '|Green' || c_custkey AS artists, lower(c_mktsegment) || ' feat red' || c_nationkey AS main_artist, lower(c_mktsegment) || ' feat red' || c_nationkey || ' green' || c_custkey AS search FROM customer")
 def title_parts(spark, sf):
-    x = F.col("x")
-    return spark.sql("SELECT 'Blue feat Red & Green' AS x").select("x", F.array_join(extract.artists(x), "|").alias("artists"), extract.main_artist(x).alias("main_artist"), extract.searchable(x).alias("search"))
+    x = F.concat("c_mktsegment", F.lit(" feat Red"), "c_nationkey", F.lit(" & Green"), "c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(extract.artists(x), "|").alias("artists"), extract.main_artist(x).alias("main_artist"), extract.searchable(x).alias("search"))
 
 
 @_query("SELECT doc_id, array_to_string(list_filter(['Rock', 'Pop', 'Jazz'], lambda g: contains(lower(text), lower(g))), ',') AS genres FROM documents")

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from marquee.functions.similarity import jaro_winkler, text_similarity
+from marquee.queries import QUERIES
 from tests.plain_similarity import folded, winkler
 
 
@@ -32,3 +33,11 @@ def test_no_python_workers(spark):
     df = spark.createDataFrame([("a", "b")], "a string, b string")
     plan = df.select(jaro_winkler(F.col("a"), F.col("b")), text_similarity(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_pairs_of_parts(spark):
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    want = {(x.p_partkey, y.p_partkey): winkler(f"{x.p_type} {x.p_name}", f"{y.p_type} {y.p_name}") for x in parts for y in parts if x.p_partkey < y.p_partkey and (x.p_brand, x.p_size) == (y.p_brand, y.p_size)}
+    got = {(r.a, r.b): r.score for r in QUERIES["jaro_winkler_pairs"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
