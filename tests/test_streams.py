@@ -104,3 +104,14 @@ def test_limits_on_a_stream_and_a_table(spark, tmp_path):
     query = limited(spark.readStream.schema("ip string, ts timestamp, request long").json(str(source)), "ip", limits).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_limits_by_hand(spark):
+    """Two in a short window, three in a long one; windows begin with a request and end after their last moment."""
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("a", at(s), n) for n, s in enumerate([0, 1, 2, 10, 11, 12, 13, 100, 101, 102, 200, 201, 202, 203])]
+    limits = Limits(requests=3, window=100_000_000, burst=2, burst_window=10_000_000)
+    got = limited(spark.createDataFrame(rows, "ip string, ts timestamp, request long"), "ip", limits).orderBy("request").collect()
+    # the short window of 0 ends after 10 and the long one after 100; each begins anew with the next request
+    assert [r.allowed for r in got] == [True, True, False, False, True, False, False, False, True, True, True, False, True, False]
+    assert [r.remaining for r in got] == [2, 1, 1, 1, 0, 0, 0, 0, 2, 1, 0, 0, 2, 2]
