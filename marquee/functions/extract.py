@@ -135,7 +135,7 @@ TRANSFORMS: dict[str, Callable[[Column, dict], Column]] = {
     "uppercase": lambda x, p: F.upper(x),
     "slug": lambda x, p: open_slug(x),
     "url": lambda x, p: absolute_url(x, p["base"]),
-    "date": lambda x, p: F.date_format(event_dates.parse_start(x, F.lit(None).cast("string"), p["today"], p.get("hour", 19), p.get("dayfirst", False)), "yyyy-MM-dd'T'HH:mm:ss"),
+    "date": lambda x, p: F.date_format(F.try_to_timestamp(x, F.lit(p["format"])) if "format" in p else event_dates.parse_start(x, F.lit(None).cast("string"), p["today"], p.get("hour", 19), p.get("dayfirst", False)), "yyyy-MM-dd'T'HH:mm:ss"),
     "iso-date": lambda x, p: F.date_format(dates.parse_iso(x), "yyyy-MM-dd'T'HH:mm:ss"),
     "time-range-start": lambda x, p: F.nullif(F.regexp_extract(x, r"^(\d{1,2}:\d{2})", 1), F.lit("")),
     "time-range-end": lambda x, p: F.nullif(F.regexp_extract(x, r"(\d{1,2}:\d{2})$", 1), F.lit("")),

@@ -29,3 +29,8 @@ def sanitised(rows: DataFrame) -> DataFrame:
 def tally(rows: DataFrame) -> DataFrame:
     """source, valid, invalid, errors."""
     return validated(rows).groupBy("source").agg(F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"), F.sum(F.size("errors")).cast("long").alias("errors"))
+
+
+def repeated_keys(rows: DataFrame, key: str = "id") -> DataFrame:
+    """``key`` and n of the keys that more than one row has (null is a key): none where a unique index would hold."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

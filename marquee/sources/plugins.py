@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 import importlib.util
 import json
 from collections.abc import Callable, Iterator
@@ -12,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.functions.event_dates import at_minute, clock
 from marquee.operators.mapping import config_errors, with_defaults
 
 #: name to (fetch, normalise): raw rows of a source, and these as records.
@@ -32,6 +35,19 @@ def rows_of(spark: SparkSession, name: str, venue: str | None = None) -> DataFra
     return rows.withColumn("venue", F.coalesce("venue", F.lit(venue))) if venue is not None and "venue" in rows.columns else rows
 
 
+def late_tomorrow(rows: DataFrame, as_of: dt.datetime, when: str = "date_text", start: str = "date_start") -> DataFrame:
+    """``rows`` with ``start`` set where the text ``when`` still says tomorrow: the day after ``as_of`` at the text's time, else at seven in the evening."""
+    day = F.lit(as_of.date() + dt.timedelta(days=1))
+    late = at_minute(day, F.coalesce(clock(F.col(when)), F.lit(19 * 60)))
+    return rows.withColumn(start, F.when(F.lower(when).contains("tomorrow"), late).otherwise(F.col(start)))
+
+
+def config_hash(text: str) -> str:
+    """SHA-256 of a config written compactly, its fields in the file's order; whole numbers have no point."""
+    plain = lambda x: {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else [plain(v) for v in x] if isinstance(x, list) else int(x) if isinstance(x, float) and x.is_integer() else x
+    return hashlib.sha256(json.dumps(plain(json.loads(text)), separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def all_rows(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """The records of several sources, or of all, one below the other; columns that one lacks are null."""
     parts = [rows_of(spark, n) for n in (names if names is not None else sorted(REGISTRY))]
@@ -44,24 +60,24 @@ def _config_row(text: str, path: str) -> tuple:
     try:
         config = with_defaults(json.loads(text))
     except (ValueError, TypeError, RecursionError):
-        return (None, None, None, None, ["not JSON"], path)
+        return (None, None, None, None, ["not JSON"], path, None)
     site = config.get("site", {})
-    return (site.get("name"), site.get("source"), site.get("baseUrl"), json.dumps(config), config_errors(config), path)
+    return (site.get("name"), site.get("source"), site.get("baseUrl"), json.dumps(config), config_errors(config), path, config_hash(text))
 
 
 def read_configs(spark: SparkSession, *paths: str) -> DataFrame:
-    """name, source, base_url, config (JSON with defaults), errors, path: a row for each config file of the paths (globs), read and parsed by tasks.
+    """name, source, base_url, config (JSON with defaults), errors, path, hash (of the file's own fields): a row for each config file of the paths (globs), read and parsed by tasks.
 
     A file that isn't JSON has one error and no name.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select("path", F.decode("content", "UTF-8").alias("text")).dropDuplicates(["path"])
-    names = ["name", "source", "base_url", "config", "errors", "path"]
+    names = ["name", "source", "base_url", "config", "errors", "path", "hash"]
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([_config_row(t, p) for t, p in zip(b["text"], b["path"], strict=True)], columns=names, dtype=object)
 
-    return files.mapInPandas(parsed, "name string, source string, base_url string, config string, errors array<string>, path string")
+    return files.mapInPandas(parsed, "name string, source string, base_url string, config string, errors array<string>, path string, hash string")
 
 
 def load_folder(path: str) -> list[str]:

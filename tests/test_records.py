@@ -132,7 +132,8 @@ def test_mapping(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == [(1, None, None), (7, " A ", "d")]
 
 
-def test_configs_and_plugins(spark, tmp_path):
+def test_configs_and_plugins(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plugins, "REGISTRY", {})
     config = {"site": {"name": "a", "source": "a", "baseUrl": "u"}, "workflow": [{"type": "extract", "containerSelector": "x", "fields": {"t": {"transform": "trim"}}}, {"type": "click"}, {"type": "fly"}], "mapping": {"title": "t", "venue": {}, "date_start": "d"}, "validation": {"minEventsExpected": 5, "maxEventsExpected": 2}}
     assert mapping.config_errors(config) == ["workflow 1: missing selector", "workflow 2: unknown type fly", "validation: more events expected at least than at most"]
     (tmp_path / "a.json").write_text(json.dumps(config))

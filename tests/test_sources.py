@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from marquee.functions.extract import transformed
 from marquee.operators import changes
+from marquee.operators.quality import repeated_keys
 from marquee.sources import feed_source, plugins, structured, versions
 
 NOW = dt.datetime(2025, 1, 1)
@@ -104,3 +107,14 @@ def test_inserts_patches_and_pages(spark):
     assert [(r.page, r.place, r.id) for r in rows.orderBy("page", "place").collect()] == [(1, 0, 1), (1, 1, 2), (2, 0, 3)] and total.first().total == 3
     groups = base.groupBy(F.lit(1).alias("g")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     assert sorted(map(tuple, changes.flattened(groups).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_small_rules(spark):
+    rows = spark.createDataFrame([("Tomorrow 21:30", None), ("come TOMORROW", NOW), ("Friday", NOW), (None, NOW)], "date_text string, date_start timestamp_ntz")
+    got = [r.date_start for r in plugins.late_tomorrow(rows, NOW).collect()]
+    assert got == [dt.datetime(2025, 1, 2, 21, 30), dt.datetime(2025, 1, 2, 19), NOW, NOW]
+    assert plugins.config_hash('{ "b": 1.0, "a": ["é", 2.5] }') == hashlib.sha256('{"b":1,"a":["é",2.5]}'.encode()).hexdigest()
+    x = spark.createDataFrame([("03.02.2025",), ("soon",)], "x string").select(transformed(F.col("x"), "date", {"format": "dd.MM.yyyy"}))
+    assert [r[0] for r in x.collect()] == ["2025-02-03T00:00:00", None]
+    keys = spark.createDataFrame([(1,), (1,), (None,), (None,), (2,)], "id long")
+    assert sorted(map(tuple, repeated_keys(keys).collect()), key=repr) == [(1, 2), (None, 2)]
