@@ -14,7 +14,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ENDED = lambda x: f"contains({_q(quality_rules.LINE_ENDS)}, right(rtrim({x}, {_BLANKS}), 1))"
 _CHARS = lambda lines: f"coalesce(list_sum(list_transform({lines}, lambda x: length(x))), 0)"
 _PUNCTUATED = f"2 * {_CHARS('list_filter(lines, lambda x: ' + _ENDED('x') + ')')} >= {_CHARS('lines')}"
-_STOCK = _q("(?i)" + "|".join(quality_rules.BOILERPLATE))
+_STOCK = _q(quality_rules.stock_pattern())
 LINE_FAILS = f"""(({_SYM} >= 3 AND 2 * {_SYM} >= {_N}) OR ({_BANG} >= 6 AND 2 * {_BANG} >= {_N}) OR ({_BAR} >= 3 AND 3 * {_BAR} >= {_N})
     OR (punctuated AND NOT {_ENDED("l")} AND {_N} <= 3)
     OR (regexp_matches(l, {_STOCK}) AND {quality_rules.STOCK_SHARE} * (length(l) - length(regexp_replace(l, {_STOCK}, '', 'g'))) >= length(l)))"""
