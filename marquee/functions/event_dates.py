@@ -26,11 +26,15 @@ def day_number(x: Column) -> Column:
     return F.when(n.between(1, 31), n)
 
 
+# fixed values: a range of times, a time that ends a text, and a time with am or pm
+_SPAN, _LAST, _HALF = r"(\d{1,2}):(\d{2})\s*-\s*\d{1,2}:\d{2}", r"(\d{1,2}):(\d{2})\s*$", r"(?i)(\d{1,2}):?(\d{2})?\s*(am|pm)(?![a-z])"
+
+
 def clock(x: Column) -> Column:
     """Minutes of the day: a range's start, a 24-hour time at the end, or a time with am or pm."""
     part = lambda p, k: F.regexp_extract(x, p, k).try_cast("int")
     day = lambda h, m: F.when(h.between(0, 23) & m.between(0, 59), h * 60 + m)
-    span, last, half = r"(\d{1,2}):(\d{2})\s*-\s*\d{1,2}:\d{2}", r"(\d{1,2}):(\d{2})\s*$", r"(?i)(\d{1,2}):?(\d{2})?\s*(am|pm)(?![a-z])"
+    span, last, half = _SPAN, _LAST, _HALF
     h, m = part(half, 1), F.coalesce(part(half, 2), F.lit(0))
     pm = F.lower(F.regexp_extract(x, half, 3)) == "pm"
     twelve = F.when(h.between(1, 12), day(h % 12 + F.when(pm, 12).otherwise(0), m))

@@ -25,6 +25,8 @@ GENRES = {
 }
 #: Stands between artists while a text is split.
 _CUT = "\x01"
+# fixed values: what stands between artists on a page, taken in this order; commas outside brackets only
+ARTIST_CUTS = (r"(?i)\s+featuring\s+", r"(?i)\s+feat\.?\s+", r"(?i)\s+ft\.?\s+", r"(?i)\s+with\s+", rf",\s*(?![^(){_CUT}]*\))", r"\s+&\s+", r"(?i)\s+and\s+")
 
 
 def page_text(x: Column) -> Column:
@@ -35,7 +37,7 @@ def page_text(x: Column) -> Column:
 def artists(x: Column) -> Column:
     """Names between words such as feat, with, and, ampersands and commas outside brackets."""
     x = page_text(x)
-    for p in (r"(?i)\s+featuring\s+", r"(?i)\s+feat\.?\s+", r"(?i)\s+ft\.?\s+", r"(?i)\s+with\s+", rf",\s*(?![^(){_CUT}]*\))", r"\s+&\s+", r"(?i)\s+and\s+"):
+    for p in ARTIST_CUTS:
         x = F.regexp_replace(x, p, _CUT)
     return F.filter(F.transform(F.split(x, _CUT), trim), lambda a: F.length(a).between(1, 99))
 

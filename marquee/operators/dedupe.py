@@ -96,6 +96,7 @@ def score_pairs(pairs: DataFrame, rows: DataFrame, hours: int = 2, key: str = "i
     date = F.when(same_day, 1.0).when(within, 0.8).otherwise(0.0)
     parts = [F.col("venue"), F.col("title"), F.col("place"), date]
     overall = F.round(sum((w * p for w, p in zip(WEIGHTS, parts, strict=True)), F.lit(0.0)), 6)
+    # fixed values: the texts of reasons
     reasons = F.array_compact(F.array(
         F.when(F.col("venue") >= 0.8, F.format_string('Similar venues: "%s" vs "%s" (%.2f)', "venue_a", "venue_b", "venue")),
         F.when(F.col("title") >= 0.75, F.format_string('Similar titles: "%s" vs "%s" (%.2f)', "title_a", "title_b", "title")),

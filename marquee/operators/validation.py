@@ -57,6 +57,7 @@ def validated_records(rows: DataFrame, as_of: dt.datetime, *, auto_fix: bool = T
     now = F.lit(as_of.strftime("%Y-%m-%dT%H:%M:%S.") + f"{as_of.microsecond // 1000:03d}Z")
     fixed = lambda when, kind, message, c: F.lit(None) if auto_fix else F.when(when, _error(kind, message, c))
 
+    # fixed values: the texts of all messages below
     errors = [F.when(missing[c], _error(MISSING, f"Missing required field: {c}", c)) for c in REQUIRED if c == "id" or not auto_fix]
     warnings = [F.when(missing[c], F.lit(f"Auto-fixed missing {c} field")) for c in REQUIRED if c != "id" and auto_fix]
     out = {c: trim(raw[c]) for c in FIELDS if c not in TYPES}
