@@ -78,6 +78,8 @@ class TwoVocabularies:
         return f" {self.a._cut(text)}" if not text[0].isspace() else self.a._cut(f" {text}")
 
     def _learn(self, pieces: list[str]) -> None:
+        if len(self.a) > PIECES:
+            self.a.clear()
         coded_a = self.a.texts(pieces)
         # a piece that begins with a space gets it from B itself; before any other stands a line feed, left out after
         coded_b = self.b.encode([p[1:] if p[0] == " " else f"\n{p}" for p in pieces], num_threads=1)
