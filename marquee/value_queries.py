@@ -109,12 +109,12 @@ def latest_errors(spark, sf):
     return files.latest_by(table(spark, sf, "events"), "ts", 100, event_type="error").select("event_id", "user_id", "ts")
 
 
-@_query(_L + "SELECT source, count(*) AS count, CAST(TIMESTAMP '1998-06-15 12:00:00' AS TIMESTAMP) AS at FROM l GROUP BY source")
+@_query(_L + "SELECT source, count(*) AS n, CAST(TIMESTAMP '1998-06-15 12:00:00' AS TIMESTAMP) AS written_at FROM l GROUP BY source")
 def written_envelopes(spark, sf):
     """Envelopes of sources, written and read back."""
     path = new_path(spark, "envelopes")
     files.write_envelopes(views.listings(spark, sf).select("source", "id", "title"), path, "raw", AS_OF)
-    return files.sources_in(spark, path, "raw").select("source", "count", "at")
+    return files.sources_in(spark, path, "raw").select("source", F.col("count").alias("n"), F.col("at").alias("written_at"))
 
 
 @_query(_L + "SELECT source, count(*) AS total, max(updated_at) AS last_update FROM l GROUP BY source")
