@@ -1,4 +1,4 @@
-"""String similarity, all in SQL functions of texts of any length.
+"""String similarity of texts of any length in SQL functions, and for joins' many pairs in numpy.
 
 A matched character of the second text is overwritten by ``TAKEN``, a code point that no text should hold (one that does is never
 matched), so what is still free is read off the text itself.
@@ -6,6 +6,8 @@ matched), so what is still free is read off the text itself.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from marquee.functions.text import trim
 # fixed values: the likeness from which things count as equal
 THRESHOLDS = {"exact": 1.0, "high": 0.85, "medium": 0.7, "low": 0.5, "venue": 0.8, "title": 0.75, "location": 0.9}
 TAKEN = "\uffff"
+#: Characters of one side's texts, filled up to the longest, that are compared at once.
+CELLS = 1 << 19
 
 
 def _bound(then, **values: Column) -> Column:
@@ -82,3 +86,58 @@ def text_similarity(a: Column, b: Column) -> Column:
 def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def _grid(texts: list[str], fill: int) -> np.ndarray:
+    """Code points, a row a text, filled up to the longest."""
+    size = np.array([len(t) for t in texts])
+    grid = np.full((len(texts), size.max()), fill, np.int32)
+    grid[np.arange(size.max()) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
+    return grid
+
+
+def _winklers(x: list[str], y: list[str], scale: float) -> np.ndarray:
+    """Jaro-Winkler of pairs of different texts that aren't empty, all pairs a character at a time."""
+    a, b = _grid(x, -1), _grid(y, -2)
+    n, m = (a >= 0).sum(1), (b >= 0).sum(1)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    far, at, pair = reach.max(), np.arange(b.shape[1]), np.arange(len(x))
+    free, left = b >= 0, np.zeros(a.shape, bool)
+    for i in range(a.shape[1]):
+        near = slice(max(i - far, 0), i + far + 1)
+        if near.start >= b.shape[1]:
+            break
+        fits = (b[:, near] == a[:, i, None]) & free[:, near] & (np.abs(at[near] - i) <= reach[:, None])
+        first = fits.argmax(1)
+        hit = np.flatnonzero(fits[pair, first])
+        free[hit, first[hit] + near.start] = False
+        left[hit, i] = True
+    found = left.sum(1)
+    taken = (b >= 0) & ~free
+    swaps = np.bincount(np.repeat(pair, found)[a[left] != b[taken]], minlength=len(x)) / 2
+    some = np.maximum(found, 1)
+    jaro = np.where(found == 0, 0.0, (found / n + found / m + (found - swaps) / some) / 3)
+    k = min(4, a.shape[1], b.shape[1])
+    start = np.logical_and.accumulate(a[:, :k] == b[:, :k], axis=1).sum(1)
+    return np.where(jaro < 0.7, jaro, jaro + start * scale * (1 - jaro))
+
+
+def pair_likeness(a: Column, b: Column, scale: float = 0.1) -> Column:
+    """``jaro_winkler`` for many pairs, in an Arrow UDF; equal texts don't go there. It is the same for (b, a)."""
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        x, y = x.to_pylist(), y.to_pylist()
+        out = np.full(len(x), np.nan)
+        out[[i for i, p in enumerate(x) if p is not None and y[i] is not None]] = 0.0
+        full = [i for i, p in enumerate(x) if p and y[i]]
+        longest = {i: max(len(x[i]), len(y[i])) for i in full}
+        full.sort(key=longest.get)
+        while full:  # the longest pairs first, as many as fit
+            few = full[-max(CELLS // longest[full[-1]], 1) :]
+            out[few] = _winklers([x[i] for i in few], [y[i] for i in few], scale)
+            del full[-len(few) :]
+        return pa.array(out, mask=np.isnan(out))
+
+    differ = lambda c: F.when(a != b, c)
+    return F.when(a == b, 1.0).otherwise(run(differ(a), differ(b)))
