@@ -1,8 +1,8 @@
 """Indexed text search: terms to bitmaps of row numbers, in files by hash of the term.
 
 A row is numbered once, from 1, when it is added; numbers go on from batch to batch. A term's rows are bitmaps of
-32,768 numbers each (one row of the table for a term, a block and a batch), so a term that a third of all rows hold is
-as many rows as there are blocks, made by partial aggregation, never one list. Terms lie in ``parts`` folders by their hash
+64 numbers each, one long (one row of the table for a term, a chunk of 64 numbers and a batch), so a rare term takes a few bytes
+and a term that a third of all rows hold as many rows as there are chunks, made by partial aggregation in fixed buffers, never one list. Terms lie in ``parts`` folders by their hash
 and in order within a file, so a search reads the folders of its terms, and there the row groups that may hold them. Terms are
 joined (all or any) by aggregates of bitmaps.
 
@@ -62,36 +62,34 @@ def add(rows: DataFrame, path: str, columns: list[str], kind: str, id: str = "id
     numbered = global_rank(rows.select(F.col(id).alias("id"), texts.alias("texts")), [F.col("id"), F.xxhash64("texts")], "number")
     numbered = numbered.select((F.col("number") + first + 1).cast("long").alias("number"), "id", "texts")
     terms = numbered.select("number", F.explode("texts").alias("text")).select("number", F.explode(KINDS[kind]("text")).alias("term"))
-    block = F.bitmap_bucket_number("number")
-    bits = terms.groupBy("term", block.alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-    bits = bits.withColumn("part", _part(F.col("term"))).repartition("part", F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions("part", "term")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("number", F.lit(64)).cast("int"))
+    bits = terms.groupBy("term", F.shiftright("number", 6).alias("chunk")).agg(F.bit_or(bit).alias("bits"))
+    bits = bits.withColumn("part", _part(F.col("term"))).repartition("part", F.pmod(F.xxhash64(F.shiftright("chunk", 9)), F.lit(8))).sortWithinPartitions("part", "term", "chunk")
     bits.write.mode("append").partitionBy("part").parquet(f"{path}/terms/{kind}")
     numbered.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/rows")
 
 
 def postings(spark: SparkSession, path: str, kind: str, terms: list[str]) -> DataFrame:
-    """part, term, block, bits of the terms; reads their folders only."""
+    """part, term, chunk, bits of the terms; reads their folders only."""
     parts = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_part(F.col("t"))).distinct().collect()]
     return spark.read.parquet(f"{path}/terms/{kind}").where(F.col("part").isin(parts) & F.col("term").isin(terms))
 
 
-def _numbers(blocks: DataFrame) -> DataFrame:
-    """number: the set bits of block, bits; a block's first number is one above a multiple of 32,768."""
-    byte = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.conv(F.hex(F.substr("bits", i, F.lit(1))), 16, 10).cast("int")))
-    bytes_ = blocks.select("block", byte.alias("at", "byte")).where("byte != 0")
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit("byte", k) == 1))
-    return bytes_.select("block", "at", bit.alias("bit")).select(((F.col("block") - 1) * 32768 + F.col("at") * 8 + F.col("bit") + 1).cast("long").alias("number"))
+def _numbers(chunks: DataFrame) -> DataFrame:
+    """number: the set bits of chunk, bits; a chunk's first number is 64 times it."""
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1))
+    return chunks.select("chunk", bit.alias("bit")).select((F.col("chunk") * 64 + F.col("bit")).cast("long").alias("number"))
 
 
 def having(spark: SparkSession, path: str, kind: str, terms: list[str], all_of: bool = True) -> DataFrame:
     """number of the rows that hold all of the terms, or any."""
     found = postings(spark, path, kind, terms)
-    each = found.groupBy("block", "term").agg(F.bitmap_or_agg("bits").alias("bits"))  # batches may share a block
     if all_of:
-        whole = each.groupBy("block").agg(F.count("*").alias("n"), F.bitmap_and_agg("bits").alias("bits")).where(F.col("n") == len(set(terms)))
+        each = found.groupBy("chunk", "term").agg(F.bit_or("bits").alias("bits"))  # batches may share a chunk
+        whole = each.groupBy("chunk").agg(F.count("*").alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(set(terms))) & (F.col("bits") != 0))
     else:
-        whole = each.groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return _numbers(whole.select("block", "bits"))
+        whole = found.groupBy("chunk").agg(F.bit_or("bits").alias("bits"))
+    return _numbers(whole.select("chunk", "bits"))
 
 
 def _found(spark: SparkSession, path: str, numbers: DataFrame | None) -> DataFrame:

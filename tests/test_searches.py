@@ -50,6 +50,16 @@ def test_only_the_terms_folders_are_read(spark, index):
     assert "PartitionFilters: [isnotnull(part" in plan and "EqualTo(term,alpha)" in plan
 
 
+def test_rare_terms_take_few_bytes(spark, tmp_path):
+    """A word of each row and one of all: a bitmap holds 64 rows, so none takes kilobytes for a word that one row has."""
+    path = str(tmp_path / "rare")
+    text_index.add(spark.range(5000).select("id", F.format_string("all word%d", "id").alias("title")), path, ["title"], "words")
+    found = text_index.postings(spark, path, "words", ["all", "word17"])
+    assert found.dtypes[-2 if found.columns[-1] == "part" else -1] == ("bits", "bigint")
+    assert {(r.term, r["count"]) for r in found.groupBy("term").count().collect()} == {("all", 79), ("word17", 1)}
+    assert [r.id for r in text_index.with_words(spark, path, ["all", "word17"], True).collect()] == [17]
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     assert text_index.containing(spark, path, "abc").count() == 0
