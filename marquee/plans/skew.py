@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.plans.staging import staged
+
 #: A key is heavy above this share of all rows, so at most so many keys are heavy.
 HEAVY_KEYS = 1_000
 #: Bits of a filter: 8 MiB at most, in rows of 4 KiB.
@@ -43,3 +45,12 @@ def may_be_in(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFram
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     on = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
     return out, on, ["_at", "_bucket", "_bits"]
+
+
+def once_each(rows: DataFrame, on: str, **made: Column) -> DataFrame:
+    """``rows`` with the columns ``made``, which are costly functions of the column ``on`` alone: each is worked out once for a value of it."""
+    made = [c.alias(n) for n, c in made.items()]
+    values = staged(rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_rows")), "values")
+    values = staged(values.repartition(on).select(on, "_rows", *made), "made")
+    found = lookup(rows.where(F.col(on).isNotNull()), values, [on], "_rows")
+    return found.unionByName(rows.where(F.col(on).isNull()).select("*", *made))

@@ -286,3 +286,21 @@ def test_plans(spark):
     assert got.where(on & (F.col("v") % 7 == 0)).drop(*working).count() == 429 and got.where(~on).count() > 2000
     ranked = global_rank(rows.withColumn("v", F.col("v") % 50), [F.col("v"), F.col("k")], "place").collect()
     assert sorted(r["place"] for r in ranked) == list(range(3001)) and [r["v"] for r in sorted(ranked, key=lambda r: r["place"])] == sorted(r["v"] for r in ranked)
+
+
+def test_costly_columns_are_worked_out_once_a_value(spark):
+    """10,000 rows of three texts and null, one text on most rows; a Python function counts what reaches it."""
+    from marquee.plans.skew import once_each
+
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(x):
+        met.add(1)
+        return f"<{x}>"
+
+    x = F.when(F.col("id") % 1000 == 0, F.lit(None)).when(F.col("id") % 100 == 1, "b").when(F.col("id") % 100 == 2, "c").otherwise("a")
+    rows = spark.range(10_000).select("id", x.alias("x"))
+    got = once_each(rows, "x", y=costly(F.col("x"))).collect()
+    assert len(got) == 10_000 and {r.id for r in got} == set(range(10_000)) and all(r.y == f"<{r.x}>" for r in got)
+    assert met.value == 13  # three texts, and ten rows without one
