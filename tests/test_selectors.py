@@ -11,6 +11,7 @@ from urllib.parse import urljoin
 import pytest
 from pyspark.sql import functions as F
 
+from marquee.sources import selectors
 from marquee.sources.selectors import VOID, Automaton, Take, container_rows, event_records, page_urls, resolved
 
 PAGE = """<html><head><meta property="og:url" content="https://example.com/events/jazz"><link rel="stylesheet" href="x.css">
@@ -150,3 +151,19 @@ def test_addresses(spark):
     assert spark.createDataFrame([("http://",)], "u string").select(resolved(F.col("u"), base)).first()[0] is None
     got = page_urls(spark.createDataFrame([(1, PAGE)], "page_id long, html string"), ("a", "img"), "https://example.com").first()
     assert got.urls == ["https://example.com/tickets/123", "https://example.com/a", "https://example.com/b", "https://example.com/i/p.jpg"]
+
+
+def test_few_pages_are_python_objects_at_once():
+    """400 pages of 50 KB: what is held beside Arrow is less than a fifth of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    fields = {"title": selectors.Take(("h1",))}
+    pages = pa.array([f"<h1>T{i}</h1><p>" + "x" * 50_000 for i in range(399)] + [None])
+    tracemalloc.start()
+    got = selectors._run(pages, fields, None).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [g["title"] for g in got] == [f"T{i}" for i in range(399)] + [None] and peak < 4_000_000
+    assert [len(rows) for rows in selectors._run(pages.slice(0, 40), fields, "h1").to_pylist()] == [1] * 40
