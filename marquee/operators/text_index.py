@@ -61,7 +61,9 @@ def add(rows: DataFrame, path: str, columns: list[str], kind: str, id: str = "id
     texts = F.array_compact(F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<string>")) if array(c) else F.array(c) for c in columns])))
     numbered = global_rank(rows.select(F.col(id).alias("id"), texts.alias("texts")), [F.col("id"), F.xxhash64("texts")], "number")
     numbered = numbered.select((F.col("number") + first + 1).cast("long").alias("number"), "id", "texts")
-    terms = numbered.select("number", F.explode("texts").alias("text")).select("number", F.explode(KINDS[kind]("text")).alias("term"))
+    # texts are small and their terms many: a fixed number of tasks, each with whole runs of numbers
+    spread = numbered.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, F.shiftright("number", 15))
+    terms = spread.select("number", F.explode("texts").alias("text")).select("number", F.explode(KINDS[kind]("text")).alias("term"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("number", F.lit(64)).cast("int"))
     bits = terms.groupBy("term", F.shiftright("number", 6).alias("chunk")).agg(F.bit_or(bit).alias("bits"))
     bits = bits.withColumn("part", _part(F.col("term"))).repartition("part", F.pmod(F.xxhash64(F.shiftright("chunk", 9)), F.lit(8))).sortWithinPartitions("part", "term", "chunk")
