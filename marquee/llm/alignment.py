@@ -28,6 +28,7 @@ further columns of the documents are not used.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,41 @@ AT_ONCE = 2_000_000
 AT_ONCE_PAIRS = 1 << 23
 #: Pairs whose counts are broadcast, at most: 16 bytes each.
 FREQUENT = 500_000
-#: Distinct pieces kept at most; then the memo starts anew.
-PIECES = 300_000
+#: Distinct pieces kept at most, in both vocabularies and in A's own memo; then each starts anew.
+PIECES, WORDS = 500_000, 200_000
 _SPACE = "▁"
 _LOADED: dict[tuple[str, str], TwoVocabularies] = {}
 
 
+class _Pool:
+    """The ids of known pieces in one vocabulary, one piece's behind another's."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.tokens, self.lengths = tokens, np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.ids = np.zeros(0, np.min_scalar_type(len(tokens) - 1))
+        self.first, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray, data: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Puts in pieces of ``counts`` ids each; whether the bytes of a piece's tokens are its own, ``data`` of ``size`` bytes."""
+        ends, bytes_before = np.cumsum(counts), np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        self.first = np.concatenate([self.first, len(self.ids) + ends - counts])
+        self.ids, self.counts = np.concatenate([self.ids, ids.astype(self.ids.dtype)]), np.concatenate([self.counts, counts.astype(np.int32)])
+        fits = bytes_before[ends] - bytes_before[ends - counts] == size
+        got = b"".join(map(self.tokens.__getitem__, ids[np.repeat(fits, counts)].tolist()))
+        wanted = b"".join(compress(data, fits.tolist()))
+        if got != wanted:
+            starts = np.cumsum(size[fits]) - size[fits]
+            fits[fits] = np.logical_and.reduceat(np.frombuffer(got, np.uint8) == np.frombuffer(wanted, np.uint8), starts)
+        return fits
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces ``at``, and how many each has."""
+        each = self.counts[at].astype(np.int64)
+        ends = np.cumsum(each)
+        place = np.repeat(self.first[at] - ends + each, each) + np.arange(ends[-1])
+        return self.ids[place].astype(np.int64), each
+
+
 class TwoVocabularies:
     """Both libraries, the bytes of their tokens, and the ids of pieces seen."""
 
@@ -67,7 +97,8 @@ class TwoVocabularies:
         #: pieces may be cut before a space and around a line feed only where no token of B spans that place
         plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         self.cuts = self.a.keeps_space and not any("\n" in p or _SPACE in p.lstrip(_SPACE) for p in plain) and len(self.b.encode("\n")) == 2
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.known: dict[str, int] = {}
+        self.pool_a, self.pool_b, self.fits = _Pool(self.bytes_a), _Pool(self.bytes_b), np.zeros(0, bool)
 
     def _cut(self, text: str) -> str:
         """Space and text with NUL between pieces; one piece where cuts aren't certain."""
@@ -77,24 +108,46 @@ class TwoVocabularies:
             return f" {text}"
         return f" {self.a._cut(text)}" if not text[0].isspace() else self.a._cut(f" {text}")
 
+    def _ids_a(self, pieces: list[str]) -> list[bytes]:
+        if not self.cuts or any("\0" in p for p in pieces):
+            return self.a.texts(pieces)
+        self.a._learn([p for p in pieces if p not in self.a])  # pieces hold no place for a cut
+        return list(map(self.a.__getitem__, pieces))
+
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.a) > PIECES:
+        """Puts the pieces' ids behind those of all pieces known, and whether their bytes come back."""
+        if len(self.a) > WORDS:
             self.a.clear()
-        coded_a = self.a.texts(pieces)
+        coded_a = self._ids_a(pieces)
         # a piece that begins with a space gets it from B itself; before any other stands a line feed, left out after
         coded_b = self.b.encode([p[1:] if p[0] == " " else f"\n{p}" for p in pieces], num_threads=1)
-        for p, a, b in zip(pieces, coded_a, coded_b, strict=True):
-            b = b if p[0] == " " else b[2:]
-            data = p.encode()
-            fits = b"".join(map(self.bytes_a.__getitem__, np.frombuffer(a, self.a.dtype).tolist())) == data and b"".join(map(self.bytes_b.__getitem__, b)) == data
-            self.known[p] = (np.frombuffer(a, self.a.dtype).astype("<u4").tobytes(), np.array(b, "<u4").tobytes(), fits)
+        coded_b = [b if p[0] == " " else b[2:] for p, b in zip(pieces, coded_b, strict=True)]
+        data, n = list(map(str.encode, pieces)), len(pieces)
+        fits, size = np.ones(n, bool), np.fromiter(map(len, data), np.int64, n)
+        for side, ids, counts in (
+            (self.pool_a, np.frombuffer(b"".join(coded_a), self.a.dtype), np.fromiter(map(len, coded_a), np.int64, n) // self.a.width),
+            (self.pool_b, np.fromiter(chain.from_iterable(coded_b), self.pool_b.ids.dtype), np.fromiter(map(len, coded_b), np.int64, n)),
+        ):
+            fits &= side.add(ids, counts, data, size)
+        self.fits = np.concatenate([self.fits, fits])
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + n), strict=True))
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Each piece's number among those known."""
+        if len(self.known) > PIECES:
+            self.known.clear()
+            self.pool_a, self.pool_b, self.fits = _Pool(self.bytes_a), _Pool(self.bytes_b), np.zeros(0, bool)
+        known = self.known
+        self._learn([p for p in pieces if p not in known])
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and of B of all texts (none empty), the tokens of each text in A and in B, and whether its bytes come back."""
         nul = [k for k, t in enumerate(texts) if "\0" in t]
         cut = [self._cut(t) for t in texts]
         split = pc.split_pattern(pa.array(["\0".join(cut)], pa.large_string()), "\0").flatten().dictionary_encode()
-        pieces, index = split.dictionary.to_pylist(), split.indices.to_numpy()
+        listed = pa.LargeListArray.from_arrays(pa.array([0, len(split.dictionary)], pa.int64()), split.dictionary)
+        pieces, index = pc.binary_join(listed, pa.scalar("\0", pa.large_string()))[0].as_py().split("\0"), split.indices.to_numpy()
         counts = np.fromiter((t.count("\0") + 1 for t in cut), np.int64, len(cut))
         first = np.cumsum(counts) - counts
         if nul:  # such a text is one piece, which can't stand between NULs
@@ -102,19 +155,12 @@ class TwoVocabularies:
             for k in nul:
                 index[first[k]] = len(pieces)
                 pieces.append(f" {texts[k]}")
-        if len(self.known) > PIECES:
-            self.known.clear()
-        self._learn([p for p in pieces if p not in self.known])
-        found = [self.known[p] for p in pieces]
-        fits = np.logical_and.reduceat(np.fromiter((x[2] for x in found), bool, len(found))[index], first)
+        at = self._places(pieces)[index]
+        fits = np.logical_and.reduceat(self.fits[at], first)
         out = []
-        for side in (0, 1):
-            data = [x[side] for x in found]
-            lengths = np.fromiter(map(len, data), np.int64, len(data)) // 4
-            starts, each = np.cumsum(lengths) - lengths, lengths[index]
-            ends = np.cumsum(each)
-            at = np.repeat(starts[index] - ends + each, each) + np.arange(ends[-1])
-            out += [np.frombuffer(b"".join(data), "<u4")[at].astype(np.int64), np.add.reduceat(each, first)]
+        for pool in (self.pool_a, self.pool_b):
+            ids, each = pool.of(at)
+            out += [ids, np.add.reduceat(each, first)]
         return out[0], out[2], out[1], out[3], fits
 
 

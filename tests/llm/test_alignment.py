@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from marquee.llm import alignment
 from marquee.llm.queries import QUERIES
+from marquee.llm.tokens import Memo
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -91,3 +92,19 @@ def test_shared_cuts():
         a, b = alignment.shared_cuts(ends_a, ends_b, np.array([len(ends_a) - 1]))
         want = np.intersect1d(ends_a, ends_b)
         assert (ends_a[a] == want).all() and (ends_b[b] == want).all()
+
+
+def test_pieces_are_cut_once_and_memo_starts_anew(monkeypatch):
+    """A piece is learned as it was cut from its text; ids and the check of bytes stay right when few pieces are kept."""
+    seen, cut = [], Memo._cut
+    monkeypatch.setattr(Memo, "_cut", lambda self, text: seen.append(text) or cut(self, text))
+    texts = [t for _, t in ODD if t and "\0" not in t]
+    v = alignment.TwoVocabularies(A, B)
+    whole = v.coded(texts)
+    assert len(seen) == len(texts)
+    assert [t for t, fits in zip(texts, whole[4], strict=True) if not fits] == ["a▁b"]
+    monkeypatch.setattr(alignment, "PIECES", 3)
+    monkeypatch.setattr(alignment, "WORDS", 2)
+    for _ in range(2):
+        each = [v.coded([t]) for t in texts]
+        assert all((np.concatenate([x[k] for x in each]) == whole[k]).all() for k in range(5))
