@@ -40,10 +40,11 @@ _SAID = r"(?:(?:is|as|was|ist|est|es|for|the|my|our|an|a|your|der|die|das|le|la|
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xoxb-|xoxp-|AIza|eyJ|SG\\.|npm_|-----BEGIN"
 # every candidate runs to its end; possessive loops are iterative in Java, so texts of any length fit the stack
 _NEXT = r"[&;,?|#](?=[A-Za-z_][A-Za-z0-9_.-]{1,40}[=:])"  # a mark before the next name with a value
+_SCHEME = r"(?i:bearer|negotiate)[ ]{1,4}[A-Za-z0-9_+/~.-]{16}"  # names how the token behind it is sent; that one is a candidate of its own
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]++|-(?!----(?:BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----))++-----END [A-Z ]{0,30}PRIVATE KEY-----"
     r"|(?<![A-Za-z0-9_+/~.-])(?=[_+/~.-]*+[A-Za-z0-9])[A-Za-z0-9_+/~.-]{16,}+={0,2}"
-    r"|(?<=[=:][ ]{0,2}[\"']?)(?![=:])(?:(?!" + _NEXT + r")[^\s\"']){6,}+"
+    r"|(?<=[=:][ ]{0,2}[\"']?)(?![=:])(?!" + _SCHEME + r")(?:(?!" + _NEXT + r")[^\s\"']){6,}+"
 )
 FEATURES = ("length", "changes", "digits", "upper", "distinct", "dictionary", "path", "hex", "for", "against", "assigned", "prefix", "all_digits", "repeats", "pairs", "for_after", "against_after")
 #: Characters on each side that its neighbouring words are looked for in.
