@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from marquee.llm.tokens import memo
 from marquee.plans.staging import staged
 
+#: Documents of a batch that become Python objects at once.
+AT_ONCE = 1024
+
 
 def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids for the pieces of every document.
@@ -40,13 +43,13 @@ def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 4096, end_id: int =
         m = memo(tokenizer)
         end = np.array([end_id], m.dtype).tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(doc_ids), 2048):
-                rows = []
-                for doc_id, data in zip(doc_ids[at : at + 2048], m.texts(texts[at : at + 2048]), strict=True):
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part, rows = batch.slice(at, AT_ONCE), []
+                for doc_id, data in zip(part.column(0).to_pylist(), m.texts(part.column(1).to_pylist()), strict=True):
                     ids = np.frombuffer(data + end, m.dtype).astype("<u4")
                     rows += [(doc_id, k, s, min(tokens, len(ids) - s), ids[s : s + tokens].tobytes()) for k, s in enumerate(range(0, len(ids), tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                pa.default_memory_pool().release_unused()  # else the worker keeps what the largest part took
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")

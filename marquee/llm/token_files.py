@@ -38,6 +38,8 @@ from marquee.plans.staging import new_path, staged
 
 MAGIC = b"MQPK"
 BLOCK = 8192
+#: Documents of a batch that become Python objects at once.
+AT_ONCE = 1024
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -169,10 +171,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, docs_
 
 
 def _add(writer: Writer, m, batch: pa.RecordBatch, end: bytes) -> None:
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for at in range(0, len(ids), 2048):
-        for doc_id, data in zip(ids[at : at + 2048], m.texts(texts[at : at + 2048]), strict=True):
+    for at in range(0, batch.num_rows, AT_ONCE):
+        part = batch.slice(at, AT_ONCE)
+        for doc_id, data in zip(part.column(0).to_pylist(), m.texts(part.column(1).to_pylist()), strict=True):
             writer.add(doc_id, np.frombuffer(data + end, m.dtype).astype("<u4"))
+        pa.default_memory_pool().release_unused()  # else the worker keeps what the largest part took
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

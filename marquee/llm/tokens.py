@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-#: Pieces kept at most; then the memo starts anew.
-MEMO = 600_000
+#: Pieces that make a generation full. The memo holds two: the last one, and of the one before what hasn't been met since.
+MEMO = 300_000
 #: Characters of texts that are cut and joined at once; a longer text goes alone.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 _STOPS = (".", ",")
 #: Letters; without the one whose lower case ends in a combining mark.
 _LATIN = frozenset(c for c in map(chr, range(0x180)) if c.isalpha() and c != "\u0130")
@@ -42,6 +42,7 @@ class Memo(dict):
     """Piece to its ids as little-endian unsigned integers (``dtype``): 16 bits where the vocabulary fits, else 32."""
 
     def __init__(self, path: str) -> None:
+        self.older: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -78,11 +79,20 @@ class Memo(dict):
     def _joined(self, cut: list[str]) -> list[bytes]:
         """The ids of texts whose pieces stand between ``self.cut``."""
         coded = pc.split_pattern(pa.array([self.cut.join(cut)], pa.large_string()), self.cut).flatten().dictionary_encode()
-        pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        listed = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary)
+        pieces, index = pc.binary_join(listed, pa.scalar(self.cut, pa.large_string()))[0].as_py().split(self.cut), coded.indices.to_numpy()
         if len(self) > MEMO:
+            self.older = None  # let go before the copy
+            self.older = dict(self)
             self.clear()
         known = list(map(self.get, pieces))
-        new = [k for k, data in enumerate(known) if data is None]
+        new, older = [], self.older
+        for k in [k for k, data in enumerate(known) if data is None]:
+            data = older.pop(pieces[k], None)
+            if data is None:
+                new.append(k)
+            else:
+                known[k] = self[pieces[k]] = data
         self._learn([pieces[k] for k in new])
         for k in new:
             known[k] = self[pieces[k]]

@@ -3,13 +3,14 @@
 import base64
 import hashlib
 import io
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from marquee.llm import chat, packing, warc
+from marquee.llm import chat, packing, tokens, warc
 from marquee.llm.tokens import Memo, memo
 
 
@@ -87,6 +88,28 @@ def test_wide_vocabulary():
         assert np.frombuffer(m.texts([text])[0], "<u4").tolist() == m.lib.encode(text, add_special_tokens=False).ids
 
 
+def test_memo_keeps_common_pieces_and_bounds_memory(monkeypatch):
+    """A piece met again and again is learned once, however often the memo fills; joining takes parts of the texts."""
+    learned, learn = [], Memo._learn
+    monkeypatch.setattr(Memo, "_learn", lambda self, new: learned.extend(new) or learn(self, new))
+    monkeypatch.setattr(tokens, "MEMO", 300)
+    m, most = Memo(public_tokenizers.path("word_bpe_49k.json")), 0
+    for k in range(30):
+        text = " ".join(["common words, stay", *(f"n{k}x{j}" for j in range(100))])
+        assert np.frombuffer(m.texts([text])[0], "<u2").tolist() == m.lib.encode(text, add_special_tokens=False).ids
+        most = max(most, len(m) + len(m.older))
+    assert learned.count("common") == learned.count("words,") == 1
+    assert most <= 2 * 410
+    texts = ["common words, stay " * 100] * 2000
+    m.texts(texts[:1])
+    tracemalloc.start()
+    out = m.texts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(out) == set(m.texts(texts[:1]))
+    assert peak < 20_000_000
+
+
 def test_packed_pieces_equal_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     long = " ".join(f"w{k % 97} x{k}" for k in range(3000))
