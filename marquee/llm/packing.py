@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.tokens import memo
+from marquee.llm.tokens import give_back, memo
 from marquee.plans.staging import staged
 
 #: Documents of a batch that become Python objects at once.
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, tokens: int = 4096, end_id: int =
                     ids = np.frombuffer(data + end, m.dtype).astype("<u4")
                     rows += [(doc_id, k, s, min(tokens, len(ids) - s), ids[s : s + tokens].tobytes()) for k, s in enumerate(range(0, len(ids), tokens))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                pa.default_memory_pool().release_unused()  # else the worker keeps what the largest part took
+            give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.tokens import memo
+from marquee.llm.tokens import give_back, memo
 from marquee.plans.files import opened, written
 from marquee.plans.staging import new_path, staged
 
@@ -175,7 +175,7 @@ def _add(writer: Writer, m, batch: pa.RecordBatch, end: bytes) -> None:
         part = batch.slice(at, AT_ONCE)
         for doc_id, data in zip(part.column(0).to_pylist(), m.texts(part.column(1).to_pylist()), strict=True):
             writer.add(doc_id, np.frombuffer(data + end, m.dtype).astype("<u4"))
-        pa.default_memory_pool().release_unused()  # else the worker keeps what the largest part took
+    give_back()
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ Where such cuts are not certain (runs of white space), larger pieces go to the l
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import sys
@@ -164,6 +166,13 @@ class Memo(dict):
         return text.replace("\n", f"{self.cut}\n{self.cut}").replace(" ", f"{self.cut} ")
 
 
+def give_back() -> None:
+    """Returns free memory of Arrow and the C library to the system; else a worker keeps what its largest part took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def memo(path: str) -> Memo:
     """The worker's memo for a vocabulary file."""
     if path not in _LOADED:
