@@ -4,7 +4,8 @@ A row is numbered once, from 1, when it is added; numbers go on from batch to ba
 64 numbers each, one long (one row of the table for a term, a chunk of 64 numbers and a batch), so a rare term takes a few bytes
 and a term that a third of all rows hold as many rows as there are chunks, made by partial aggregation in fixed buffers, never one list. Terms lie in ``parts`` folders by their hash
 and in order within a file, so a search reads the folders of its terms, and there the row groups that may hold them. Terms are
-joined (all or any) by aggregates of bitmaps.
+joined (all or any) by aggregates of bitmaps, and so are the rows that a search finds: by chunk, with a look at the row's bit, so what a join may
+broadcast is a row for 64 numbers.
 
 Two kinds of terms: ``words`` (runs of letters, digits, ``_`` and ``#``), and ``grams``, all substrings of three
 characters, for searches of any part of a text: rows that hold all of a text's grams are
@@ -77,41 +78,37 @@ def postings(spark: SparkSession, path: str, kind: str, terms: list[str]) -> Dat
     return spark.read.parquet(f"{path}/terms/{kind}").where(F.col("part").isin(parts) & F.col("term").isin(terms))
 
 
-def _numbers(chunks: DataFrame) -> DataFrame:
-    """number: the set bits of chunk, bits; a chunk's first number is 64 times it."""
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1))
-    return chunks.select("chunk", bit.alias("bit")).select((F.col("chunk") * 64 + F.col("bit")).cast("long").alias("number"))
-
-
 def having(spark: SparkSession, path: str, kind: str, terms: list[str], all_of: bool = True) -> DataFrame:
-    """number of the rows that hold all of the terms, or any."""
+    """chunk, bits of the rows that hold all of the terms, or any; one row for each chunk that has some."""
     found = postings(spark, path, kind, terms)
     if all_of:
         each = found.groupBy("chunk", "term").agg(F.bit_or("bits").alias("bits"))  # batches may share a chunk
         whole = each.groupBy("chunk").agg(F.count("*").alias("n"), F.bit_and("bits").alias("bits")).where((F.col("n") == len(set(terms))) & (F.col("bits") != 0))
     else:
         whole = found.groupBy("chunk").agg(F.bit_or("bits").alias("bits"))
-    return _numbers(whole.select("chunk", "bits"))
+    return whole.select("chunk", "bits")
 
 
-def _found(spark: SparkSession, path: str, numbers: DataFrame | None) -> DataFrame:
+def _found(spark: SparkSession, path: str, chunks: DataFrame | None) -> DataFrame:
+    """id and texts of the rows in ``chunks``, which are joined as bitmaps: a term of all rows sends one row for 64 of them."""
     rows = _rows(spark, path)
     if rows is None:
         return spark.createDataFrame([], "id long, texts array<string>")
-    if numbers is None:
+    if chunks is None:
         return rows.select("id", "texts")
-    return rows.join(numbers, "number", "left_semi").select("id", "texts")
+    numbered = rows.withColumn("chunk", F.shiftright("number", 6)).join(chunks, "chunk")
+    return numbered.where(F.getbit("bits", F.pmod("number", F.lit(64)).cast("int")) == 1).select("id", "texts")
 
 
 def containing(spark: SparkSession, path: str, text: str) -> DataFrame:
     """id and texts of the rows with a text that has ``text`` in it, by grams."""
     low = text.lower()
     wanted = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
-    numbers = having(spark, path, "grams", wanted) if wanted and _rows(spark, path) is not None else None
-    return _found(spark, path, numbers).where(F.exists("texts", lambda t: F.contains(F.lower(t), F.lit(low))))
+    chunks = having(spark, path, "grams", wanted) if wanted and _rows(spark, path) is not None else None
+    return _found(spark, path, chunks).where(F.exists("texts", lambda t: F.contains(F.lower(t), F.lit(low))))
 
 
 def with_words(spark: SparkSession, path: str, words_: list[str], all_of: bool = False) -> DataFrame:
     """id and texts of the rows that have one of the words, or all."""
-    numbers = having(spark, path, "words", [w.lower() for w in words_], all_of) if _rows(spark, path) is not None else None
-    return _found(spark, path, numbers)
+    chunks = having(spark, path, "words", [w.lower() for w in words_], all_of) if _rows(spark, path) is not None else None
+    return _found(spark, path, chunks)

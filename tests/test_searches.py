@@ -60,6 +60,18 @@ def test_rare_terms_take_few_bytes(spark, tmp_path):
     assert [r.id for r in text_index.with_words(spark, path, ["all", "word17"], True).collect()] == [17]
 
 
+def test_a_term_of_all_rows_is_joined_as_bitmaps(spark, tmp_path):
+    """40,000 rows that all hold the terms: the search joins a row for 64 numbers (before, one for each, which was broadcast)."""
+    path = str(tmp_path / "all")
+    rows = spark.range(40_000).select("id", F.format_string("all #0000%05d", "id").alias("title"))
+    text_index.add(rows.where("id < 30000"), path, ["title"], "grams")
+    text_index.add(rows.where("id >= 30000"), path, ["title"], "grams")
+    assert text_index.having(spark, path, "grams", ["all", "000"]).count() == 626  # 40,000 / 64, numbers begin at 1
+    found = text_index.containing(spark, path, "#00000123")
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    assert sorted(r.id for r in found.collect()) == list(range(1230, 1240))
+
+
 def test_an_index_of_nothing(spark, tmp_path):
     path = str(tmp_path / "none")
     assert text_index.containing(spark, path, "abc").count() == 0
