@@ -18,6 +18,8 @@ THRESHOLDS = {"exact": 1.0, "high": 0.85, "medium": 0.7, "low": 0.5, "venue": 0.
 TAKEN = "\uffff"
 #: Characters of one side's texts, filled up to the longest, that are compared at once.
 CELLS = 1 << 19
+#: Masks of one ``Texts`` (8 bytes each), and pairs whose masks are compared at once.
+MASKS, RUN = 1 << 22, 1 << 14
 
 
 def _bound(then, **values: Column) -> Column:
@@ -122,6 +124,92 @@ def _winklers(x: list[str], y: list[str], scale: float) -> np.ndarray:
     return np.where(jaro < 0.7, jaro, jaro + start * scale * (1 - jaro))
 
 
+#: For each reach and place of a character, the places of the other text that it may be matched with, as bits.
+_NEAR = np.array([[sum(1 << p for p in range(max(k - reach, 0), min(k + reach, 63) + 1)) for k in range(64)] for reach in range(32)], np.uint64).ravel()
+
+
+class Texts:
+    """Likeness (``jaro_winkler``) of many pairs out of a list of texts, given by places in it; a null's likeness is 0.
+
+    A text of up to 64 characters is a mask of places for each character of the list, so that a step of all pairs is a few operations on bits.
+    What two texts begin with alike is matched with itself, so steps begin where the first pair differs. Longer texts go to ``_winklers``.
+    """
+
+    def __init__(self, texts: pa.Array):
+        coded = texts.dictionary_encode()
+        self.at = coded.indices.cast("int64").fill_null(-1).to_numpy(zero_copy_only=False)
+        self.values = coded.dictionary.to_pylist()
+        self.size = np.array([len(t) for t in self.values], np.int64)
+        some = np.flatnonzero((self.size > 0) & (self.size <= 64))
+        self.fits = np.zeros(len(self.values), bool)
+        if not len(some):
+            return
+        grid = _grid([self.values[k] for k in some], -1)
+        letters, codes = np.unique(grid, return_inverse=True)
+        self.width = len(letters) + 1
+        if len(self.values) * self.width > MASKS:
+            return
+        self.fits[some] = True
+        codes = codes.reshape(grid.shape)
+        codes[grid < 0] = len(letters)
+        self.codes = np.full((grid.shape[1], len(self.values)), len(letters), np.int64)
+        self.codes[:, some] = codes.T
+        masks = np.zeros((len(self.values), self.width), np.uint64)
+        for k in range(grid.shape[1]):
+            full = some[grid[:, k] >= 0]
+            masks[full, self.codes[k, full]] |= np.uint64(1 << k)
+        self.masks = masks.ravel()
+
+    def likeness(self, i: np.ndarray, j: np.ndarray, scale: float = 0.1) -> np.ndarray:
+        x, y = self.at[i], self.at[j]
+        out = ((x == y) & (x >= 0)).astype(float)
+        todo = np.flatnonzero((x != y) & (x >= 0) & (y >= 0))
+        if not len(todo):
+            return out
+        todo = todo[(self.size[x[todo]] > 0) & (self.size[y[todo]] > 0)]
+        bits = self.fits[x[todo]] & self.fits[y[todo]]
+        short, other = todo[bits], todo[~bits]
+        for k in range(0, len(short), RUN):
+            few = short[k : k + RUN]
+            out[few] = self._by_bits(x[few], y[few], scale)
+        while len(other):
+            few = other[: max(CELLS // int(max(self.size[x[other]].max(), self.size[y[other]].max())), 1)]
+            out[few] = _winklers([self.values[k] for k in x[few]], [self.values[k] for k in y[few]], scale)
+            other = other[len(few) :]
+        return out
+
+    def _by_bits(self, x: np.ndarray, y: np.ndarray, scale: float) -> np.ndarray:
+        n, m = self.size[x], self.size[y]
+        shortest, longest = int(min(n.min(), m.min())), int(n.max())
+        alike = 0
+        while alike < shortest and (self.codes[alike].take(x) == self.codes[alike].take(y)).all():
+            alike += 1
+        begun = np.uint64((1 << alike) - 1)
+        taken, left = np.full(len(x), begun), np.full(len(x), begun)
+        base, near = y * self.width, np.maximum(np.maximum(n, m) // 2 - 1, 0) * 64
+        places = [self.masks.take(base + self.codes[k].take(x)) for k in range(alike, longest)]
+        for k, place in enumerate(places, alike):
+            free = place & _NEAR.take(near + k) & ~taken
+            first = free & (~free + np.uint64(1))
+            taken |= first
+            left |= (first != 0).astype(np.uint64) << np.uint64(k)
+        found = np.bitwise_count(left).astype(np.int64)
+        swaps, rest = np.zeros(len(x), np.int64), taken & ~begun
+        for k, place in enumerate(places, alike):
+            hit = (left >> np.uint64(k)) & np.uint64(1)
+            first = rest & (~rest + np.uint64(1))
+            swaps += (hit != 0) & (place & first == 0)
+            rest ^= first & (~hit + np.uint64(1))
+        swaps = swaps / 2
+        jaro = np.where(found == 0, 0.0, (found / n + found / m + (found - swaps) / np.maximum(found, 1)) / 3)
+        start, same = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        for k in range(min(4, len(self.codes))):
+            one = self.codes[k].take(x)
+            same &= (one == self.codes[k].take(y)) & (one != self.width - 1)
+            start += same
+        return np.where(jaro < 0.7, jaro, jaro + start * scale * (1 - jaro))
+
+
 def pair_likeness(a: Column, b: Column, scale: float = 0.1) -> Column:
     """``jaro_winkler`` for many pairs, in an Arrow UDF; equal texts don't go there. It is the same for (b, a)."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\s   -     　﻿]"
+#: The characters of ``WS``.
+_BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # fixed values: words that carry no meaning in matching, and abbreviations that are spelled out
 EVENT_WORDS = ("the", "live", "concert", "show", "event")
@@ -14,7 +16,7 @@ VENUE_WORDS = ("club", "bar", "pub", "venue", "hall", "center", "centre", "theat
 TITLE_WORDS = ("presents", "featuring", "feat", "ft", "with", "plus", "vs", "versus")
 RELEASE_WORDS = ("tour", "world tour", "live", "album", "ep", "single")
 # fixed values: the marks that matching leaves out; all others stay
-MARKS = r"""[.,!?;:\-_()\[\]{}"|'`~@#$%^&*+=<>/\\]"""
+MARKS = ".,!?;:-_()[]{}\"|'`~@#$%^&*+=<>/\\"
 CITY_WORDS = ("city", "town", "borough", "county")
 
 
@@ -22,12 +24,26 @@ def trim(x: Column) -> Column:
     return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
 
 
+def _given(x: Column, test, then) -> Column:
+    """``then(x)`` where ``test(x)``, else ``x``, which is worked out once: most texts need no replacement, and a look is far cheaper than one."""
+    return F.transform(F.array(x), lambda y: F.when(test(y), then(y)).otherwise(y))[0]
+
+
+def _holds(x: Column, words) -> Column:
+    """Whether a word's letters occur; only then are its bounds looked at."""
+    found = F.lit(False)
+    for w in words:
+        found = found | x.contains(w)
+    return found
+
+
 def collapse(x: Column) -> Column:
-    return trim(F.regexp_replace(x, f"{WS}+", " "))
+    blanks = F.translate(x, _BLANKS, " " * len(_BLANKS))
+    return F.trim(_given(blanks, lambda y: y.contains("  "), lambda y: F.regexp_replace(y, " +", " ")))
 
 
 def drop_words(x: Column, words: tuple[str, ...]) -> Column:
-    return collapse(F.regexp_replace(x, f"{_L}(?:{'|'.join(words)}){_R}", ""))
+    return collapse(_given(x, lambda y: _holds(y, words), lambda y: F.regexp_replace(y, f"{_L}(?:{'|'.join(words)}){_R}", "")))
 
 
 def slug(x: Column) -> Column:
@@ -43,24 +59,34 @@ def listing_id(venue: Column, title: Column, date_start: Column, city: Column) -
 
 def normal(x: Column) -> Column:
     """Text for matching: no case, listed marks or event words, ``and`` as an ampersand, street names spelled out. Null stays null."""
-    y = F.regexp_replace(collapse(F.lower(x)), MARKS, "")
-    y = F.regexp_replace(y, f"{_L}and{_R}", "&")
-    y = drop_words(y, EVENT_WORDS)
-    for short, full in STREETS.items():
-        y = F.regexp_replace(y, f"{_L}{short}{_R}", full)
-    return collapse(y)
+    y = F.translate(F.lower(x), MARKS, "")
+    y = _given(y, lambda z: z.contains("and"), lambda z: F.regexp_replace(z, f"{_L}and{_R}", "&"))
+
+    def spelled(z: Column) -> Column:
+        for short, full in STREETS.items():
+            z = F.regexp_replace(z, f"{_L}{short}{_R}", full)
+        return z
+
+    return _given(drop_words(y, EVENT_WORDS), lambda z: _holds(z, STREETS) & z.rlike(f"{_L}(?:{'|'.join(STREETS)}){_R}"), spelled)
+
+
+def _without(x: Column, *lists: tuple[str, ...]) -> Column:
+    """A normal text without the words of each list in turn."""
+    for words in lists:
+        x = _given(x, lambda y: _holds(y, words), lambda y: drop_words(y, words))  # noqa: B023
+    return x
 
 
 def normal_venue(x: Column) -> Column:
-    return drop_words(normal(x), VENUE_WORDS)
+    return _without(normal(x), VENUE_WORDS)
 
 
 def normal_title(x: Column) -> Column:
-    return drop_words(drop_words(normal(x), TITLE_WORDS), RELEASE_WORDS)
+    return _without(normal(x), TITLE_WORDS, RELEASE_WORDS)
 
 
 def normal_city(x: Column) -> Column:
-    return drop_words(normal(x), CITY_WORDS)
+    return _without(normal(x), CITY_WORDS)
 
 
 def matching_key(x: Column) -> Column:
