@@ -50,7 +50,7 @@ def _by_group(rows: DataFrame, group: list[str]) -> DataFrame:
     whole = Window.partitionBy(*group).orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     placed = rows.repartition(_tasks(rows), *group).withColumn("_n", F.count("*").over(whole))
     placed = placed.withColumn("_first", F.row_number().over(Window.partitionBy(*group).orderBy("_id")) == 1)
-    return placed.where("_n > 1").drop("_n", *group)
+    return placed.where("_n > 1").drop("_n", "_low", "_high", *group)
 
 
 def blocked(forms: DataFrame, block_rows: int) -> DataFrame:
@@ -59,7 +59,8 @@ def blocked(forms: DataFrame, block_rows: int) -> DataFrame:
     # hashes are counted: two blocks of one hash are only cut sooner
     counts = rows.groupBy(F.xxhash64("_block").alias("_hash")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block_rows)
     large = staged(counts.withColumn("_parts", F.ceil(F.col("_rows") / block_rows).cast("int")), "blocks")
-    if large.isEmpty():
+    whole = large.isEmpty()
+    if whole:
         rows = rows.withColumns({"_chunk": F.lit(0), "_with": F.lit(0)})
     else:
         rows = lookup(rows.withColumn("_hash", F.xxhash64("_block")), large, ["_hash"], "_rows", "left").drop("_hash")
@@ -68,7 +69,8 @@ def blocked(forms: DataFrame, block_rows: int) -> DataFrame:
     before = F.transform(F.filter("keys", lambda k: k < F.col("_block")), lambda k: F.xxhash64(k))
     rows = rows.withColumns({"_before": before, "_low": F.least("_chunk", "_with"), "_high": F.greatest("_chunk", "_with")})
     rows = rows.withColumns({"_own": F.col("_chunk") == F.col("_low"), "_alone": F.col("_low") == F.col("_high")})
-    return _by_group(rows.drop("keys", "_chunk", "_with"), ["_block", "_low", "_high"])
+    # constants among the keys would cost a second shuffle
+    return _by_group(rows.drop("keys", "_chunk", "_with"), ["_block"] if whole else ["_block", "_low", "_high"])
 
 
 def _least(threshold: float) -> float:
